@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality, sharding, urls, warc
 
-_MODULES = [mixing]
+_MODULES = [quality, warc, urls, sharding, mixing]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
