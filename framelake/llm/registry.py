@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality, sharding, urls, warc
+from . import decontam, licenses, mixing, neardup, pii, quality, quotes, sharding, urls, warc
 
-_MODULES = [quality, warc, urls, sharding, neardup, mixing]
+_MODULES = [licenses, pii, quality, warc, urls, sharding, quotes, decontam, neardup, mixing]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
