@@ -20,6 +20,7 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 #: Archives are closed at about this many bytes of payload; a reader holds one archive.
 ARCHIVE_BYTES = 24 << 20
+STEP = 16 << 10
 MIN_REVISIT_BYTES = 100
 RECORDS = "archive string, record_offset long, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_bytes long, problem string"
 
@@ -83,11 +84,10 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     one copy of each archive when a task runs twice. Null html is an empty payload; a
     null url has no target line; rows with null ids are responses.
     """
-    sized = deduplicated(pages)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = max(1, -(-total // archive_bytes))
-    records = sized.repartition(int(n)).mapInArrow(_records, "bytes binary")
-    records.select(F.col("bytes").cast("string")).write.option("lineSep", _EMPTY[-1:].decode()).text(path)
+    n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    per_file = max(1, archive_bytes * n // max(1, total))
+    records = deduplicated(pages).mapInArrow(_records, "bytes binary").select(F.col("bytes").cast("string"))
+    records.write.option("lineSep", _EMPTY[-1:].decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
 def _members(data: memoryview) -> Iterator[tuple[int, int, bytes | None, str]]:
@@ -96,11 +96,16 @@ def _members(data: memoryview) -> Iterator[tuple[int, int, bytes | None, str]]:
     raw = bytes(data)
     while at < len(raw):
         z = zlib.decompressobj(31)
-        content = None
+        content, end = None, at
         if raw.startswith(MEMBER, at):
             try:
-                content = z.decompress(data[at:])
-                content = content if z.eof else None
+                # in steps, so that what follows the member is not copied for each one
+                parts = []
+                while not z.eof and end < len(raw):
+                    step = data[end : end + STEP]
+                    parts.append(z.decompress(step))
+                    end += len(step)
+                content = b"".join(parts) if z.eof else None
             except zlib.error:
                 content = None
         if content is None:
@@ -111,7 +116,7 @@ def _members(data: memoryview) -> Iterator[tuple[int, int, bytes | None, str]]:
         if gap is not None:
             yield gap, at, None, "bytes between members do not decode"
             gap = None
-        end = len(raw) - len(z.unused_data)
+        end -= len(z.unused_data)
         yield at, end, content, ""
         at = end
     if gap is not None:
