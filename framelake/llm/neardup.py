@@ -118,11 +118,23 @@ def _index(ways: list[np.ndarray]):
                         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, s])
                     keys[:, i] = h
                 ids = np.repeat(c.column("rep").to_numpy(), len(ways))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "rep"])
+                way = np.tile(np.arange(len(ways), dtype=np.int32), c.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(way)], names=["key", "rep", "way"])
 
     return run
 
 
+def first_shared_way(equal: np.ndarray, distance: int) -> np.ndarray:
+    """For pairs given as rows of equal symbols, the first key that both have: one per symbol left out, chunk by chunk."""
+    out = np.full(len(equal), -1)
+    for chunk in np.array_split(np.arange(SYMBOLS), distance // 2 + 1)[::-1]:
+        differ = ~equal[:, chunk]
+        n = differ.sum(1)
+        out[n == 0] = chunk[0]
+        out[n == 1] = chunk[differ[n == 1].argmax(1)]
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` from each node that has one.
 
@@ -195,15 +207,20 @@ def _blocks(distance: int, per_cent: int):
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        get = lambda t: (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS), t["rep"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy())
-        (sl, il, rl, nl), (sr, ir, rr, nr) = get(left), get(right)
+        get = lambda t: (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS), t["rep"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy(), np.array(t["outside"].to_pylist(), bool))
+        (sl, il, rl, nl, _), (sr, ir, rr, nr, out_r) = get(left), get(right)
+        way = rows["way"][0].as_py()
         out_a, out_b = [], []
         for i in range(len(il)):
-            ok = (rr != rl[i]) & (ir > il[i]) & (100 * np.minimum(nr, nl[i]) >= per_cent * np.maximum(nr, nl[i]))
+            # a pair of two outsiders meets in both orders; one is enough
+            ok = (rr != rl[i]) & ~(out_r & (ir < il[i])) & (100 * np.minimum(nr, nl[i]) >= per_cent * np.maximum(nr, nl[i]))
             at = np.flatnonzero(ok)
-            at = at[(sr[at] != sl[i]).sum(1) <= distance]
-            out_a.append(np.full(len(at), il[i]))
-            out_b.append(ir[at])
+            equal = sr[at] == sl[i]
+            near = equal.sum(1) >= SYMBOLS - distance
+            # a pair shares many buckets; it leaves the first of them only
+            at = at[near][first_shared_way(equal[near], distance) == way]
+            out_a.append(np.minimum(ir[at], il[i]))
+            out_b.append(np.maximum(ir[at], il[i]))
         return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
 
     return run
@@ -214,10 +231,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
 
     Documents with equal shingle sets become one representative by an aggregate, so a
     text that a third of the rows copy is one row from there on. Representatives are
-    linked to the smallest one of each bucket first; confirmed links make classes.
-    Buckets that still hold several classes are then compared in full across their
-    classes, block against block of ``BLOCK`` members, and only pairs within the
-    signature distance leave a block. Every link is confirmed on the full sets.
+    linked first to the one of each bucket that shares most in all; confirmed links make classes.
+    In buckets that still hold several classes all members are then compared with
+    those outside the largest class, block against block of ``BLOCK`` members, and
+    only pairs of different classes within the signature distance leave a block. Every link is confirmed on the full sets.
 
     Null, empty and blank texts have no shingles, are linked with nothing and kept;
     rows repeated under one id are one document; rows with a null id are compared with
@@ -227,11 +244,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     sketch = materialise(sketch, "nd-sketch")
     alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(alike, "nd-reps")
-    index = materialise(reps.mapInArrow(_index(_ways(distance)), "key long, rep long"), "nd-index")
-    shared = index.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    index = materialise(reps.mapInArrow(_index(_ways(distance)), "key long, rep long, way int"), "nd-index")
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     index = materialise(index.join(shared, "key"), "nd-buckets")
+    # the original of many copies shares most buckets with most of them: it becomes their centre
+    weight = index.groupBy("rep").agg(F.sum("members").alias("w"))
+    centres = index.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("centre"))
     sig = reps.select("rep", "sig", F.col("n_shingles").alias("n"))
-    pairs = index.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = index.join(centres, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     x, y = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
     stars = sized.select("a", "b", "sa", "sb").mapInArrow(_near(distance), "a long, b long")
@@ -239,18 +259,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     classes = components(edges)
     root = F.coalesce("root", "rep").alias("root")
     labelled = materialise(sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", "sig", "n", root), "nd-labels")
-    # the same keys again, now only buckets with several classes
-    roots = index.select("key", "rep", "members").join(labelled.select("rep", "root"), "rep")
-    mixed = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("members").alias("size")).where("r0 <> r1").select("key", "size")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = index.select("key", "rep").join(mixed, "key").join(labelled, "rep").withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    lr = m.select("key", "rep", "sig", "n", "root", F.explode(F.array(
-        F.struct(F.col("_part").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")),
-        F.struct(F.col("other").alias("i"), F.col("_part").alias("j"), F.lit(0).alias("side")),
-    )).alias("at")).select("key", "at.*", "rep", "sig", "n", "root")
-    rest = lr.groupBy("key", "i", "j").applyInArrow(_blocks(distance, per_cent), "a long, b long")
-    more = confirm(docs, materialise(rest.distinct(), "nd-rest"), k, per_cent)
+    # the same keys again, now only buckets with several classes: all members against those outside the largest class
+    roots = index.select("key", "rep", "way").join(labelled.select("rep", "root"), "rep")
+    by_class = roots.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_class.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("size"), F.max("c").alias("most")).where("size > most")
+    mixed = mixed.select("key", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("_all"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("_few"))
+    m = materialise(roots.join(mixed, "key").withColumn("outside", F.col("root") != F.col("largest")), "nd-mixed")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    few = m.where("outside").select("key", at("_few").alias("i"), spread("_all").alias("j"), F.lit(1).alias("side"), "rep", "outside", "way")
+    everyone = m.select("key", spread("_few").alias("i"), at("_all").alias("j"), F.lit(0).alias("side"), "rep", "outside", "way")
+    blocks = few.unionByName(everyone).join(labelled, "rep")
+    rest = blocks.groupBy("key", "i", "j").applyInArrow(_blocks(distance, per_cent), "a long, b long")
+    more = confirm(docs, materialise(rest, "nd-rest"), k, per_cent)
     classes = components(edges.unionByName(more))
     final = sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", root)
     by_set = reps.select("k0", "k1", "n_shingles", "rep").join(final, "rep").drop("rep")
