@@ -30,6 +30,8 @@ DISTANCE = 21
 DISTANCE_80 = 26
 #: Members of a bucket are compared in blocks of this many.
 BLOCK = 256
+#: Bins of the second sketch, which tells pairs near the threshold from those well below it before they are sent on.
+BINS = 512
 _SEEDS = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -75,6 +77,32 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def bin_sketch(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, BINS) of uint8: a byte of the least hash in each bin of a text's shingles, 0 where it has none."""
+    out = np.zeros((len(bounds) - 1, BINS), np.uint8)
+    h = mix64(grams ^ np.uint64(0x2545F4914F6CDD1D))
+    at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * BINS + (h & np.uint64(BINS - 1)).astype(np.int64)
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1]
+    out.ravel()[at[first]] = (h[first] >> np.uint64(20)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, per_cent: int) -> np.ndarray:
+    """False for pairs of bin sketches whose similarity is over five deviations below the threshold.
+
+    ``sizes`` is the sum of both set sizes. Bins draw shingles without replacement: of
+    a short text nearly all are seen, and the deviation shrinks accordingly.
+    """
+    used = np.maximum(((x | y) != 0).sum(-1), 1)
+    same = ((x == y) & (x != 0)).sum(-1)
+    j = per_cent / 100
+    unseen = np.clip(1 - used * (1 + j) / np.maximum(sizes, 1), 0.1, 1)
+    return same >= (j - 5 * np.sqrt(j * (1 - j) / used * unseen)) * used
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,8 +116,8 @@ def _sketch(k: int):
                     keys[1, full] = np.bitwise_xor.reduceat(mix64(grams + np.uint64(0x14057B7EF767814F)), bounds[:-1][full])
                 sig = signatures(grams, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[rows.start : rows.stop], pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "k0", "k1", "sig"],
+                    [b.column("doc_id")[rows.start : rows.stop], pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in bin_sketch(grams, bounds)], pa.binary())],
+                    names=["doc_id", "n_shingles", "k0", "k1", "sig", "bins"],
                 )
 
     return run
@@ -207,8 +235,8 @@ def _blocks(distance: int, per_cent: int):
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        get = lambda t: (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS), t["rep"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy(), np.array(t["outside"].to_pylist(), bool))
-        (sl, il, rl, nl, _), (sr, ir, rr, nr, out_r) = get(left), get(right)
+        get = lambda t: (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS), t["rep"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy(), np.array(t["outside"].to_pylist(), bool), np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS))
+        (sl, il, rl, nl, _, bl), (sr, ir, rr, nr, out_r, br) = get(left), get(right)
         way = rows["way"][0].as_py()
         out_a, out_b = [], []
         for i in range(len(il)):
@@ -219,6 +247,7 @@ def _blocks(distance: int, per_cent: int):
             near = equal.sum(1) >= SYMBOLS - distance
             # a pair shares many buckets; it leaves the first of them only
             at = at[near][first_shared_way(equal[near], distance) == way]
+            at = at[may_reach(br[at], bl[i], nr[at] + nl[i], per_cent)]
             out_a.append(np.minimum(ir[at], il[i]))
             out_b.append(np.maximum(ir[at], il[i]))
         return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
@@ -240,17 +269,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     rows repeated under one id are one document; rows with a null id are compared with
     none and kept. Other columns are ignored; an empty table gives an empty result.
     """
-    sketch = docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n_shingles long, k0 long, k1 long, sig binary")
+    sketch = docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n_shingles long, k0 long, k1 long, sig binary, bins binary")
     sketch = materialise(sketch, "nd-sketch")
-    alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
     reps = materialise(alike, "nd-reps")
-    index = materialise(reps.mapInArrow(_index(_ways(distance)), "key long, rep long, way int"), "nd-index")
+    index = materialise(reps.select("rep", "sig").mapInArrow(_index(_ways(distance)), "key long, rep long, way int"), "nd-index")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     index = materialise(index.join(shared, "key"), "nd-buckets")
     # the original of many copies shares most buckets with most of them: it becomes their centre
     weight = index.groupBy("rep").agg(F.sum("members").alias("w"))
     centres = index.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("centre"))
-    sig = reps.select("rep", "sig", F.col("n_shingles").alias("n"))
+    sig = reps.select("rep", "sig", "bins", F.col("n_shingles").alias("n"))
     pairs = index.join(centres, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     x, y = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
@@ -258,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     edges = confirm(docs, materialise(stars, "nd-stars"), k, per_cent)
     classes = components(edges)
     root = F.coalesce("root", "rep").alias("root")
-    labelled = materialise(sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", "sig", "n", root), "nd-labels")
+    labelled = materialise(sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", "sig", "bins", "n", root), "nd-labels")
     # the same keys again, now only buckets with several classes: all members against those outside the largest class
     roots = index.select("key", "rep", "way").join(labelled.select("rep", "root"), "rep")
     by_class = roots.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -275,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     classes = components(edges.unionByName(more))
     final = sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", root)
     by_set = reps.select("k0", "k1", "n_shingles", "rep").join(final, "rep").drop("rep")
-    out = sketch.drop("sig").join(by_set, ["k0", "k1", "n_shingles"], "left")
+    out = sketch.drop("sig", "bins").join(by_set, ["k0", "k1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
