@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming variants of the signal operators."""
