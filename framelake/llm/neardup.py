@@ -24,7 +24,7 @@ from .words import encode, mix64, words_of
 
 SYMBOLS, BITS = 64, 16
 #: For similarity 0.85 a symbol differs with probability 0.15: 9.6 of 64 on average, with deviation 2.9.
-#: At 21, four deviations above, a pair at the threshold itself is missed once in 7,000 times, closer pairs hardly ever.
+#: At 21, four deviations above, a pair at the threshold itself is missed once in 10,000 times, closer pairs hardly ever.
 DISTANCE = 21
 #: For similarity 0.8 (five-word shingles): 12.8 on average, deviation 3.2.
 DISTANCE_80 = 26
