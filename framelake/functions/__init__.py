@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar column functions of the engine."""

@@ -1 +1 @@
-"""Sources of the engine."""
+"""File sources of the engine."""
