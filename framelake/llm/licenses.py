@@ -49,18 +49,24 @@ def line_scores(lines: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     are folds over those tokens, in the row.
     """
     idf, vectors, other = weights(templates)
-    tokens = F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0))
-    l = lines.withColumn("_t", tokens)
-    l = l.withColumn("_u", F.array_distinct("_t"))
-    count = lambda w: F.size(F.filter("_t", lambda x: x == w))
-    l = l.withColumn("_v", F.transform("_u", lambda w: F.struct(w.alias("w"), (count(w) * F.coalesce(F.element_at(_map(idf), w), F.lit(other))).alias("x"))))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    known = F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv])
+
+    def once(value: Column, use) -> Column:
+        """``use(value)`` with the value worked out once a row."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def vector(t: Column) -> Column:
+        return F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("w"), (F.size(F.filter(t, lambda x: x == w)) * F.coalesce(F.element_at(known, w), F.lit(other))).alias("x")))
 
-    def dot(vector: dict[str, float]) -> Column:
-        return F.aggregate("_v", F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(F.element_at(_map(vector), e["w"]), F.lit(0.0)))
+    def dot(v: Column, template: dict[str, float]) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(F.element_at(_map(template), e["w"]), F.lit(0.0)))
 
-    dots = [F.struct(F.lit(k).alias("license"), (dot(v) / norm).alias("cosine")) for k, v in sorted(vectors.items())]
-    return l.withColumn("scores", F.array(*dots)).drop("_t", "_u", "_v")
+    def scores(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+        return once(norm, lambda n: F.array(*[F.struct(F.lit(k).alias("license"), F.coalesce(F.try_divide(dot(v, t), n), F.lit(0.0)).alias("cosine")) for k, t in sorted(vectors.items())]))
+
+    tokens = F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0))
+    return lines.withColumn("scores", once(tokens, lambda t: once(vector(t), scores)))
 
 
 def needed_words(templates: dict[str, str]) -> str:
@@ -90,7 +96,7 @@ def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, key: s
     """
     hint = needed_words(templates)
     lines = files.where(F.col("text").rlike(hint)).select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(hint))
-    scored = line_scores(lines, templates).select(key, F.explode("scores").alias("s")).where(F.col("s.cosine") >= MIN_COSINE)
+    scored = line_scores(lines, templates).select(key, F.explode(F.filter("scores", lambda s: s["cosine"] >= MIN_COSINE)).alias("s"))
     best = scored.groupBy(key).agg(F.max(F.struct(F.round("s.cosine", 9).alias("cosine"), F.col("s.license").alias("license"))).alias("b"))
     return best.select(key, "b.license", "b.cosine")
 
