@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
+from .urls import possible
 from .words import encode, mix64, words_of
 
 SYMBOLS, BITS = 64, 16
@@ -271,15 +272,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     """
     sketch = docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n_shingles long, k0 long, k1 long, sig binary, bins binary")
     sketch = materialise(sketch, "nd-sketch")
-    alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
+    alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(alike, "nd-reps")
-    index = materialise(reps.select("rep", "sig").mapInArrow(_index(_ways(distance)), "key long, rep long, way int"), "nd-index")
+    # most keys are in no bucket: working them out twice costs less than keeping them
+    index = reps.select("rep", "sig").mapInArrow(_index(_ways(distance)), "key long, rep long, way int")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     index = materialise(index.join(shared, "key"), "nd-buckets")
     # the original of many copies shares most buckets with most of them: it becomes their centre
     weight = index.groupBy("rep").agg(F.sum("members").alias("w"))
     centres = index.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("centre"))
-    sig = reps.select("rep", "sig", "bins", F.col("n_shingles").alias("n"))
+    sig = reps.select("rep", "sig", F.col("n_shingles").alias("n"))
     pairs = index.join(centres, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     x, y = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
@@ -287,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     edges = confirm(docs, materialise(stars, "nd-stars"), k, per_cent)
     classes = components(edges)
     root = F.coalesce("root", "rep").alias("root")
-    labelled = materialise(sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", "sig", "bins", "n", root), "nd-labels")
+    labelled = materialise(reps.select("rep").join(classes, F.col("rep") == F.col("node"), "left").select("rep", root), "nd-labels")
     # the same keys again, now only buckets with several classes: all members against those outside the largest class
     roots = index.select("key", "rep", "way").join(labelled.select("rep", "root"), "rep")
     by_class = roots.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -298,23 +300,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     few = m.where("outside").select("key", at("_few").alias("i"), spread("_all").alias("j"), F.lit(1).alias("side"), "rep", "outside", "way")
     everyone = m.select("key", spread("_few").alias("i"), at("_all").alias("j"), F.lit(0).alias("side"), "rep", "outside", "way")
-    blocks = few.unionByName(everyone).join(labelled, "rep")
+    # signature and sketch of members of such buckets only
+    members = materialise(m.select("rep").distinct(), "nd-members")
+    own = ["rep", "k0", "k1", "n"]
+    bins = narrowed(sketch.select(F.col("doc_id").alias("rep"), "k0", "k1", F.col("n_shingles").alias("n"), "bins"), members, "rep").dropDuplicates(own)
+    known = narrowed(reps.select("rep", "k0", "k1", F.col("n_shingles").alias("n"), "sig"), members, "rep")
+    evidence = materialise(known.join(bins, own).join(labelled, "rep").select("rep", "sig", "bins", "n", "root"), "nd-evidence")
+    blocks = few.unionByName(everyone).join(evidence, "rep")
     rest = blocks.groupBy("key", "i", "j").applyInArrow(_blocks(distance, per_cent), "a long, b long")
     more = confirm(docs, materialise(rest, "nd-rest"), k, per_cent)
     classes = components(edges.unionByName(more))
-    final = sig.join(classes, sig["rep"] == classes["node"], "left").select("rep", root)
+    final = reps.select("rep").join(classes, F.col("rep") == F.col("node"), "left").select("rep", root)
     by_set = reps.select("k0", "k1", "n_shingles", "rep").join(final, "rep").drop("rep")
     out = sketch.drop("sig", "bins").join(by_set, ["k0", "k1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (distinct, written).
+
+    A Bloom filter of bounded size leaves rows out where they are read, so that few of
+    them are shuffled for the exact join, which removes false hits.
+    """
+    return possible(rows, ids.select(F.col(key).alias("url")), key).where("possible").drop("possible").join(ids, key, "left_semi")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    needed = materialise(needed, "nd-texts")
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nd-ids")
+    needed = materialise(narrowed(texts, ids, "doc_id").dropDuplicates(["doc_id"]), "nd-texts")
     ta, tb = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(_confirm(k, per_cent), "a long, b long"), "nd-edges")
