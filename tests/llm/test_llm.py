@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import decontam, licenses, mixing, neardup, pii, quality, quotes, registry, sharding, urls, warc
+from framelake.llm import decontam, license_templates, licenses, mixing, neardup, pii, quality, quotes, registry, sharding, urls, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +203,26 @@ def test_licenses(spark):
     assert got["q/x.py"]["license"] is None and got[None]["license"] is None and got["r/LICENSE"]["cosine"] == pytest.approx(1)
 
 
+def test_licenses_of_headers_and_whole_texts(spark):
+    mark = lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n"))
+    code = "\nint main(void) { return compute(42); }\n" * 30
+    texts = {name: text.replace("<year> <copyright holders>", "2021 Jane Doe") for name, text in license_templates.TEXTS.items()}
+    rows = [(f"whole/{k}", t) for k, t in texts.items()] + [(f"comment/{k}", f"/*\n{mark(texts[k])}\n */{code}") for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib")]
+    gnu = "This file is part of Foo.\n\nThis {w} is free software: you can redistribute it and/or modify it under\nthe terms of the GNU {n} as published by the\nFree Software Foundation, either version {v} of the License, or\n(at your option) any later version."
+    rows += [("header/GPL-3.0", mark(gnu.format(w="program", n="General Public License", v=3)) + code), ("header/GPL-2.0", mark(gnu.format(w="program", n="General Public License", v=2)) + code), ("header/AGPL-3.0", mark(gnu.format(w="program", n="Affero General Public License", v=3)) + code)]
+    rows += [("header/Apache-2.0", mark(license_templates.HEADERS[0][1].replace(". ", ".\n")) + code)]
+    lines = {"Apache-2.0": "// SPDX-License-Identifier: Apache-2.0", "MIT OR Apache-2.0": "# SPDX-License-Identifier: MIT OR Apache-2.0", "MPL-2.0": "Mozilla Public License Version 2.0", "BSD-3-Clause": "BSD 3-Clause License", "ISC": "ISC License", "LGPL": "GNU LESSER GENERAL PUBLIC LICENSE", "GPL-2.0": "GNU General Public License version 2", "CC-BY-4.0": "Licensed under CC BY 4.0."}
+    rows += [(f"line/{k}", f"{t}\n{code}") for k, t in lines.items()]
+    rng = np.random.default_rng(6)
+    none = ["License", "the version 2.0 of the library", "You need a license to drive and permission of the owner to park in this street, said the warden to us.", "the copyright"]
+    rows += [(f"none/{i}", t) for i, t in enumerate(none)] + [(f"noise/{i}", " ".join(words(rng, 60)) + " the of and to in this is a you") for i in range(100)]
+    got = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame([(p.replace("/", "_"), t) for p, t in rows], "path string, text string")).collect()}
+    want = {p.replace("/", "_"): None if p.startswith(("none", "noise")) else p.partition("/")[2] for p, _ in rows}
+    assert {p: (got[p], want[p]) for p in want if got[p] != want[p]} == {}
+    lowered = [t.lower() for t in [*license_templates.TEXTS.values(), *(t for _, t in license_templates.HEADERS)]]
+    assert all(any(a in t for a in licenses.ANCHORS) for t in lowered)
+
+
 def test_quotes(spark):
     rows = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> Hello there.\nFine."), (1, 2, "u", "New topic"), (1, 3, "u", "> > Hello there.\n> Fine.\nGood."), (1, 4, "a", ">new TOPIC!\nok"), (1, 5, "u", "> never said\nwhat"), (2, 0, "u", None), (None, None, None, "x")]
     got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
