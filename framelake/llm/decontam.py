@@ -4,7 +4,9 @@ The latent space is the randomised SVD of the TF-IDF passages of the benchmark,
 document frequencies counted over the whole corpus. Windows of every document are
 folded into that space (terms outside the benchmark's vocabulary have no coordinates
 there); case is folded; windows close to a passage by cosine go on to a longest-common-subsequence
-check against the item, and paraphrases to a check of the item's answer.
+check against the item, and paraphrases to a check of the item's answer. So that copies of
+items much shorter than a window, or of one among very many items, are not lost in the
+latent space, places that share runs of words with a passage go on to the same check.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ MIN_NORM = 0.4
 #: Share of the item's words in order: alone, or together with its answer.
 COPY, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 5
+#: A place shares runs of so many words with a passage, of whose runs it has this share, within so many places.
+RUN_WORDS, RUN_SHARE, SLACK = 3, 0.25, 8
 
 
 def _cut(texts: list[str]) -> list[np.ndarray]:
@@ -142,7 +146,66 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, item_of: np.ndarray, items: list[np.ndarray], item_ids: list):
+class _Runs:
+    """Where runs of ``k`` words occur in passages: (passage, place) by the run's number."""
+
+    def __init__(self, k: int, passages: list[tuple[int, np.ndarray]], terms: int):
+        self.k, self.terms = k, terms
+        found = [(self.number([p[i : len(p) - k + 1 + i] for i in range(k)]), j) for j, p in passages]
+        runs = np.concatenate([r for r, _ in found])
+        passage = np.concatenate([np.full(len(r), j) for r, j in found])
+        place = np.concatenate([np.arange(len(r)) for r, _ in found])
+        order = np.argsort(runs, kind="stable")
+        self.passage, self.place = passage[order], place[order]
+        self.runs, self.first, self.times = np.unique(runs[order], return_index=True, return_counts=True)
+        self.marks = np.zeros(1 << 16, bool)
+        self.marks[self.mark(self.runs)] = True
+
+    def number(self, words: list[np.ndarray]) -> np.ndarray:
+        """Runs as numbers; those of more than 2**64 (over two million words) may meet, and the check then parts them."""
+        out = words[0].astype(np.uint64)
+        for x in words[1:]:
+            out = out * np.uint64(self.terms) + x.astype(np.uint64)
+        return out
+
+    @staticmethod
+    def mark(runs: np.ndarray) -> np.ndarray:
+        return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+    def places(self, at: np.ndarray, ids: np.ndarray, doc: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, passage, word at which the passage would begin) of places that share enough runs."""
+        k, n = self.k, len(at) - self.k + 1
+        empty = np.zeros(0, np.int64)
+        if n <= 0:
+            return empty, empty, empty
+        i = np.flatnonzero((at[k - 1 :] - at[:n] == k - 1) & (doc[at[k - 1 :]] == doc[at[:n]]))
+        runs = self.number([ids[i + x] for x in range(k)])
+        some = np.flatnonzero(self.marks[self.mark(runs)])
+        i, runs = i[some], runs[some]
+        r = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
+        same = self.runs[r] == runs
+        i, r = i[same], r[same]
+        times = self.times[r]
+        which = np.repeat(self.first[r] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        place = np.repeat(at[i], times)
+        passage, begin, text = self.passage[which], place - self.place[which], doc[place]
+        out = []
+        # on two grids, so that runs a few words apart are together on one of them
+        for shift in (0, SLACK // 2):
+            keys = np.stack([text, passage, (begin + shift) // SLACK], 1)
+            cells, first, n_runs = np.unique(keys, axis=0, return_index=True, return_counts=True) if len(keys) else (keys, empty, empty)
+            enough = n_runs >= need[cells[:, 1]]
+            out.append(np.stack([cells[enough, 0], cells[enough, 1], begin[first[enough]]], 1))
+        return tuple(np.unique(np.concatenate(out), axis=0).T)
+
+
+def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, item_of: np.ndarray, items: list[np.ndarray], item_ids: list, cuts: list[np.ndarray]):
+    terms = [np.searchsorted(vocabulary, p) for p in cuts]
+    sizes = np.array([len(p) for p in cuts])
+    ks = np.minimum(sizes, RUN_WORDS)
+    runs = [_Runs(int(k), [(j, terms[j]) for j in np.flatnonzero(ks == k)], len(vocabulary)) for k in np.unique(ks)]
+    need = np.maximum(1, (RUN_SHARE * (sizes - ks + 1)).astype(np.int64))
+    offset = np.concatenate([np.arange(n) for n in np.unique(item_of, return_counts=True)[1]]) * (PASSAGE_WORDS // 2)
     table = table.astype(np.float32)
     norms = np.linalg.norm(passages, axis=1)
     unit = (passages / np.maximum(norms, 1e-12)[:, None]).astype(np.float32).T.copy()
@@ -176,25 +239,37 @@ def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, ite
                 good = np.flatnonzero(length >= floor)
                 hits: dict[tuple[int, int], list] = {}
                 seen = set()
+
+                def check(doc: int, j: int, start: int, lo: int, hi: int, cosine: float) -> None:
+                    item = int(item_of[j])
+                    masks, answer, size = checks[item]
+                    region = h[max(int(bounds[doc]), lo) : min(int(bounds[doc + 1]), hi)].tolist()
+                    share = _lcs(masks, size, region) / size
+                    answered = share >= PARAPHRASE and _lcs(answer, min(size, ANSWER_WORDS), region) == min(size, ANSWER_WORDS)
+                    if share >= COPY or answered:
+                        old = hits.get((doc, item), [0.0, 0.0, False, 0])
+                        if share > old[1]:
+                            hits[doc, item] = [cosine, share, answered, start - int(bounds[doc])]
+
                 for lo in range(0, len(good), 4096):
                     g = good[lo : lo + 4096]
                     cos = (window[g] @ unit) / length[g][:, None]
                     for i, j in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
                         doc, item = int(stride_doc[g[i]]), int(item_of[j])
                         start = int(bounds[doc] + (g[i] - base[doc]) * STRIDE)
-                        if (start, item) in seen:
-                            continue
-                        seen.add((start, item))
-                        masks, answer, size = checks[item]
-                        region = h[max(int(bounds[doc]), start - size) : min(int(bounds[doc + 1]), start + 2 * STRIDE + size)].tolist()
-                        share = _lcs(masks, size, region) / size
-                        if share < PARAPHRASE:
+                        place = (start, item)
+                        if place in seen:
                             continue
-                        answered = _lcs(answer, min(size, ANSWER_WORDS), region) == min(size, ANSWER_WORDS)
-                        if share >= COPY or answered:
-                            old = hits.get((doc, item), [0.0, 0.0, False, 0])
-                            if share > old[1]:
-                                hits[doc, item] = [float(cos[i, j]), share, answered, start - int(bounds[doc])]
+                        seen.add(place)
+                        size = len(items[item])
+                        check(doc, int(j), start, start - size, start + 2 * STRIDE + size, float(cos[i, j]))
+                for r in runs:
+                    for doc, j, begin in zip(*(x.tolist() for x in r.places(at, ids, w.doc, need)), strict=True):
+                        size = len(items[item_of[j]])
+                        from_ = begin - int(offset[j])
+                        cell = base[doc] + max(0, begin - int(bounds[doc])) // STRIDE
+                        cosine = float(window[cell] @ unit[:, j]) / max(float(length[cell]), 1e-12)
+                        check(doc, j, max(begin, int(bounds[doc])), from_ - SLACK - size // 4, from_ + size + SLACK + size // 4, cosine)
                 if hits:
                     docs = b.column("doc_id")[rows.start : rows.stop]
                     keys, found = list(hits), list(hits.values())
@@ -244,17 +319,18 @@ def _block(spark: SparkSession, docs: DataFrame, block: list) -> DataFrame:
         else:
             df[r["term"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
-    rows, item_of = [], []
+    rows, item_of, cuts = [], [], []
     for i, w in enumerate(words):
         for p in _passages(w):
             t, c = np.unique(np.searchsorted(vocabulary, p), return_counts=True)
             rows.append((t.tolist(), (c * idf[t] / np.linalg.norm(c * idf[t])).tolist()))
             item_of.append(i)
+            cuts.append(p)
     frame = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
     basis = latent_space(frame, len(vocabulary), min(RANK, len(rows), len(vocabulary)))
     table = basis * idf[:, None]
     passages = np.array([np.array(v) @ basis[t] for t, v in rows]) * np.array([np.linalg.norm(idf[t]) for t, _ in rows])[:, None]
-    return docs.mapInArrow(_search(vocabulary, table, passages, np.array(item_of), words, [r["item_id"] for r in block]), HITS)
+    return docs.mapInArrow(_search(vocabulary, table, passages, np.array(item_of), words, [r["item_id"] for r in block], cuts), HITS)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

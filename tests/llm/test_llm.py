@@ -177,6 +177,19 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontam.clean_documents(docs_of(spark, texts), bench).count() == len(texts) - 4
 
 
+def test_decontamination_finds_short_items_among_a_thousand(spark):
+    rng = np.random.default_rng(7)
+    items = [words(rng, int(n), 1500) for n in rng.choice([2, 5, 8, 12, 15, 20, 30], 1000)]
+    texts = []
+    for i in range(200):
+        noise = words(rng, 300, 1500)
+        at = int(rng.integers(0, 300))
+        texts.append(" ".join(noise[:at] + items[i] + noise[at:]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert [i for i in range(200) if (i, i) not in got] == []
+
+
 def test_pseudonyms(spark):
     values = ["4041894974608795", "4041-8949-7460-8795", "a.b@x.org", "10.0.255.1", "+1 (988) 555-2485", "2024-02-29"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
