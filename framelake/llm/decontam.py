@@ -213,6 +213,7 @@ def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         checks = [(_masks(x.tolist()), _masks(x[-ANSWER_WORDS:].tolist()), len(x)) for x in items]
+        parts = [_masks(p.tolist()) if len(p) < len(items[i]) else {} for i, p in zip(item_of, cuts, strict=True)]
         for b in batches:
             for part, rows in encode(pc.utf8_lower(b.column("text"))):
                 w = words_of(part)
@@ -246,7 +247,12 @@ def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, ite
                     region = h[max(int(bounds[doc]), lo) : min(int(bounds[doc + 1]), hi)].tolist()
                     share = _lcs(masks, size, region) / size
                     answered = share >= PARAPHRASE and _lcs(answer, min(size, ANSWER_WORDS), region) == min(size, ANSWER_WORDS)
-                    if share >= COPY or answered:
+                    # a long item also counts as held where one of its passages is copied
+                    whole = share >= COPY or answered
+                    if not whole and sizes[j] < size:
+                        share = _lcs(parts[j], int(sizes[j]), region) / int(sizes[j])
+                        whole = share >= COPY
+                    if whole:
                         old = hits.get((doc, item), [0.0, 0.0, False, 0])
                         if share > old[1]:
                             hits[doc, item] = [cosine, share, answered, start - int(bounds[doc])]
@@ -257,7 +263,8 @@ def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, ite
                     for i, j in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
                         doc, item = int(stride_doc[g[i]]), int(item_of[j])
                         start = int(bounds[doc] + (g[i] - base[doc]) * STRIDE)
-                        place = (start, item)
+                        # passages of one item share the check of the item, and each has its own
+                        place = (start, item) if sizes[j] == len(items[item]) else (start, item, int(j))
                         if place in seen:
                             continue
                         seen.add(place)

@@ -190,6 +190,16 @@ def test_decontamination_finds_short_items_among_a_thousand(spark):
     assert [i for i in range(200) if (i, i) not in got] == []
 
 
+def test_decontamination_finds_passages_of_long_items(spark):
+    rng = np.random.default_rng(8)
+    items = [words(rng, 200) for _ in range(3)]
+    noise = lambda n: " ".join(words(rng, n))
+    texts = [noise(130) + " " + " ".join(items[0][50:150]) + " " + noise(90), noise(20) + " " + " ".join(items[1][:75]) + " " + noise(400), noise(100) + " " + " ".join(items[2][90:110]) + " " + noise(90)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()} == {(0, 0), (1, 1)}
+    assert [r["doc_id"] for r in decontam.clean_documents(docs_of(spark, texts), bench).collect()] == [2]
+
+
 def test_pseudonyms(spark):
     values = ["4041894974608795", "4041-8949-7460-8795", "a.b@x.org", "10.0.255.1", "+1 (988) 555-2485", "2024-02-29"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
