@@ -90,37 +90,61 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     records.write.option("lineSep", _EMPTY[-1:].decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
-def _members(data: memoryview) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """(offset, end, content, problem) of gzip members; bytes that fail are one gap up to the next good member."""
-    at, gap = 0, None
-    raw = bytes(data)
-    while at < len(raw):
-        z = zlib.decompressobj(31)
-        content, end = None, at
-        if raw.startswith(MEMBER, at):
-            try:
-                # in steps, so that what follows the member is not copied for each one
-                parts = []
-                while not z.eof and end < len(raw):
-                    step = data[end : end + STEP]
+def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str, bool]]:
+    """(offset, end, content, problem, plain) of gzip members and of plain stretches between them.
+
+    A stretch without a member goes on to the next member that decodes at all; from its
+    first version line on it is plain, before that a gap. Of a member that is cut off or
+    damaged inside, what did decode is content with a problem and ends where decoding
+    stopped, give or take ``STEP``; the search goes on inside it for what follows.
+    """
+    view, at, gap = memoryview(data), 0, None
+
+    def between(start: int, end: int) -> Iterator[tuple[int, int, bytes | None, str, bool]]:
+        line = VERSION.search(data, start, end) if end > start else None
+        stop = line.start() if line else end
+        if stop > start:
+            yield start, stop, None, "bytes between members do not decode", False
+        if line:
+            yield stop, end, data[stop:end], "", True
+
+    while at < len(data):
+        content, end, whole = b"", at, False
+        if data.startswith(MEMBER, at):
+            z = zlib.decompressobj(31)
+            # in steps, so that what follows the member is not copied for each one
+            parts, size = [], STEP
+            while not z.eof and end < len(data):
+                before, step = z.copy(), view[end : end + size]
+                try:
                     parts.append(z.decompress(step))
-                    end += len(step)
-                content = b"".join(parts) if z.eof else None
-            except zlib.error:
-                content = None
-        if content is None:
+                except zlib.error:
+                    if size == 1:
+                        break
+                    # again in bytes, to keep what decodes before the damage
+                    z, size = before, 1
+                    continue
+                end += len(step)
+            content, whole = b"".join(parts), z.eof
+            end -= len(z.unused_data)
+        if not whole and not VERSION.search(content):
             gap = at if gap is None else gap
-            at = raw.find(MEMBER, at + 1)
-            at = len(raw) if at < 0 else at
+            at = data.find(MEMBER, at + 1)
+            at = len(data) if at < 0 else at
             continue
         if gap is not None:
-            yield gap, at, None, "bytes between members do not decode"
+            yield from between(gap, at)
             gap = None
-        end -= len(z.unused_data)
-        yield at, end, content, ""
+        yield at, end, content, "" if whole else "the member is cut off or damaged", False
+        if not whole:
+            # damage may have led the decoder on into the members after it
+            gap = end
+            at = data.find(MEMBER, at + 1)
+            at = len(data) if at < 0 else at
+            continue
         at = end
     if gap is not None:
-        yield gap, len(raw), None, "bytes at the end do not decode"
+        yield from between(gap, len(data))
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
@@ -181,18 +205,23 @@ def _one(content: bytes, at: int) -> tuple[dict | None, str]:
 
 
 def salvage(path: str, data: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, compressed member by member or plain."""
+    """Records and gaps of one archive, compressed member by member, plain, or both in turn.
+
+    An archive with a version line and no member before it is plain to its end. Offsets
+    and sizes of gaps inside a member are those of its uncompressed bytes; the rest of a
+    member that does not decode is a gap from where decoding stopped.
+    """
     blank = dict.fromkeys(("page_id", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "gap_bytes", "problem"))
-    plain = VERSION.search(data[:4096]) and not data.startswith(MEMBER)
-    members = [(0, len(data), data, "")] if plain else _members(memoryview(data))
-    for at, end, content, problem in members:
+    first = VERSION.search(data)
+    members = [(0, len(data), data, "", True)] if first and MEMBER not in data[: first.start()] else _members(data)
+    for at, end, content, problem, plain in members:
         if content is None:
             yield blank | {"archive": path, "record_offset": at, "record_type": "gap", "gap_bytes": end - at, "problem": problem}
             continue
         for start, stop, found, why in parse(content):
-            offset = start if plain else at
+            offset = at + start if plain else at
             if found is None:
-                yield blank | {"archive": path, "record_offset": offset, "record_type": "gap", "gap_bytes": stop - start, "problem": why}
+                yield blank | {"archive": path, "record_offset": offset, "record_type": "gap", "gap_bytes": stop - start, "problem": problem or why}
             else:
                 yield blank | found | {"archive": path, "record_offset": offset}
 

@@ -74,6 +74,24 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert [r["page_id"] for r in warc.salvage("p", cut) if r["record_type"] == "response"] == [0, 2, 3]
 
 
+def test_warc_salvages_damaged_heads_and_members():
+    sha = __import__("hashlib").sha256
+    payloads = [np.random.default_rng(i).integers(0, 256, 6000, np.uint8).tobytes() for i in range(6)]
+    made = [warc.record(i, None, p, sha(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    plain = [gzip.decompress(m) for m in made]
+    ids = lambda data: [r["page_id"] for r in warc.salvage("p", bytes(data)) if r["record_type"] == "response"]
+    gaps = lambda data: [(r["record_offset"], r["gap_bytes"]) for r in warc.salvage("p", bytes(data)) if r["record_type"] == "gap"]
+    damaged = b"XXXX" + b"".join(plain)[4:]
+    assert ids(damaged) == [1, 2, 3, 4, 5] and gaps(damaged) == [(0, len(plain[0]))]
+    one = gzip.compress(b"".join(plain))
+    assert ids(one[: len(one) * 3 // 4]) == [0, 1, 2, 3]
+    inside = bytearray(gzip.compress(b"".join(plain[:4])) + made[4])
+    end = len(inside) - len(made[4])
+    inside[end - 8] ^= 255  # the checksum
+    assert ids(inside) == [0, 1, 2, 3, 4]
+    assert ids(b"XXXX" + plain[0][4:] + made[1] + plain[2] + made[3]) == [1, 2, 3]
+
+
 def test_bloom_has_no_misses(spark):
     listed = spark.range(2000).select(F.concat(F.lit("u"), "id").alias("url"))
     asked = spark.range(4000).select("id", F.concat(F.lit("u"), "id").alias("url"))
