@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import discard, materialise, read_table
 from .urls import possible
 from .words import encode, mix64, words_of
 
@@ -36,12 +36,12 @@ BINS = 512
 _SEEDS = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(part, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(part, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a part, sorted, and where each text's begin.
 
     A text of fewer than ``k`` words has its whole sequence as its one shingle.
     """
-    w = words_of(part, lower=True)
+    w = words_of(part, lower=True, seed=seed)
     n = len(part.offsets) - 1
     grams, first = w.windows(k)
     doc = w.doc[first]
@@ -176,11 +176,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.select(F.col("hi").alias("v"), F.col("lo").alias("u")).union(e.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("m").alias("lo"), F.col("u").alias("hi"))
-        e = materialise(large.where("lo < hi").distinct(), "cc")
-        down = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = e.join(down, "hi").select(F.col("m").alias("p"), F.col("lo"), "hi")
+        mid = materialise(large.where("lo < hi").distinct(), "cc")
+        discard(e)
+        down = mid.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = mid.join(down, "hi").select(F.col("m").alias("p"), F.col("lo"), "hi")
         links = small.select(F.col("p").alias("lo"), F.col("lo").alias("hi")).union(small.select(F.col("p").alias("lo"), "hi")).where("lo < hi")
         e = materialise(links.distinct(), "cc")
+        discard(mid)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if state == last:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo").distinct())
@@ -197,7 +199,8 @@ def _confirm(k: int, per_cent: int):
                     d = b.column(c).dictionary_encode()
                     sets = []
                     for part, _ in encode(d.dictionary):
-                        grams, bounds = shingle_sets(part, k)
+                        # not the hashes by which the pair was found
+                        grams, bounds = shingle_sets(part, k, seed=1)
                         sets += [grams[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
                     sides.append((sets, d.indices.to_pylist()))
                 good = []

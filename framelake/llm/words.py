@@ -1,8 +1,9 @@
 """Words of whole Arrow batches of texts at once, as NumPy arrays.
 
-Texts stay UTF-8 bytes; a word is a run of bytes other than ASCII white space. Word
-hashes are 64-bit: a polynomial over the word's bytes, read off one running sum over
-the batch, then mixed.
+Texts stay UTF-8 bytes; a word is a run of bytes other than ASCII white space. Hashes of
+words and lines are 64-bit: each eight bytes are mixed with their place by a function that
+is not linear in them, and the sum of these is mixed with the length. A seed gives an
+independent function.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import pyarrow.compute as pc
 
 #: Batches are cut at about this many bytes; a longer text is a batch of its own.
 PART_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,11 +67,22 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     doc: np.ndarray
-    sums: np.ndarray
-    inverse: np.ndarray
+    eight: np.ndarray
+    seed: np.uint64
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        """Hash of the bytes of each span, of any length."""
+        n = ends - starts
+        out = mix64((self.eight[starts] & _FIRST[np.minimum(n, 8)]) ^ self.seed)
+        rest = np.flatnonzero(n > 8)
+        if len(rest):
+            more = (n[rest] - 1) // 8
+            first = np.cumsum(more) - more
+            span = np.repeat(rest, more)
+            place = np.arange(len(span)) - np.repeat(first, more) + 1
+            some = self.eight[starts[span] + 8 * place] & _FIRST[np.minimum(n[span] - 8 * place, 8)]
+            out[rest] += np.add.reduceat(mix64(some ^ mix64(place.astype(np.uint64) * _STEP ^ self.seed)), first)
+        return mix64(out + n.astype(np.uint64) * _STEP)
 
     def hashes(self) -> np.ndarray:
         return self.hash_spans(self.starts, self.ends)
@@ -86,21 +99,7 @@ class Words:
         return out, first
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        size = max(n + 1, PART_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _POWERS[k] = p
-    return _POWERS[0], _POWERS[1]
-
-
-def words_of(part: Part, lower: bool = False) -> Words:
+def words_of(part: Part, lower: bool = False, seed: int = 0) -> Words:
     data, offsets = part.data, part.offsets
     if lower:
         data = _LOWER[data]
@@ -118,7 +117,8 @@ def words_of(part: Part, lower: bool = False) -> Words:
         after[cut] = True
     ends = np.flatnonzero(after & ~space) + 1
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    power, inverse = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return Words(data, offsets, space, starts, ends, doc, sums, inverse)
+    # eight bytes from any place on; past the end they are zero
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    eight = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
+    return Words(data, offsets, space, starts, ends, doc, eight, mix64(np.uint64(seed) * _STEP))
