@@ -1,18 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
 The latent space is the randomised SVD of the TF-IDF passages of the benchmark, with
-document frequencies counted over the whole corpus. Windows of every document are
-folded into that space (terms outside the benchmark's vocabulary have no coordinates
-there); case is folded; windows close to a passage by cosine go on to a longest-common-subsequence
-check against the item, and paraphrases to a check of the item's answer. So that copies of
-items much shorter than a window, or of one among very many items, are not lost in the
-latent space, places that share runs of words with a passage go on to the same check.
+document frequencies counted over the whole corpus. Windows of documents, as long as the
+passage they are compared with, are folded into that space (terms outside the benchmark's
+vocabulary have no coordinates there; case is folded); windows close to a passage by cosine go on
+to a longest-common-subsequence check against the item, and paraphrases to a check of the
+item's answer.
+
+Places that cannot pass the sequence check are left out before they are folded in, by an exact
+bound: of an item with n words of which m must be found, any place with a hit has at least t of
+its n - m + t rarest words.
+
+Document frequencies of all items' words come from one pass over the documents; one more
+pass searches for ``BLOCKS_PER_PASS`` blocks of items, each with a latent space of its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +28,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table
+from .common import WORD, read_table
 from .words import encode, mix64, words_of
 
-#: The benchmark is a stated set of queries; it is searched for in blocks of this many items.
-ITEMS_PER_BLOCK = 1000
-#: Windows are two strides long.
-STRIDE = 24
+#: The benchmark is a stated set of queries; a block holds so many items or words, whichever is less, and a pass so many blocks.
+ITEMS_PER_BLOCK, WORDS_PER_BLOCK, BLOCKS_PER_PASS = 250, 50_000, 16
+#: Longer items are cut into passages of so many words, overlapping by half.
 PASSAGE_WORDS = 48
 RANK = 160
 POWER_ITERATIONS = 1
 MIN_COSINE = 0.45
-#: A window needs this share of the smallest passage's length in latent space.
-MIN_NORM = 0.4
-#: Share of the item's words in order: alone, or together with its answer.
-COPY, PARAPHRASE = 0.8, 0.6
-ANSWER_WORDS = 5
-#: A place shares runs of so many words with a passage, of whose runs it has this share, within so many places.
-RUN_WORDS, RUN_SHARE, SLACK = 3, 0.25, 8
+#: Share of the item's words in order: alone, together with its answer, and of an item without one.
+COPY, PARAPHRASE, NO_ANSWER = 0.8, 0.6, 0.7
+#: The words in order stand within so many times the passage's length, and two words.
+SPAN = 1.6
+#: Where an item states its answer.
+ANSWER = r"(?is)^.*\b(?:answer|réponse|antwort|respuesta)\s*[:=]\s*(.+)$"
 
 
 def _cut(texts: list[str]) -> list[np.ndarray]:
@@ -59,15 +65,41 @@ def _passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[i : i + PASSAGE_WORDS] for i in range(0, len(words) - half, half)]
 
 
-def _frequencies(vocabulary: np.ndarray):
+class _Vocabulary:
+    """Numbers of words by hash, looked up through a table over the hash's first bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        bits = min(20, max(8, int(len(words)).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(words >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``h`` of words of the vocabulary, and their numbers."""
+        out = np.full(len(h), -1, np.int64)
+        cell = (h >> self.shift).astype(np.int64)
+        place, stop = self.first[cell], self.first[cell + 1]
+        left = np.flatnonzero(place < stop)
+        while len(left):
+            here = place[left]
+            hit = self.words[here] == h[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < stop[left]]
+        at = np.flatnonzero(out >= 0)
+        return at, out[at]
+
+
+def _frequencies(words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, counts = 0, np.zeros(len(vocabulary), np.int64)
+        vocabulary, total, counts = _Vocabulary(words), 0, np.zeros(len(words), np.int64)
         for b in batches:
             for part, _ in encode(pc.utf8_lower(b.column("text"))):
                 w = words_of(part)
-                at, ids = _lookup(vocabulary, w.hashes())
-                pairs = np.unique(w.doc[at].astype(np.int64) * len(vocabulary) + ids)
-                counts += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+                at, ids = vocabulary.find(w.hashes())
+                pairs = np.unique(w.doc[at] * len(words) + ids)
+                counts += np.bincount(pairs % len(words), minlength=len(words))
                 total += len(part.offsets) - 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], names=["term", "n"])
@@ -75,16 +107,6 @@ def _frequencies(vocabulary: np.ndarray):
     return run
 
 
-def _lookup(vocabulary: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``h`` of words of the sorted vocabulary, and their numbers."""
-    marks = np.zeros(1 << 16, bool)
-    marks[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-    at = np.flatnonzero(marks[(h >> np.uint64(48)).astype(np.int64)])
-    ids = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
-    good = vocabulary[ids] == h[at]
-    return at[good], ids[good]
-
-
 def _signs(terms: np.ndarray, k: int) -> np.ndarray:
     """Rows of the random test matrix, +-1, made from the term's number alone."""
     words = mix64(terms.astype(np.uint64)[:, None] * np.uint64(64) + np.arange(-(-k // 64), dtype=np.uint64)[None, :] + np.uint64(1))
@@ -146,138 +168,136 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-class _Runs:
-    """Where runs of ``k`` words occur in passages: (passage, place) by the run's number."""
-
-    def __init__(self, k: int, passages: list[tuple[int, np.ndarray]], terms: int):
-        self.k, self.terms = k, terms
-        found = [(self.number([p[i : len(p) - k + 1 + i] for i in range(k)]), j) for j, p in passages]
-        runs = np.concatenate([r for r, _ in found])
-        passage = np.concatenate([np.full(len(r), j) for r, j in found])
-        place = np.concatenate([np.arange(len(r)) for r, _ in found])
-        order = np.argsort(runs, kind="stable")
-        self.passage, self.place = passage[order], place[order]
-        self.runs, self.first, self.times = np.unique(runs[order], return_index=True, return_counts=True)
-        self.marks = np.zeros(1 << 16, bool)
-        self.marks[self.mark(self.runs)] = True
-
-    def number(self, words: list[np.ndarray]) -> np.ndarray:
-        """Runs as numbers; those of more than 2**64 (over two million words) may meet, and the check then parts them."""
-        out = words[0].astype(np.uint64)
-        for x in words[1:]:
-            out = out * np.uint64(self.terms) + x.astype(np.uint64)
-        return out
-
-    @staticmethod
-    def mark(runs: np.ndarray) -> np.ndarray:
-        return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-
-    def places(self, at: np.ndarray, ids: np.ndarray, doc: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, passage, word at which the passage would begin) of places that share enough runs."""
-        k, n = self.k, len(at) - self.k + 1
-        empty = np.zeros(0, np.int64)
-        if n <= 0:
-            return empty, empty, empty
-        i = np.flatnonzero((at[k - 1 :] - at[:n] == k - 1) & (doc[at[k - 1 :]] == doc[at[:n]]))
-        runs = self.number([ids[i + x] for x in range(k)])
-        some = np.flatnonzero(self.marks[self.mark(runs)])
-        i, runs = i[some], runs[some]
-        r = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
-        same = self.runs[r] == runs
-        i, r = i[same], r[same]
-        times = self.times[r]
-        which = np.repeat(self.first[r] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        place = np.repeat(at[i], times)
-        passage, begin, text = self.passage[which], place - self.place[which], doc[place]
-        out = []
-        # on two grids, so that runs a few words apart are together on one of them
-        for shift in (0, SLACK // 2):
-            keys = np.stack([text, passage, (begin + shift) // SLACK], 1)
-            cells, first, n_runs = np.unique(keys, axis=0, return_index=True, return_counts=True) if len(keys) else (keys, empty, empty)
-            enough = n_runs >= need[cells[:, 1]]
-            out.append(np.stack([cells[enough, 0], cells[enough, 1], begin[first[enough]]], 1))
-        return tuple(np.unique(np.concatenate(out), axis=0).T)
-
-
-def _search(vocabulary: np.ndarray, table: np.ndarray, passages: np.ndarray, item_of: np.ndarray, items: list[np.ndarray], item_ids: list, cuts: list[np.ndarray]):
-    terms = [np.searchsorted(vocabulary, p) for p in cuts]
-    sizes = np.array([len(p) for p in cuts])
-    ks = np.minimum(sizes, RUN_WORDS)
-    runs = [_Runs(int(k), [(j, terms[j]) for j in np.flatnonzero(ks == k)], len(vocabulary)) for k in np.unique(ks)]
-    need = np.maximum(1, (RUN_SHARE * (sizes - ks + 1)).astype(np.int64))
-    offset = np.concatenate([np.arange(n) for n in np.unique(item_of, return_counts=True)[1]]) * (PASSAGE_WORDS // 2)
-    table = table.astype(np.float32)
-    norms = np.linalg.norm(passages, axis=1)
-    unit = (passages / np.maximum(norms, 1e-12)[:, None]).astype(np.float32).T.copy()
-    floor = float(MIN_NORM * norms[norms > 0].min()) if (norms > 0).any() else math.inf
+class _Block:
+    """The latent space of a block of items and its passages there."""
+
+    def __init__(self, local: np.ndarray, table: np.ndarray, passages: np.ndarray, at: int):
+        #: Number in the block of each word of the pass; the last row of the table is that of words it does not have.
+        self.local, self.at = np.where(local < 0, len(table), local), at
+        self.table = np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+        self.unit = (passages / np.maximum(np.linalg.norm(passages, axis=1), 1e-12)[:, None]).astype(np.float32)
+
+    def closest(self, words: np.ndarray, places: np.ndarray, passage: int, size: int) -> tuple[float, int]:
+        """Cosine and place of the window of ``size`` places that is closest to a passage."""
+        sums = np.zeros((len(words) + 1, self.table.shape[1]), np.float32)
+        np.cumsum(self.table[self.local[words]], axis=0, out=sums[1:])
+        starts = np.arange(places[0], max(places[0], places[-1] + 1 - size) + 1, max(1, size // 4))
+        windows = sums[np.searchsorted(places, starts + size)] - sums[np.searchsorted(places, starts)]
+        cosine = (windows @ self.unit[passage - self.at]) / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)
+        best = int(cosine.argmax())
+        return float(cosine[best]), int(starts[best])
+
+
+class _Patterns:
+    """Items, and the passages of long ones, as sets of rare words of which a place with a hit has enough."""
+
+    def __init__(self, words: list[np.ndarray], least: np.ndarray, idf: np.ndarray):
+        self.least = least
+        sizes = np.array([len(w) for w in words])
+        self.need = np.maximum(1, least // 3)
+        # a hit lies within half a cell, so that one of two grids has it whole
+        self.half = (SPAN * sizes).astype(np.int64) + 2
+        rare = []
+        for w, m, t in zip(words, least, self.need, strict=True):
+            rare.append(np.unique(w[np.argsort(-idf[w], kind="stable")[: len(w) - m + t]]))
+        pattern = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        order = np.argsort(np.concatenate(rare), kind="stable")
+        self.pattern = pattern[order]
+        self.times = np.bincount(np.concatenate(rare), minlength=len(idf))
+        self.first = np.cumsum(self.times) - self.times
+
+    def places(self, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(pattern, from, to): cells of words that have enough of a pattern's rare words."""
+        times = self.times[ids]
+        known = np.flatnonzero(times)
+        times, first = times[known], self.first[ids[known]]
+        pattern = self.pattern[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        place = np.repeat(at[known], times)
+        half = self.half[pattern]
+        width = int(at[-1]) // (2 * int(self.half.min())) + 3 if len(at) else 0
+        for shift in (0, 1):
+            key = pattern * width + (place + shift * half) // (2 * half)
+            if width * len(self.half) <= 1 << 22:
+                n = np.bincount(key, minlength=width * len(self.half))
+                cells = np.flatnonzero(n)
+                n = n[cells]
+            else:
+                cells, n = np.unique(key, return_counts=True)
+            which = cells // width
+            enough = n >= self.need[which]
+            for p, c in zip(which[enough].tolist(), (cells[enough] % width).tolist(), strict=True):
+                h = int(self.half[p])
+                yield p, (2 * c - shift) * h, (2 * c - shift + 2) * h
+
+
+def _spanned(masks: dict[int, int], size: int, least: int, words: list[int], places: list[int]) -> float:
+    """Largest share of the passage's words in order within a span that its length bounds."""
+    whole, span = _lcs(masks, size, words), int(SPAN * size) + 2
+    if whole < least or places[-1] - places[0] < span:
+        return whole / size
+    best, lo, hi = 0, 0, 0
+    for start in range(places[0], places[-1] + 1, max(1, span // 8)):
+        while places[lo] < start:
+            lo += 1
+        while hi < len(places) and places[hi] < start + span:
+            hi += 1
+        if hi - lo > best:
+            best = max(best, _lcs(masks, size, words[lo:hi]))
+        if hi == len(places):
+            break
+    return best / size
+
+
+def _search(vocabulary: np.ndarray, idf: np.ndarray, blocks: list[_Block], items: list[np.ndarray], answers: list[np.ndarray], item_ids: list, item_of: np.ndarray, cuts: list[np.ndarray], without: bool):
+    """Items, answers and passages are numbers of the words of the sorted ``vocabulary``; ``without`` gives the rows without hits in place of these."""
+    long = [j for j, (i, p) in enumerate(zip(item_of, cuts, strict=True)) if len(p) < len(items[i])]
+    words = [*items, *(cuts[j] for j in long)]
+    floor = [*(PARAPHRASE if len(a) else NO_ANSWER for a in answers), *(COPY for _ in long)]
+    least = np.array([math.ceil(f * len(w) - 1e-9) for f, w in zip(floor, words, strict=True)])
+    first = np.searchsorted(item_of, np.arange(len(items) + 1))
+    starts = [block.at for block in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks = [(_masks(x.tolist()), _masks(x[-ANSWER_WORDS:].tolist()), len(x)) for x in items]
-        parts = [_masks(p.tolist()) if len(p) < len(items[i]) else {} for i, p in zip(item_of, cuts, strict=True)]
+        known, patterns = _Vocabulary(vocabulary), _Patterns(words, least, idf)
+        masks, asked = [_masks(x.tolist()) for x in words], [_masks(a.tolist()) for a in answers]
         for b in batches:
             for part, rows in encode(pc.utf8_lower(b.column("text"))):
                 w = words_of(part)
-                h = w.hashes()
-                if not len(h):
+                if not len(w.starts):
+                    if without:
+                        yield b.slice(rows.start, rows.stop - rows.start)
                     continue
-                n = len(part.offsets) - 1
-                bounds = np.searchsorted(w.doc, np.arange(n + 1))
-                # strides of each text, numbered through; the last one of a text may be shorter
-                per = -(-np.diff(bounds) // STRIDE)
-                base = np.concatenate([[0], np.cumsum(per)])
-                stride_doc = np.repeat(np.arange(n), per)
-                at, ids = _lookup(vocabulary, h)
-                sums = np.zeros((base[-1], table.shape[1]), np.float32)
-                cell = base[w.doc[at]] + (at - bounds[w.doc[at]]) // STRIDE
-                for lo in range(0, len(at), 16384):
-                    c, v = cell[lo : lo + 16384], table[ids[lo : lo + 16384]]
-                    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                    sums[c[first]] += np.add.reduceat(v, first)
-                window = sums.copy()
-                follows = np.flatnonzero(stride_doc[1:] == stride_doc[:-1])
-                window[follows] += sums[follows + 1]
-                length = np.linalg.norm(window, axis=1)
-                good = np.flatnonzero(length >= floor)
-                hits: dict[tuple[int, int], list] = {}
-                seen = set()
-
-                def check(doc: int, j: int, start: int, lo: int, hi: int, cosine: float) -> None:
-                    item = int(item_of[j])
-                    masks, answer, size = checks[item]
-                    region = h[max(int(bounds[doc]), lo) : min(int(bounds[doc + 1]), hi)].tolist()
-                    share = _lcs(masks, size, region) / size
-                    answered = share >= PARAPHRASE and _lcs(answer, min(size, ANSWER_WORDS), region) == min(size, ANSWER_WORDS)
-                    # a long item also counts as held where one of its passages is copied
-                    whole = share >= COPY or answered
-                    if not whole and sizes[j] < size:
-                        share = _lcs(parts[j], int(sizes[j]), region) / int(sizes[j])
-                        whole = share >= COPY
-                    if whole:
-                        old = hits.get((doc, item), [0.0, 0.0, False, 0])
-                        if share > old[1]:
-                            hits[doc, item] = [cosine, share, answered, start - int(bounds[doc])]
-
-                for lo in range(0, len(good), 4096):
-                    g = good[lo : lo + 4096]
-                    cos = (window[g] @ unit) / length[g][:, None]
-                    for i, j in zip(*np.nonzero(cos >= MIN_COSINE), strict=True):
-                        doc, item = int(stride_doc[g[i]]), int(item_of[j])
-                        start = int(bounds[doc] + (g[i] - base[doc]) * STRIDE)
-                        # passages of one item share the check of the item, and each has its own
-                        place = (start, item) if sizes[j] == len(items[item]) else (start, item, int(j))
-                        if place in seen:
+                at, ids = known.find(w.hashes())
+                bounds = np.searchsorted(w.doc, np.arange(len(part.offsets)))
+                hits: dict[tuple[int, int], tuple] = {}
+                for p, lo, hi in patterns.places(at, ids):
+                    item = p if p < len(items) else int(item_of[long[p - len(items)]])
+                    passages = range(first[item], first[item + 1]) if p < len(items) else (long[p - len(items)],)
+                    size, m = len(words[p]), int(least[p])
+                    lo, hi = max(0, lo), min(hi, len(w.doc))
+                    for doc in range(int(w.doc[lo]), int(w.doc[hi - 1]) + 1):
+                        x, y = np.searchsorted(at, (max(lo, bounds[doc]), min(hi, bounds[doc + 1])))
+                        if y - x < m:
+                            continue
+                        k = bisect.bisect_right(starts, passages[0]) - 1
+                        cosine, start = max(blocks[k].closest(ids[x:y], at[x:y], j, len(cuts[j])) for j in passages)
+                        if cosine < MIN_COSINE:
+                            continue
+                        held, places = ids[x:y].tolist(), at[x:y].tolist()
+                        share = _spanned(masks[p], size, m, held, places)
+                        if share * size < m - 1e-6:
                             continue
-                        seen.add(place)
-                        size = len(items[item])
-                        check(doc, int(j), start, start - size, start + 2 * STRIDE + size, float(cos[i, j]))
-                for r in runs:
-                    for doc, j, begin in zip(*(x.tolist() for x in r.places(at, ids, w.doc, need)), strict=True):
-                        size = len(items[item_of[j]])
-                        from_ = begin - int(offset[j])
-                        cell = base[doc] + max(0, begin - int(bounds[doc])) // STRIDE
-                        cosine = float(window[cell] @ unit[:, j]) / max(float(length[cell]), 1e-12)
-                        check(doc, j, max(begin, int(bounds[doc])), from_ - SLACK - size // 4, from_ + size + SLACK + size // 4, cosine)
-                if hits:
+                        n_answer = len(answers[item])
+                        answered = n_answer > 0 and _lcs(asked[item], n_answer, held) == n_answer
+                        if (answered or share >= floor[p]) if p >= len(items) or not n_answer else (answered or share >= COPY):
+                            old = hits.get((doc, item))
+                            if old is None or share > old[1]:
+                                hits[doc, item] = cosine, share, answered, start - int(bounds[doc])
+                if without:
+                    free = np.ones(rows.stop - rows.start, bool)
+                    free[[doc for doc, _ in hits]] = False
+                    yield b.slice(rows.start, rows.stop - rows.start).filter(pa.array(free))
+                elif hits:
                     docs = b.column("doc_id")[rows.start : rows.stop]
                     keys, found = list(hits), list(hits.values())
                     yield pa.RecordBatch.from_arrays(
@@ -294,50 +314,92 @@ HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_found
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that it holds, with the evidence.
 
-    Whole texts are searched in overlapping windows. Null, empty and blank texts hold
-    nothing; items without words are held by nothing; rows repeated under one id give
-    repeated rows; an empty table or benchmark gives an empty result. Other columns
+    Whole texts are searched in overlapping windows. An item's answer is its column
+    ``answer`` if the benchmark has one, else what its text has after a mark such as
+    "Answer:"; without either, ``NO_ANSWER`` of its words in order are a hit by themselves.
+
+    Null, empty and blank texts hold nothing; items without words are held by nothing;
+    rows repeated under one id, and null ids, give rows each; items repeated under one
+    id give a row each; an empty table or benchmark gives an empty result. Other columns
     are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.regexp_count("text", F.lit(WORD)) > 0).orderBy("item_id", "text").toLocalIterator()
-    block: list = []
-    for item in items:
-        block.append(item)
-        if len(block) == ITEMS_PER_BLOCK:
-            hits = _block(spark, docs, block)
-            found, block = hits if found is None else found.unionByName(hits), []
-    if block:
-        hits = _block(spark, docs, block)
-        found = hits if found is None else found.unionByName(hits)
-    return spark.createDataFrame([], HITS) if found is None else found
-
-
-def _block(spark: SparkSession, docs: DataFrame, block: list) -> DataFrame:
-    words = _cut([r["text"] for r in block])
-    vocabulary = np.unique(np.concatenate(words))
-    counted = docs.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    passes = [docs.mapInArrow(search(False), HITS) for search in _passes(docs, benchmark)]
+    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], HITS)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Each row is judged by its own text, whatever its id; rows stay where they are, so
+    nothing is shuffled. See ``contaminated`` for nulls, empty texts and empty tables.
+    """
+    for search in _passes(docs.select("text"), benchmark):
+        docs = docs.mapInArrow(search(True), docs.schema)
+    return docs
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame) -> list:
+    """A search for each pass over the documents, given whether it returns the rows without hits."""
+    given = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    answer = F.coalesce(given, F.nullif(F.regexp_extract("text", ANSWER, 1), F.lit("")), F.lit(""))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).where(F.regexp_count("text", F.lit(WORD)) > 0)
+    # the benchmark is the stated set of queries: its words go to the driver as hashes, block by block
+    blocks: list[list] = []
+    room = 0
+    for r in items.orderBy("item_id", "text", "answer").toLocalIterator():
+        words, answer_words = _cut([r["text"], r["answer"]])
+        if not blocks or len(blocks[-1]) == ITEMS_PER_BLOCK or room < len(words):
+            blocks.append([])
+            room = WORDS_PER_BLOCK
+        blocks[-1].append((r["item_id"], words, answer_words))
+        room -= len(words)
+    if not blocks:
+        return []
+    vocabulary = np.unique(np.concatenate([w for block in blocks for _, w, _ in block]))
+    idf = _weights(docs, vocabulary)
+    return [_pass(docs.sparkSession, blocks[lo : lo + BLOCKS_PER_PASS], vocabulary, idf) for lo in range(0, len(blocks), BLOCKS_PER_PASS)]
+
+
+def _weights(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies of the vocabulary over all documents."""
+    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()
     df, n = np.zeros(len(vocabulary)), 0
-    for r in counted:
-        if r["term"] < 0:
-            n = r["n"]
+    for term, count in counted:
+        if term < 0:
+            n = count
         else:
-            df[r["term"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    rows, item_of, cuts = [], [], []
-    for i, w in enumerate(words):
-        for p in _passages(w):
-            t, c = np.unique(np.searchsorted(vocabulary, p), return_counts=True)
-            rows.append((t.tolist(), (c * idf[t] / np.linalg.norm(c * idf[t])).tolist()))
-            item_of.append(i)
-            cuts.append(p)
-    frame = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
-    basis = latent_space(frame, len(vocabulary), min(RANK, len(rows), len(vocabulary)))
-    table = basis * idf[:, None]
-    passages = np.array([np.array(v) @ basis[t] for t, v in rows]) * np.array([np.linalg.norm(idf[t]) for t, _ in rows])[:, None]
-    return docs.mapInArrow(_search(vocabulary, table, passages, np.array(item_of), words, [r["item_id"] for r in block], cuts), HITS)
+            df[term] = count
+    return np.log((n + 1) / (df + 1)) + 1
+
+
+def _pass(spark: SparkSession, blocks: list[list], vocabulary: np.ndarray, idf: np.ndarray):
+    """The search for the items of a few blocks."""
+    own = np.unique(np.concatenate([x for block in blocks for _, w, a in block for x in (w, a)]))
+    made, items, answers, ids, item_of, cuts = [], [], [], [], [], []
+    number = lambda words: np.searchsorted(own, words)
+    for block in blocks:
+        at, rows = len(cuts), []
+        terms = np.unique(np.concatenate([w for _, w, _ in block]))
+        weight = idf[np.searchsorted(vocabulary, terms)]
+        for item_id, words, answer in block:
+            for p in _passages(words):
+                t, c = np.unique(np.searchsorted(terms, p), return_counts=True)
+                rows.append((t.tolist(), (c * weight[t] / np.linalg.norm(c * weight[t])).tolist()))
+                item_of.append(len(items))
+                cuts.append(number(p))
+            items.append(number(words))
+            answers.append(number(answer))
+            ids.append(item_id)
+        frame = spark.createDataFrame(rows, "terms array<long>, weights array<double>")
+        basis = latent_space(frame, len(terms), min(RANK, len(rows), len(terms)))
+        passages = np.array([np.array(v) @ basis[t] for t, v in rows]) * np.array([np.linalg.norm(weight[t]) for t, _ in rows])[:, None]
+        local = np.full(len(own), -1, np.int64)
+        local[np.searchsorted(own, terms)] = np.arange(len(terms))
+        made.append(_Block(local, basis * weight[:, None], passages, at))
+    rarity = np.zeros(len(own))
+    rarity[np.searchsorted(own, vocabulary[np.isin(vocabulary, own)])] = idf[np.isin(vocabulary, own)]
+    return lambda without: _search(own, rarity, made, items, answers, ids, np.array(item_of), cuts, without)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,12 +407,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    keyed = materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "decontam-docs")
-    hits = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(hits, "_key", "left_anti").select(*docs.columns)
-
-
 QUERIES = {"op8_decontamination": op8_decontamination}
 ORACLE_SQL: dict[str, str] = {}
