@@ -8,128 +8,157 @@ from pyspark.sql.window import Window
 
 from .common import materialise, read_table, running_total, word_count
 
-#: Fraction of the golden ratio: point i of the schedule is frac(i * GOLDEN).
-GOLDEN = 0.6180339887498949
-SLOTS = 1 << 17
-ROWS_PER_BUCKET = 20_000
+#: The schedule has 2 ** BITS slots whatever the size of the input.
+BITS = 17
+ROWS_PER_BUCKET = 4000
 MAX_EPOCHS = 3
+SEED = 7
+
+
+def van_der_corput(slot: Column, bits: int) -> Column:
+    """Point ``slot`` of the base-2 sequence: its bits in reverse. The first 2^bits points are the multiples of 2^-bits."""
+    return F.conv(F.reverse(F.lpad(F.bin(slot), bits, "0")), 2, 10).cast("double") / (1 << bits)
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: Column | None = None) -> DataFrame:
-    """(source, source_size, weight, target) from rows (source, size).
+    """(source, sid, source_size, weight, target) from rows (source, size).
 
-    Sources in code point order, null last, weigh 1, 2, 3, repeating. Targets share
-    the sum of all sizes by weight but stop at ``max_epochs`` times the source's
-    size; the excess is shared again by weight. That is water-filling: with sources
-    in order of cap/weight, those before the first one that stays below its cap are
-    full. One row per source goes through the ordering windows.
+    Sources in code point order, null last, are numbered from 1 (``sid``) and weigh 1, 2,
+    3, repeating. Targets share the sum of all sizes by weight but stop at ``max_epochs``
+    times the source's size; the excess is shared again by weight. That is water-filling:
+    with sources in order of cap/weight, those before the first one that stays below its
+    cap are full. One row per source goes through the ordering windows.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    s = by_source.withColumn("weight", (weights if weights is not None else F.pmod(nth - 1, F.lit(3)) + 1).cast("double"))
+    s = by_source.withColumn("sid", nth).withColumn("weight", (weights if weights is not None else F.pmod(F.col("sid") - 1, F.lit(3)) + 1).cast("double"))
     s = s.withColumn("_cap", (F.col("source_size") * max_epochs).cast("double"))
-    order = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    order = Window.orderBy(F.col("_cap") / F.col("weight"), "sid")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(rest))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = lambda all_, part: F.sum(all_).over(whole) - F.coalesce(F.sum(part).over(earlier), F.lit(0.0))
+    s = s.withColumn("_level", F.try_divide(rest("source_size", "_cap"), rest("weight", "weight")))
     below = F.col("_level") * F.col("weight") <= F.col("_cap")
-    s = s.withColumn("_water", F.first(F.when(below, F.col("_level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    s = s.withColumn("_water", F.first(F.when(below, F.col("_level")), ignorenulls=True).over(whole))
     target = F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("weight"), F.col("_cap")))
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    return s.select("source", "sid", "source_size", "weight", target.alias("target"))
 
 
-def schedule(spark: SparkSession, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, source, rank, source_slots): golden-ratio points through the cumulative weights.
+def schedule(spark: SparkSession, targets: DataFrame, bits: int = BITS, point=van_der_corput) -> DataFrame:
+    """(slot, sid, rank): points of a low-discrepancy sequence through the cumulative targets.
 
-    A point falls in the source whose interval of the cumulative targets holds it;
-    ranks count a source's slots in schedule order. Intervals and points meet in an
-    equi-join on cells of the unit line. A source that no point hits gets one slot
-    at the end. The schedule has ``slots`` rows whatever the size of the input.
+    A slot belongs to the source whose interval of the cumulative targets holds its
+    point; ranks count a source's slots in schedule order, from 0. Intervals and points
+    meet in an equi-join on cells of the unit line. The number of slots that a source
+    wins is within one of its share of all.
     """
     cells = 1024
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = targets.where("target > 0").withColumn("_all", F.sum("target").over(whole))
-    t = t.withColumn("_hi", F.sum("target").over(order) / F.col("_all")).withColumn("_lo", F.lag("_hi", 1, 0.0).over(order))
-    t = t.withColumn("_hi", F.when(F.row_number().over(Window.orderBy(F.col("source").desc_nulls_first())) == 1, 2.0).otherwise(F.col("_hi")))
-    spans = t.select("source", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)))).alias("_cell"))
-    u = F.col("id") * GOLDEN
-    points = spark.range(slots).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("_u"))
-    points = points.withColumn("_cell", F.floor(F.col("_u") * cells))
-    hit = points.join(spans, (points["_cell"] == spans["_cell"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("slot", "source")
-    hit = hit.withColumn("_chunk", F.floor(F.col("slot") / 4096)).withColumn("_one", F.lit(1))
-    ranked = running_total(hit, ["source"], "_chunk", ["slot"], "_one", "rank").select("slot", "source", F.col("rank").cast("long").alias("rank"))
-    counts = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    nth = F.row_number().over(order) - 1
-    per = t.select("source", nth.alias("_nth")).alias("l").join(counts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left").select("l.source", "l._nth", F.coalesce("_n", F.lit(0)).alias("_n"))
-    missed = per.where("_n = 0").select((F.lit(slots) + F.col("_nth")).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("source_slots"))
-    full = ranked.alias("l").join(per.where("_n > 0").alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.slot", "l.source", "l.rank", F.col("_n").cast("long").alias("source_slots"))
-    return full.unionByName(missed)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = 7, slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """The mix of ``docs`` (id, source, size) as (sizes with targets, pieces).
-
-    Each source's documents lie on a line of words in an order shuffled by hash; the
-    line is repeated up to ``max_epochs`` times and cut into as many equal blocks of
-    words as the source has slots, so that its blocks add up to its target. A piece
-    (slot, row, epoch, words) is the part of a document in the block of a slot.
-
-    Rows with null or repeated ids are documents of their own; null source is a
-    source; documents without words are taken 0 times; an empty table gives empty
-    results. Other columns are ignored.
+    order = Window.orderBy("sid")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = targets.where("target > 0").withColumn("_hi", F.sum("target").over(order) / F.sum("target").over(whole))
+    t = t.withColumn("_lo", F.lag("_hi", 1, 0.0).over(order)).withColumn("_hi", F.when(F.col("sid") == F.max("sid").over(whole), 2.0).otherwise(F.col("_hi")))
+    spans = t.select("sid", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)))).alias("_cell"))
+    points = spark.range(1 << bits).select(F.col("id").alias("slot"), point(F.col("id"), bits).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * cells))
+    hit = points.join(spans, "_cell").where("_u >= _lo and _u < _hi").select("slot", "sid")
+    hit = hit.withColumn("_chunk", F.floor(F.col("slot") / 1024)).withColumn("_one", F.lit(1))
+    return running_total(hit, ["sid"], "_chunk", ["slot"], "_one", "rank").select(F.col("slot").cast("int").alias("slot"), "sid", F.col("rank").cast("int").alias("rank"))
+
+
+def mix(rows: DataFrame, seed: int = SEED, bits: int = BITS, max_epochs: int = MAX_EPOCHS, point=van_der_corput) -> DataFrame:
+    """``rows`` (doc_id, source, size, ...) with source_size, target, ``taken`` and ``places``.
+
+    Each source's documents lie on a line of words in an order shuffled by a hash of
+    the id; the line repeats up to ``max_epochs`` times and is cut into blocks of equal
+    numbers of words, the same for all sources: all words over 2^bits. A source is given as many of
+    its blocks, from the first on, as it wins slots of the ``schedule``; that, and not
+    the target, decides the words ``taken`` of a document. ``places`` has for each epoch
+    the words taken, the slot of the block in which they begin, and the number of blocks.
+
+    Rows with null or repeated ids are documents of their own; null source is a source;
+    documents without words are taken 0 times; identical rows share their order between them; an empty
+    table gives an empty result. Other columns stay; results replace columns of their names.
+
+    Rows are dealt by source and bucket of the hash; only tables of one row per bucket,
+    source or slot meet on the source alone. The schedule is broadcast: it has 2^bits rows of three numbers.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), "source", "size")
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    d = materialise(d.withColumn("_h", h), "mix-sizes")
-    n = d.count()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
-    d = d.withColumn("_bucket", F.floor((F.shiftrightunsigned(F.col("_h"), 33) / F.lit(float(1 << 31))) * buckets))
-    targets = materialise(source_targets(d.select("source", "size"), max_epochs), "mix-targets")
-    line = running_total(d, ["source"], "_bucket", ["_h", "doc_id", "size"], "size", "_at")
-    line = materialise(line.withColumn("_row", F.monotonically_increasing_id()).drop("_h", "_bucket"), "mix-line")
-    plan = materialise(schedule(spark, targets, slots), "mix-schedule")
-    counts = plan.where("rank = 0").select("source", "source_slots")
-    per = targets.alias("l").join(counts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left").select("l.source", "l.source_size", "l.target", F.coalesce("source_slots", F.lit(0)).alias("source_slots"))
-    # the source side has one row per source; Spark picks the join by its size and splits a hot source
-    sized = line.alias("l").join(per.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target", "r.source_slots")
-    goal = F.round("target").cast("long")
-    epochs = sized.where("size > 0 and source_slots > 0").withColumn("_goal", goal).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-    start = F.col("epoch") * F.col("source_size") + F.col("_at")
-    epochs = epochs.withColumn("_from", start.cast("long")).withColumn("_to", F.least(start + F.col("size"), F.col("_goal")).cast("long")).where("_from < _to")
-    # block r covers the words from floor(r * goal / slots) on
-    block = lambda at: F.floor(((at + 1) * F.col("source_slots") - 1) / F.col("_goal"))
-    epochs = epochs.withColumn("rank", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to") - 1))))
-    edge = lambda r: F.floor((r * F.col("_goal")).cast("decimal(38,0)") / F.col("source_slots")).cast("long")
-    pieces = epochs.withColumn("words", (F.least("_to", edge(F.col("rank") + 1)) - F.greatest("_from", edge(F.col("rank")))).cast("long")).where("words > 0")
-    pieces = pieces.alias("l").join(plan.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.rank") == F.col("r.rank"))).select("r.slot", "l.source", "l._row", "l.doc_id", "l.epoch", "l.words")
-    return sized, pieces
+    spark = rows.sparkSession
+    made = ["source_size", "target", "taken", "places"]
+    keep = [c for c in rows.columns if c not in made]
+    buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
+    h = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(15)), 16, 10).cast("long")
+    d = rows.select(F.struct(*keep).alias("_row"), "source", F.col("size").cast("long").alias("size"), h.alias("_h"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_g"))
+    d = d.withColumn("_bucket", F.floor(F.col("_h") / F.lit(float(1 << 60)) * buckets))
+    sums = materialise(d.groupBy("_g", "source", "_bucket").agg(F.sum("size").alias("size")), "mix-sums")
+    targets = materialise(source_targets(sums, max_epochs), "mix-targets")
+    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    if not total:
+        none = F.array().cast("array<struct<epoch:int,words:bigint,slot:int,blocks:bigint>>")
+        return rows.select(*keep, F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), none.alias("places"))
+    plan = materialise(schedule(spark, targets, bits, point), "mix-schedule")
+    won = plan.groupBy("sid").agg(F.count(F.lit(1)).alias("won"))
+    per = targets.join(won, "sid", "left").select("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_g"), "source_size", "target", F.coalesce("won", F.lit(0)).alias("won"))
+    before = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_g", "_bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start")).join(per, "_g")
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_h", "_row.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # block r covers the words from floor(r * total / 2^bits) on
+    goal = F.least(F.expr(f"cast(won as decimal(20,0)) * {total} div {1 << bits}"), F.col("source_size") * max_epochs)
+    line = d.join(starts, ["_g", "_bucket"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("_goal", goal)
+    block = lambda at: f"cast(((cast({at} as decimal(20,0)) + 1) * {1 << bits} - 1) div {total} as int)"
+    for e in range(max_epochs):
+        line = line.withColumn(f"_from{e}", F.col("_at") + F.col("source_size") * e).withColumn(f"_to{e}", F.least(F.col(f"_from{e}") + F.col("size"), "_goal"))
+        some = F.col(f"_to{e}") > F.col(f"_from{e}")
+        line = line.withColumn(f"_r{e}", F.when(some, F.expr(block(f"_from{e}")))).withColumn(f"_n{e}", F.when(some, F.expr(block(f"_to{e} - 1"))) - F.col(f"_r{e}") + 1)
+        at = F.broadcast(plan.select("sid", F.col("rank").alias(f"_r{e}"), F.col("slot").alias(f"_slot{e}")))
+        line = line.join(at, ["sid", f"_r{e}"], "left")
+    place = lambda e: F.struct(F.lit(e).alias("epoch"), (F.col(f"_to{e}") - F.col(f"_from{e}")).cast("long").alias("words"), F.col(f"_slot{e}").alias("slot"), F.col(f"_n{e}").cast("long").alias("blocks"))
+    places = F.filter(F.array(*[place(e) for e in range(max_epochs)]), lambda p: p["words"] > 0)
+    taken = F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return line.select("_row.*", "source_size", "target", taken.alias("taken"), places.alias("places"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of each document, beside its source's target."""
+    """Words the mix takes of each document and its place in the schedule, beside its source's target."""
     docs = read_table(spark, sf_dir, "documents")
-    sized, pieces = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
-    return sized.join(taken, "_row", "left").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    m = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    n_slots = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["blocks"])
+    first = F.get("places", F.lit(0))["slot"].cast("long")
+    return m.select("doc_id", "size", "source_size", "target", "taken", "source", first.alias("first_slot"), n_slots.alias("n_slots"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: a copy for every epoch of which at least half is taken.
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The documents of the mix in the order of the schedule: a copy for every epoch of which at least half is taken.
 
     Columns of ``docs`` stay; a document of which less than half an epoch is taken is
-    left out by the source's target, one of a source below its weight is repeated.
+    left out by the source's target, one of a source below its weight is repeated. Rows
+    lie in the order of the slots in which their words begin, from the first partition to the last.
+    Rows with null source or repeated or null ids, and empty tables: see ``mix``; documents without words
+    count as one word.
     """
-    keyed = materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "mix-docs")
-    sized, pieces = mix(keyed.select(F.col("_key"), "source", F.greatest(word_count(F.col("text")), F.lit(1)).alias("size")), id_col="_key")
-    per_epoch = pieces.groupBy("doc_id", "epoch").agg(F.sum("words").alias("_words"))
-    sizes = sized.select(F.col("doc_id").alias("_id"), "size")
-    copies = per_epoch.join(sizes, per_epoch["doc_id"] == sizes["_id"]).where("2 * _words >= size").groupBy("_id").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    out = keyed.join(copies, keyed["_key"] == copies["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.greatest(word_count(F.col("text")), F.lit(1)).alias("size"))
+    copies = mix(rows, seed).select("row", "size", F.inline("places")).where("2 * words >= size")
+    return copies.repartitionByRange("slot", "epoch").sortWithinPartitions("slot", "epoch", "row.doc_id").select("row.*")
 
 
 QUERIES = {"op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_mixing": r"""
+with d as (select row_number() over () k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 15) h from documents),
+b as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) sid from d group by source),
+w as (select *, ((sid - 1) % 3 + 1)::double weight, 3.0::double * source_size as cap from b),
+l as (select *, (sum(source_size) over () - coalesce(sum(cap) over q, 0)) / (sum(weight) over () - coalesce(sum(weight) over q, 0)) lvl from w
+  window q as (order by cap / weight, sid rows between unbounded preceding and 1 preceding)),
+f as (select arg_min(lvl, (cap / weight, sid)) water from l where lvl * weight <= cap),
+t as (select sid, source, source_size, least(cap, coalesce(water * weight, cap))::double target from l, f),
+c as (select *, sum(target) over (order by sid) / sum(target) over () hi from t where target > 0),
+i as (select *, lag(hi, 1, 0) over (order by sid) lo, case when sid = max(sid) over () then 2 else hi end up from c),
+p as (select slot, list_sum(list_transform(range(17), lambda k: ((slot >> k) & 1) << (16 - k)))::double / 131072 u from range(131072) r(slot)),
+s as (select p.slot, i.sid, row_number() over (partition by i.sid order by p.slot) - 1 rk from p join i on p.u >= i.lo and p.u < i.up),
+n as (select sid, count(*) won from s group by sid),
+a as (select sum(source_size)::hugeint total from t),
+g as (select t.*, least(coalesce(won, 0)::hugeint * total // 131072, 3 * source_size)::bigint goal, total from t left join n using (sid), a),
+x as (select d.*, g.sid, g.source_size, g.target, goal, total, coalesce(sum(size) over (partition by d.source order by h, doc_id, size, k rows between unbounded preceding and 1 preceding), 0)::bigint at_ from d join g on d.source is not distinct from g.source),
+e as (select x.*, ep, at_ + ep * source_size fr, least(at_ + ep * source_size + size, goal) upto from x, range(3) z(ep)),
+y as (select *, (((fr::hugeint + 1) * 131072 - 1) // total)::bigint r0, (((upto::hugeint) * 131072 - 1) // total)::bigint r1 from e where upto > fr),
+o as (select k, sum(upto - fr)::bigint taken, arg_min(slot, ep)::bigint first_slot, sum(r1 - r0 + 1)::bigint n_slots from y join s on s.sid = y.sid and s.rk = y.r0 group by k)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, source, first_slot, coalesce(n_slots, 0)::bigint n_slots from x left join o using (k)""",
+}
