@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -31,7 +32,11 @@ def _urn(page_id: int | None, digest: str) -> str:
 
 
 def _page_id(urn: str | None) -> int | None:
-    number = uuid.UUID(urn.strip("<>")[9:]).int if urn else 1 << 64
+    """The number that ``_urn`` put into a record id; null for ids of other writers."""
+    try:
+        number = uuid.UUID(urn.strip("<>")[9:]).int if urn else 1 << 64
+    except ValueError:
+        return None
     return None if number >> 64 else number - (1 << 64 if number >> 63 else 0)
 
 
@@ -67,6 +72,10 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     The smallest ids come from partial sums by digest, not from windows, so a payload
     that a third of the pages share is never in one task; rows whose payload is too
     small to refer get keys of their own in the join.
+
+    Null html is an empty payload; a row with a null id refers to nothing and is not
+    referred to; of rows repeated under the smallest id each is a response; an empty
+    table gives an empty result. Other columns are ignored.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -82,7 +91,9 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
 
     Spark's text writer puts the bytes down as they are and its commit protocol keeps
     one copy of each archive when a task runs twice. Null html is an empty payload; a
-    null url has no target line; rows with null ids are responses.
+    null url has no target line; rows with null ids are responses; repeated rows are
+    records each; an empty table leaves a folder without records. An archive is closed at the mean
+    number of records that make ``archive_bytes``, so that of pages longer than others is larger.
     """
     n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
     per_file = max(1, archive_bytes * n // max(1, total))
@@ -152,7 +163,9 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
 
     A record whose head, length, block digest or payload digest fails is given up;
     the search goes on at the next version line after it and the bytes between are
-    a gap.
+    a gap. A digest is checked by the algorithm it names, in hex, base32 or base64; one
+    that is absent or of an unknown algorithm is not checked, nor is that of a payload
+    whose transfer encoding its writer may have taken off.
     """
     at, gap, problem = 0, None, ""
     while at < len(content):
@@ -189,19 +202,32 @@ def _one(content: bytes, at: int) -> tuple[dict | None, str]:
     block = content[begin:end]
     if content[end : end + 4] != b"\r\n\r\n":
         return None, "length does not lead to the end of a record"
-    if (d := head.get("warc-block-digest", "")).startswith("sha256:") and hashlib.sha256(block).hexdigest() != d[7:]:
+    if differs(head.get("warc-block-digest", ""), block):
         return None, "block digest differs"
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest, kind = head.get("warc-payload-digest", "").removeprefix("sha256:"), head.get("warc-type")
-    length = re.search(rb"(?i)\r\ncontent-length: (\d+)", http)
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+    kind = head.get("warc-type")
+    http, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
+    if kind == "response" and not re.search(rb"(?i)\r\ntransfer-encoding:", http) and differs(head.get("warc-payload-digest", ""), payload):
         return None, "payload digest differs"
-    try:
-        ids = [None if "warc-page-unknown" in head else _page_id(head.get("warc-record-id")), _page_id(head.get("warc-refers-to"))]
-    except ValueError:
-        return None, "record id is not valid"
-    size = len(payload) if kind == "response" else int(length[1]) if length else None
-    return {"end": end + 4, "page_id": ids[0], "uri": head.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": ids[1], "payload": payload if kind == "response" else None}, ""
+    ids = [None if "warc-page-unknown" in head else _page_id(head.get("warc-record-id")), _page_id(head.get("warc-refers-to"))]
+    found = {"end": end + 4, "page_id": ids[0], "uri": head.get("warc-target-uri"), "record_type": kind, "refers_to": ids[1], "payload": None, "payload_bytes": None}
+    found["payload_digest"] = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    if kind in ("response", "resource", "conversion"):
+        found |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
+    elif length := re.search(rb"(?i)\r\ncontent-length: *(\d+)", http):
+        found["payload_bytes"] = int(length[1])
+    return found, ""
+
+
+def differs(stated: str, data: bytes) -> bool:
+    """Whether a labelled digest names a known algorithm and is not that of the bytes."""
+    name, _, text = stated.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not text or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return False
+    digest = hashlib.new(name, data).digest()
+    text = text.strip()
+    same = text.lower() == digest.hex() or text.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+    return not same and text.rstrip("=") != base64.b64encode(digest).decode().rstrip("=")
 
 
 def salvage(path: str, data: bytes) -> Iterator[dict]:
@@ -248,16 +274,24 @@ def _salvage_batches(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of all archives under ``path`` and, as rows of type ``gap``, the quarantined byte ranges."""
+    """Records of all archives under ``path`` and, as rows of type ``gap``, the quarantined byte ranges.
+
+    Each archive is one row of the file source, which takes up to 2 GB; archives of that
+    size need executors that hold one and its largest member. Digests of payloads are
+    SHA-256 in hex whatever the archive states; of revisits they are as stated. Ids are
+    null in archives of other writers. A folder without records gives an empty result.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_salvage_batches(with_payload), RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and read back."""
+    """All pages written to archives and read back; a gap in an archive just written is an error."""
     path = shared_path(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    back = read_archives(spark, path, with_payload=False).where("record_type <> 'gap'")
+    back = read_archives(spark, path, with_payload=False)
+    lost = F.concat(F.lit("archive "), "archive", F.lit(" has a gap: "), F.coalesce("problem", F.lit("")))
+    back = back.where(F.when(F.col("record_type") == "gap", F.raise_error(lost).cast("boolean")).otherwise(True))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
