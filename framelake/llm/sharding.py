@@ -4,119 +4,142 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, read_table, running_total
+from .common import discard, materialise, read_table, running_total
 
 BINS = 4096
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4000
 DIMENSIONS = ("_d0", "_d1", "_d2", "_d3")
+#: Leaves of the pipeline's corpus hold about this many bytes of text.
+SHARD_BYTES = 256 << 20
+#: Copies of one text stay together while they weigh at most this share of a shard.
+WHOLE = 0.1
+#: Cuts of more nodes than this are joined by a shuffle, fewer are broadcast.
+BROADCAST_NODES = 1 << 16
+GROUP = ["_t", "size", "text_crc32"]
 
 
-def _dimensions(docs: DataFrame) -> DataFrame:
-    """Size, checksum and the four metadata dimensions, each spread over [0, 1].
+def _unit(*c: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*c), 11) / F.lit(float(1 << 53))
 
-    Source and language are placed by hash, length by its logarithm, age by the id.
-    A few bits of a hash of the row are added below each value, so that rows with
-    equal metadata (one source may hold a third of all rows) can be divided.
-    """
+
+def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    unit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 11) / F.lit(float(1 << 53))
-    d = docs.select(
+    return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        unit(F.coalesce(F.col("source"), F.lit(""))).alias("_s"),
-        unit(F.coalesce(F.col("lang"), F.lit(""))).alias("_l"),
+        F.xxhash64(text).alias("_t"),
+        _unit(F.coalesce(F.col("source"), F.lit(""))).alias("_s"),
+        _unit(F.coalesce(F.col("lang"), F.lit(""))).alias("_l"),
+        F.col("doc_id").cast("double").alias("_age"),
     )
-    return d.withColumn("_tie", unit(F.struct("doc_id", "text_crc32", "size")))
 
 
-def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """(doc_id, size, text_crc32, shard) for every row, and the number of shards.
+def _points(rows: DataFrame, n: int, total: int, shards: int) -> DataFrame:
+    """``rows`` with the metadata that places them, ``_tie`` last: that of the first row for copies that stay together.
 
-    With ``target_bytes`` the number of shards is the power of two that brings
-    leaves to that size. Every level divides all nodes at once: one aggregate finds
-    each node's extent along each dimension, one histogram of bytes per node along
-    its widest dimension finds the bin that holds the weighted median, and a second
-    histogram of that bin alone finds the cut. Only these sums, at most ``shards``
-    times ``BINS`` rows of them, are gathered; documents stay where they are.
-
-    Null text weighs 1 byte; null source, language or id are values like others;
-    rows repeated alike may be divided or not; an empty table gives an empty result.
-    Other columns are ignored.
+    Copies that make up much of a shard, by bytes or rows, are at most 20 for each
+    shard in number: they are broadcast, and no row of theirs is shuffled to be
+    joined. Other copies meet their first row by a join on the text's hashes.
+    """
+    copies = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_fs"), F.min("_l").alias("_fl"), F.min("_age").alias("_fa")).where("_n > 1")
+    copies = materialise(copies, "kd-copies")
+    weight = F.col("_n") * F.col("size")
+    many = (weight > WHOLE * total / shards) | (F.col("_n") > WHOLE * n / shards)
+    large = F.broadcast(copies.where(many).withColumn("_whole", weight <= WHOLE * total / shards))
+    own = _unit(F.struct("doc_id", "text_crc32", "size"))
+    shared = _unit(F.struct(*GROUP), F.lit(1))
+
+    def placed(d: DataFrame, together: Column) -> DataFrame:
+        pick = lambda first, mine: F.when(together, first).otherwise(mine)
+        return d.select("doc_id", "size", "text_crc32", pick(F.col("_fs"), F.col("_s")).alias("_s"), pick(F.col("_fl"), F.col("_l")).alias("_l"), pick(F.col("_fa"), F.col("_age")).alias("_age"), pick(shared, own).alias("_tie"))
+
+    hot = placed(rows.join(large, GROUP), F.col("_whole"))
+    rest = rows.join(large.select(*GROUP), GROUP, "left_anti").join(copies.where(~many), GROUP, "left")
+    return hot.unionByName(placed(rest, F.col("_n").isNotNull()))
+
+
+def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard) for every row.
+
+    With ``target_bytes`` the number of shards is the power of two that brings leaves
+    to that size. Source and language are placed by hash, length by its logarithm, age by
+    the id; a few bits of a hash of the row are added below each value, so that rows
+    with equal metadata (one source may hold a third of all rows) can be divided.
+
+    Every level divides all nodes at once: one aggregate finds each node's widest dimension,
+    one histogram of bytes per node along it finds the bin that holds the weighted median, and a
+    second histogram of that bin alone finds the cut. Cuts stay tables of a row per node; documents
+    are not shuffled, and nothing of either comes to the driver.
+
+    Copies of one text are in one shard if together they weigh at most ``WHOLE`` of
+    one, which bounds what they add to a shard; larger groups are divided. Null text
+    weighs 1 byte; null source, language or id are values like others; rows repeated
+    alike go the way of copies; an empty table gives an empty result. Other columns are ignored.
     """
-    d = _dimensions(docs)
-    d = materialise(d, "kd-meta")
-    top = d.agg(F.sum("size").alias("all"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("size").alias("most")).first()
+    rows = materialise(_rows(docs), "kd-rows")
+    top = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"), F.min("_age").alias("lo"), F.max("_age").alias("hi"), F.max("size").alias("most")).first()
+    total = top["all"] or 0
     if target_bytes is not None:
-        shards = 1 << max(0, math.ceil(math.log2(max(1.0, (top["all"] or 1) / target_bytes))))
+        shards = 1 << max(0, math.ceil(math.log2(max(1.0, total / target_bytes))))
     levels = max(0, int(math.log2(shards)))
     if 1 << levels != shards:
         raise ValueError("the number of shards is a power of two")
     lo, span = float(top["lo"] or 0), max(1.0, float((top["hi"] or 0) - (top["lo"] or 0)))
     fine = F.col("_tie") / 4096
-    d = d.select(
+    d = _points(rows, top["n"], total, shards).select(
         "doc_id", "size", "text_crc32",
         (F.col("_s") + fine).alias("_d0"),
         (F.col("_l") + fine).alias("_d1"),
         (F.log(F.col("size")) / math.log(max(2, top["most"] or 2)) + fine).alias("_d2"),
-        ((F.coalesce(F.col("doc_id").cast("double"), F.lit(lo)) - lo) / span + fine).alias("_d3"),
+        ((F.coalesce("_age", F.lit(lo)) - lo) / span + fine).alias("_d3"),
         F.lit(0).alias("_node"),
     )
-    for _ in range(levels):
-        extent = d.groupBy("_node").agg(F.sum("size").alias("w"), *[f(x).alias(f"{n}{x}") for x in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        if not extent:
-            break
-        plan = {}
-        for r in extent:
-            widest = max(DIMENSIONS, key=lambda x: (r[f"hi{x}"] - r[f"lo{x}"], -DIMENSIONS.index(x)))
-            plan[r["_node"]] = (widest, r[f"lo{widest}"], max(r[f"hi{widest}"] - r[f"lo{widest}"], 1e-12), r["w"])
-        cuts = _cuts(d, plan)
-        value, cut = _by_node({n: p[0] for n, p in plan.items()}, column=True), _by_node(cuts)
-        d = materialise(d.withColumn("_node", F.col("_node") * 2 + F.when(value >= cut, 1).otherwise(0)), "kd-level")
-    return d.select("doc_id", "size", "text_crc32", F.col("_node").cast("int").alias("shard")), shards
-
-
-def _by_node(values: dict, column: bool = False):
-    """The value of a row's node, as nested halves of the node numbers."""
-    def pick(nodes):
-        if len(nodes) == 1:
-            return F.col(values[nodes[0]]) if column else F.lit(values[nodes[0]])
-        half = len(nodes) // 2
-        return F.when(F.col("_node") < nodes[half], pick(nodes[:half])).otherwise(pick(nodes[half:]))
-
-    return pick(sorted(values))
-
-
-def _cuts(d: DataFrame, plan: dict) -> dict:
-    """For each node the value along its widest dimension at which half its bytes lie below."""
-    value = _by_node({n: p[0] for n, p in plan.items()}, column=True)
-    low, width, before = {n: p[1] for n, p in plan.items()}, {n: p[2] for n, p in plan.items()}, dict.fromkeys(plan, 0)
-    cuts = {}
-    for last in (False, True):
-        lo, wide = _by_node(low), _by_node(width)
-        at = d.select("_node", "size", F.floor((value - lo) / wide * BINS).alias("_bin"))
-        at = at.where("_bin >= 0 and _bin < 4096") if last else at.withColumn("_bin", F.least(F.col("_bin"), F.lit(BINS - 1)))
-        by = {}
-        for n, b, w in at.groupBy("_node", "_bin").agg(F.sum("size")).collect():
-            by.setdefault(n, []).append((b, w))
-        for n, (_, _, _, weight) in plan.items():
-            total = before[n]
-            found = None
-            for b, w in sorted(by.get(n, [])):
-                found = (b, total, w)
-                if 2 * (total + w) >= weight:
-                    break
-                total += w
-            b, total, w = found or (0, total, 0)
-            step = width[n] / BINS
-            if last:
-                cuts[n] = low[n] + step * (b if weight / 2 - total < total + w - weight / 2 else b + 1)
-            else:
-                before[n], low[n], width[n] = total, low[n] + step * b, step
-    return cuts
+    d = materialise(d, "kd-level")
+    for level in range(levels):
+        cuts = _cuts(d, 1 << level)
+        at = _along(d, cuts, 1 << level)
+        halves = at.withColumn("_node", F.col("_node") * 2 + F.when(F.col("_v") >= F.col("_cut"), 1).otherwise(0))
+        before, d = d, materialise(halves.select(*d.columns), "kd-level")
+        discard(before)
+    return d.select("doc_id", "size", "text_crc32", F.col("_node").cast("int").alias("shard"))
+
+
+def _along(d: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``d`` with its node's row of ``nodes`` and ``_v``, the value along that node's dimension."""
+    nodes = F.broadcast(nodes) if n <= BROADCAST_NODES else nodes
+    return d.join(nodes, "_node").withColumn("_v", F.get(F.array(*DIMENSIONS), F.col("_dim")))
+
+
+def _cuts(d: DataFrame, n: int) -> DataFrame:
+    """(_node, _dim, _cut): the value along each node's widest dimension nearest to which half its bytes lie below."""
+    extent = d.groupBy("_node").agg(F.sum("size").alias("_all"), *[f(x).alias(f"_{name}{x}") for x in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))])
+    sides = F.array(*[F.col(f"_hi{x}") - F.col(f"_lo{x}") for x in DIMENSIONS])
+    extent = extent.withColumn("_dim", (F.array_position(sides, F.array_max(sides)) - 1).cast("int"))
+    extent = extent.select("_node", "_all", "_dim", F.get(F.array(*[F.col(f"_lo{x}") for x in DIMENSIONS]), F.col("_dim")).alias("_lo"), F.greatest(F.array_max(sides), F.lit(1e-12)).alias("_wide"))
+    extent = materialise(extent, "kd-extent")
+    bin_ = lambda lo, wide: F.least(F.greatest(F.floor((F.col("_v") - lo) / wide * BINS), F.lit(0)), F.lit(BINS - 1))
+    below = Window.partitionBy("_node").orderBy("_bin")
+
+    def middle(hist: DataFrame) -> DataFrame:
+        """The first bin by which half of the bytes lie below."""
+        h = hist.withColumn("_to", F.col("_before") + F.sum("_w").over(below))
+        return h.where((2 * F.col("_to") >= F.col("_all")) & (2 * (F.col("_to") - F.col("_w")) < F.col("_all")))
+
+    keep = ["_node", "_all", "_dim", "_lo", "_wide"]
+    first = _along(d, extent, n).withColumn("_bin", bin_(F.col("_lo"), F.col("_wide"))).groupBy(*keep, "_bin").agg(F.sum("size").alias("_w")).withColumn("_before", F.lit(0))
+    first = middle(first).select(*keep, F.col("_bin").alias("_in"), (F.col("_to") - F.col("_w")).alias("_before"))
+    first = materialise(first, "kd-median")
+    start, step = F.col("_lo") + F.col("_wide") / BINS * F.col("_in"), F.col("_wide") / BINS
+    inner = _along(d, first, n).where(bin_(F.col("_lo"), F.col("_wide")) == F.col("_in")).withColumn("_bin", bin_(start, step))
+    second = middle(inner.groupBy(*keep, "_in", "_before", "_bin").agg(F.sum("size").alias("_w")))
+    half = F.col("_all") / 2
+    up = F.when(half - (F.col("_to") - F.col("_w")) < F.col("_to") - half, 0).otherwise(1)
+    return second.select("_node", "_dim", (start + step / BINS * (F.col("_bin") + up)).alias("_cut"))
 
 
 def with_slots(d: DataFrame) -> DataFrame:
@@ -131,9 +154,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(read_table(spark, sf_dir, "documents"))
 
 
-def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
-    d, _ = kd_shards(docs, shards)
-    d = with_slots(materialise(d, "kd-shards"))
+def sharded(docs: DataFrame, shards: int = 16, target_bytes: int | None = None) -> DataFrame:
+    """The shard and slot of every row; law ``bytes``. See ``kd_shards``."""
+    d = with_slots(materialise(kd_shards(docs, shards, target_bytes), "kd-shards"))
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
