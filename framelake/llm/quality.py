@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 from .words import encode, words_of
@@ -79,20 +80,23 @@ def _repeat_words(batch) -> np.ndarray:
     return np.bincount(batch.doc[covered[: len(batch.doc)]], minlength=n)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part, rows in encode(b.column("text")):
-            w = words_of(part)
-            n = len(part.offsets) - 1
-            n_words = np.bincount(w.doc, minlength=n)
-            count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
-            chars = count(((w.data & 0xC0) != 0x80) & ~w.space)
-            lines, dup = _line_counts(w)
-            upper = count((w.data >= 65) & (w.data <= 90))
-            sliced = b.slice(rows.start, rows.stop - rows.start)
-            keep = [c for c in b.schema.names if c != "text"]
-            arrays = [sliced.column(c) for c in keep] + [pa.array(x.astype(np.int64)) for x in (n_words, chars, count(_SYMBOLS[w.data]), dup, _repeat_words(w), lines, upper)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *MEASURES])
+def _measure(drop_text: bool = True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, rows in encode(b.column("text")):
+                w = words_of(part)
+                n = len(part.offsets) - 1
+                n_words = np.bincount(w.doc, minlength=n)
+                count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
+                chars = count(((w.data & 0xC0) != 0x80) & ~w.space)
+                lines, dup = _line_counts(w)
+                upper = count((w.data >= 65) & (w.data <= 90))
+                sliced = b.slice(rows.start, rows.stop - rows.start)
+                keep = [c for c in b.schema.names if c != "text" or not drop_text]
+                arrays = [sliced.column(c) for c in keep] + [pa.array(x.astype(np.int64)) for x in (n_words, chars, count(_SYMBOLS[w.data]), dup, _repeat_words(w), lines, upper)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *MEASURES])
+
+    return run
 
 
 def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -102,7 +106,7 @@ def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     repeated rows give repeated rows; other columns are ignored.
     """
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = docs.select(key, "text").mapInArrow(_measure, schema)
+    measured = docs.select(key, "text").mapInArrow(_measure(), schema)
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0))
     return measured.withColumn("fail_bits", bits.cast("long"))
 
@@ -135,10 +139,18 @@ def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their columns."""
-    keyed = docs.withColumn("_all", F.struct(*[F.col(c) for c in docs.columns]))
-    rows = ledger(keyed.select("_all", "text"), key="_all")
-    return rows.where(~failed(version)).select("_all.*")
+    """The rows of ``docs`` that the policy keeps, with their columns.
+
+    Null and repeated ids are rows like others; null and empty texts fail ``few_words``;
+    an empty table gives an empty result. Columns of the measurements' names stay as they are.
+    """
+    inside = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    schema = T.StructType([*inside.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    rejected = F.lit(False)
+    for name in POLICIES[version]:
+        rejected = rejected | F.expr(RULES[name])
+    kept = inside.mapInArrow(_measure(drop_text=False), schema).where(~rejected)
+    return kept.select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
