@@ -92,6 +92,37 @@ def test_warc_salvages_damaged_heads_and_members():
     assert ids(b"XXXX" + plain[0][4:] + made[1] + plain[2] + made[3]) == [1, 2, 3]
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    import base64
+    import hashlib
+
+    def foreign(i, digest, kind="response"):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+        block = http + bytes([65 + i]) * 400
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Target-URI: http://h/{i}\r\n{digest(bytes([65 + i]) * 400)}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    sha1 = lambda p: f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(p).digest()).decode()}\r\n"
+    md5 = lambda p: f"WARC-Payload-Digest: md5:{hashlib.md5(p).hexdigest()}\r\n"
+    none, odd, wrong = (lambda p: ""), (lambda p: "WARC-Payload-Digest: blake3:abc\r\n"), (lambda p: "WARC-Payload-Digest: sha1:AAAA\r\n")
+    made = [foreign(i, d) for i, d in enumerate((sha1, md5, none, odd, wrong))]
+    found = list(warc.salvage("p", b"".join(gzip.compress(m) for m in made)))
+    assert [r["uri"] for r in found if r["record_type"] == "response"] == [f"http://h/{i}" for i in range(4)]
+    assert [r["problem"] for r in found if r["record_type"] == "gap"] == ["payload digest differs"]
+    assert found[0]["payload_digest"] == hashlib.sha256(b"A" * 400).hexdigest() and found[0]["page_id"] is None
+    stream = gzip.compress(b"".join(foreign(i % 20, sha1) for i in range(50)))
+    assert sum(r["record_type"] == "response" for r in warc.salvage("p", stream[:-1])) == 50
+
+
+def test_warc_odd_tables(spark, tmp_path):
+    pages = spark.createDataFrame([(3, "u", "x" * 200, 1), (3, "u", "x" * 200, 1), (4, None, "x" * 200, 2), (None, "v", "x" * 200, 3)], "page_id long, url string, html string, digest long")
+    warc.write_archives(pages, f"file://{tmp_path}/a")
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect())
+    assert got == [("3", "response", None), ("3", "response", None), ("4", "revisit", 3), ("None", "response", None)]
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")
+    assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
+
+
 def test_bloom_has_no_misses(spark):
     listed = spark.range(2000).select(F.concat(F.lit("u"), "id").alias("url"))
     asked = spark.range(4000).select("id", F.concat(F.lit("u"), "id").alias("url"))
@@ -114,18 +145,58 @@ def test_shards(spark):
     for r in rows:
         by[r["shard"]] += r["size"]
     assert len(rows) == len(texts) and set(by) == set(range(16))
-    assert max(by.values()) - min(by.values()) < 0.2 * sum(by.values()) / 16 + 10000
+    assert max(by.values()) <= 1.15 * sum(by.values()) / 16 + 6000 and min(by.values()) >= 0.85 * sum(by.values()) / 16 - 6000
     for s in by:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert sharding.sharded(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_mix_meets_targets(spark):
+def test_shards_keep_copies_together_and_meet_the_target(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(words(rng, int(n))) for n in rng.integers(20, 200, 1500)]
+    copies = [t for t in texts[:60] for _ in range(int(rng.integers(2, 8)))]
+    giant = [texts[70]] * 900  # a third of all bytes
+    texts = texts + copies + giant + [None] * 400
+    docs = docs_of(spark, texts, ["hot", "hot", "b", None])
+    rows = sharding.sharded(docs).collect()
+    total = sum(r["size"] for r in rows)
+    assert len(rows) == len(texts) and sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    by, where = Counter(), {}
+    for r in rows:
+        by[r["shard"]] += r["size"]
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(0.85 * total / 16 <= by[s] <= 1.15 * total / 16 for s in range(16))
+    n = Counter(texts)
+    assert all(len(where[t]) == 1 for t in n if t and n[t] > 1 and n[t] * len(t) < sharding.WHOLE * total / 16)
+    assert len(where[texts[70]]) >= 4
+    small = sharding.sharded(docs, target_bytes=total // 40).collect()
+    leaves = Counter()
+    for r in small:
+        leaves[r["shard"]] += r["size"]
+    assert len(leaves) == 64 and max(leaves.values()) <= 1.2 * total / 64
+    for s in leaves:
+        assert sorted(r["slot"] for r in small if r["shard"] == s) == list(range(sum(r["shard"] == s for r in small)))
+
+
+def test_shards_odd_rows(spark):
+    rows = [(None, "a", None, None, "x"), (None, "a", None, None, "x"), (1, None, "en", "s", "y"), (1, "b", "en", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard string")
+    got = sharding.sharded(df, 4).collect()
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len(t or "") + 1, __import__("zlib").crc32((t or "").encode())) for _, t, *_ in rows)
+    assert sharding.sharded(df, target_bytes=1 << 30).select("shard").distinct().collect()[0][0] == 0
+
+
+def mix_rows(spark, n=3000):
     rng = np.random.default_rng(2)
-    rows = [(i, s, int(n)) for i, (s, n) in enumerate(zip(rng.choice(["a", "b", "c", None], 3000, p=[0.9, 0.05, 0.03, 0.02]), rng.integers(0, 50, 3000)))]
-    sized, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"))
-    total = sum(r[2] for r in rows)
-    sizes = Counter()
+    rows = [(i, s, int(k)) for i, (s, k) in enumerate(zip(rng.choice(["a", "b", "c", None], n, p=[0.9, 0.05, 0.03, 0.02]), rng.integers(0, 50, n)))]
+    return rows, spark.createDataFrame(rows, "doc_id long, source string, size long")
+
+
+def test_mix_against_brute_force(spark):
+    rows, df = mix_rows(spark)
+    bits = 9
+    got = {r["doc_id"]: r for r in mixing.mix(df, bits=bits).collect()}
+    total, sizes = sum(r[2] for r in rows), Counter()
     for _, s, n in rows:
         sizes[s] += n
     weights, target, open_ = dict(zip(["a", "b", "c", None], [1, 2, 3, 1])), {}, set(sizes)
@@ -139,17 +210,53 @@ def test_mix_meets_targets(spark):
         target |= {s: 3.0 * sizes[s] for s in full}
         left -= sum(3 * sizes[s] for s in full)
         open_ -= full
-    got = {r["source"]: r["target"] for r in sized.select("source", "target").distinct().collect()}
-    assert got == pytest.approx(target)
-    taken = {r["source"]: r["w"] for r in pieces.groupBy("source").agg(F.sum("words").alias("w")).collect()}
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    size = {i: n for i, _, n in rows}
-    assert all(r["w"] <= 3 * size[r["doc_id"]] for r in pieces.groupBy("doc_id").agg(F.sum("words").alias("w")).collect())
-
-
-def test_mix_empty(spark):
-    sized, pieces = mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long"))
-    assert sized.count() == 0 and pieces.count() == 0
+    order, edge, slots = ["a", "b", "c", None], 0.0, {s: [] for s in weights}
+    ends = {}
+    for s in order:
+        edge += target[s] / total
+        ends[s] = edge
+    for i in range(1 << bits):
+        u = int(f"{i:0{bits}b}"[::-1], 2) / (1 << bits)
+        slots[next((s for s in order if u < ends[s]), None)].append(i)
+    shuffle = {i: int(__import__("hashlib").md5(f"7:{i}".encode()).hexdigest()[:15], 16) for i, _, _ in rows}
+    owner = lambda at: ((at + 1) * (1 << bits) - 1) // total
+    for s in order:
+        goal = min(len(slots[s]) * total >> bits, 3 * sizes[s])
+        assert abs(goal - target[s]) <= total / (1 << bits) + 1
+        at = 0
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: shuffle[r[0]]):
+            want = [(e, min(e * sizes[s] + at + n, goal) - e * sizes[s] - at, e * sizes[s] + at) for e in range(3)]
+            want = [(e, w, slots[s][owner(x)], owner(x + w - 1) - owner(x) + 1) for e, w, x in want if w > 0]
+            assert [tuple(p) for p in got[i]["places"]] == want
+            assert got[i]["taken"] == sum(w[1] for w in want) <= 3 * n and got[i]["target"] == pytest.approx(target[s])
+            at += n
+
+
+def test_mix_comes_from_the_sequence(spark):
+    _, df = mix_rows(spark, 300)
+    taken = lambda **kw: {r["doc_id"]: r["taken"] for r in mixing.mix(df, bits=8, **kw).collect()}
+    constant = taken(point=lambda slot, bits: F.lit(0.123456))
+    assert constant != taken() and taken() == taken()
+    # all slots are the source's that holds the point
+    assert {i for i, n in constant.items() if n} <= {i for i, s, _ in mix_rows(spark, 300)[0] if s == "a"}
+
+
+def test_mix_odd_rows(spark):
+    rows = [(None, "a", 5, "x", 1), (None, "a", 5, "x", 1), (1, None, 0, "y", 2), (1, "b", 7, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, _row string, taken long")
+    got = mixing.mix(df).collect()
+    assert len(got) == 4 and abs(sum(r["taken"] for r in got) - 17) <= 2 and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert got[0]["_row"] in ("x", "y", None)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixed_documents_lie_in_slot_order(spark):
+    texts = [" ".join(["w"] * int(n)) for n in np.random.default_rng(3).integers(1, 60, 300)]
+    docs = docs_of(spark, texts, ["a", "b", "c"])
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    rows = docs.select("doc_id", "source", F.expr("length(text) div 2 + 1").alias("size"))
+    want = mixing.mix(rows).select("doc_id", "size", F.inline("places")).where("2 * words >= size").orderBy("slot", "epoch", "doc_id").collect()
+    assert got == [r["doc_id"] for r in want] and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
 def test_near_duplicates_brute_force(spark):
@@ -208,6 +315,65 @@ def test_decontamination_finds_short_items_among_a_thousand(spark):
     assert [i for i in range(200) if (i, i) not in got] == []
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every (document, item) whose words in order reach the share within the span; recall of at least 0.9."""
+    rng = np.random.default_rng(9)
+    items = [words(rng, int(n), 600) for n in rng.integers(8, 48, 30)]
+    texts = []
+    for i in range(150):
+        said = []
+        for x in items[i % 30]:
+            chance = rng.random()
+            said += [] if chance < 0.08 else [f"v{rng.integers(600)}"] if chance < 0.08 + i % 5 * 0.07 else [x, f"v{rng.integers(600)}"] if chance > 0.94 else [x]
+        texts.append(words(rng, int(rng.integers(0, 60)), 600) + said + words(rng, int(rng.integers(0, 60)), 600))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            if lcs(x, t) >= decontam.NO_ANSWER * len(x):
+                span = int(decontam.SPAN * len(x)) + 2
+                if max(lcs(x, t[a : a + span]) for a in range(max(1, len(t) - span + 1))) >= decontam.NO_ANSWER * len(x):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got <= want and len(want) > 80 and len(got) >= 0.9 * len(want)
+
+
+def test_decontamination_answers_and_spans(spark):
+    bench = spark.createDataFrame([(0, "what is the capital of france", "paris"), (1, "who wrote the tale of the two old cities near the sea answer: mister dickens", None)], "item_id long, text string, answer string")
+    far = "what a lovely place this is, near the old town under the sun of the south, where capital hill stands and one of the rivers of northern france ends: paris"
+    texts = ["tell me what is the big capital of france it is paris", far, "who wrote this tale of those two cities near the sea answer: mister dickens", "who wrote this tale of those two cities near the sea it was someone else i think"]
+    got = {(r["doc_id"], r["item_id"]): r["answer_found"] for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0): True, (2, 1): True}
+
+
+def test_decontamination_odd_rows(spark):
+    item = " ".join(words(np.random.default_rng(1), 20))
+    docs = spark.createDataFrame([(None, item, 1, "x"), (7, item, 2, "y"), (7, "clean text", 3, "z"), (7, "clean text", 3, "z"), (8, None, 4, None)], "doc_id long, text string, key long, row string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(decontam.clean_documents(docs, bench).collect(), key=str) == sorted(docs.collect()[2:], key=str)
+    assert decontam.clean_documents(docs.limit(0), bench).count() == 0 and decontam.clean_documents(docs, bench.limit(0)).count() == 5
+
+
+def test_words_alike_stay_apart(spark):
+    """Thue-Morse words: equal for a polynomial modulo a power of two whatever its base."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = quality.ledger(docs_of(spark, [f"{x} q\n{y} q"])).collect()
+    assert rows[0]["n_dup_lines"] == 0
+    tail = " ".join(f"w{i}" for i in range(2))
+    got = neardup.near_duplicates(docs_of(spark, [f"{x} {tail}", f"{y} {tail}", f"{x} {tail}"]), 3, 85, neardup.DISTANCE).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 1, 2: 0}
+
+
 def test_decontamination_finds_passages_of_long_items(spark):
     rng = np.random.default_rng(8)
     items = [words(rng, 200) for _ in range(3)]
@@ -218,21 +384,51 @@ def test_decontamination_finds_passages_of_long_items(spark):
     assert [r["doc_id"] for r in decontam.clean_documents(docs_of(spark, texts), bench).collect()] == [2]
 
 
+KEY = "a key of the tests"
+
+
 def test_pseudonyms(spark):
-    values = ["4041894974608795", "4041-8949-7460-8795", "a.b@x.org", "10.0.255.1", "+1 (988) 555-2485", "2024-02-29"]
+    values = ["4041894974608795", "4041-8949-7460-8795", "a.b@x.org", "q@x.org", "10.0.255.1", "+1 (988) 555-2485", "+44 20 7946 0958", "2024-02-29", "29.2.2024", "02/29/2024", "078-05-1120", "(212) 555-0187", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    x = df.select("v", pii.kind_of(F.col("v")).alias("k"), pii.replaced(F.col("v")).alias("p"))
+    x = df.select("v", pii.kind_of(F.col("v")).alias("k"), pii.replaced(F.col("v"), KEY).alias("p"))
+    back = F.lit(None).cast("string")
     for k in pii.PATTERNS:
-        x = x.withColumn(k, F.when(F.col("k") == k, pii.pseudonym(k, F.col("p"), inverse=True))).withColumn(f"again_{k}", F.when(F.col("k") == k, pii.kind_of(F.col("p"))))
-    for r in x.collect():
-        assert r["p"] != r["v"] and r[r["k"]] == r["v"] and r[f"again_{r['k']}"] == r["k"]
-    p = {r["v"]: r["p"] for r in x.collect()}
+        back = F.when(F.col("k") == k, pii.pseudonym(k, F.col("p"), KEY, inverse=True)).otherwise(back)
+    rows = x.select("*", back.alias("back"), pii.kind_of(F.col("p")).alias("again"), pii.replaced(F.col("v"), "another key").alias("other")).collect()
+    p = {r["v"]: r["p"] for r in rows}
+    for r in rows:
+        assert r["p"] != r["v"] and r["again"] == r["k"] and r["other"] != r["p"], r
+        assert r["back"] == r["v"] or re.sub(r"\b0", "", r["back"]) == re.sub(r"\b0", "", r["v"]), r
     assert p["4041894974608795"] == p["4041-8949-7460-8795"].replace("-", "")
-    days = spark.range(270 * 271).select(pii.feistel_number(F.col("id"), 270, 271, "date").alias("n"))
+    assert p["+44 20 7946 0958"].startswith("+44 ") and p["+1 (988) 555-2485"].startswith("+1 (")
+    y, m, d = p["2024-02-29"].split("-")
+    assert [int(z) for z in p["29.2.2024"].split(".")] == [int(d), int(m), int(y)] and [int(z) for z in p["02/29/2024"].split("/")] == [int(m), int(d), int(y)]
+    days = spark.range(270 * 271).select(pii.feistel_number(F.col("id"), 270, 271, "date", KEY).alias("n"))
     assert days.distinct().count() == 270 * 271
-    out = {r["doc_id"]: r for r in pii.pseudonymised(docs_of(spark, [*ODD, "call +1 (988) 555-2485, now 2023-02-30 and 4041894974608796!"])).collect()}
-    assert [out[i]["text"] for i in range(10)] == ODD
-    assert "2023-02-30" in out[10]["text"] and "4041894974608796" in out[10]["text"] and "555-2485" not in out[10]["text"]
+    letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "c string").select(pii.feistel_text(F.col("c"), "email", KEY).alias("p"), "c").collect()
+    assert len({r["p"] for r in letters}) == 26 and len({(ord(r["p"]) - ord(r["c"])) % 26 for r in letters}) > 3
+
+
+def test_pseudonymised_texts(spark):
+    card = "4111111111111111"
+    texts = [*ODD, "call +1 (988) 555-2485, now 2023-02-30 and 4041894974608796!", f"Visa 2 {card}", "2024 4111 1111 1111 1111", "4111 1111 1111 1111 2024", "31/12/1990 and 31.12.1990; 12/31/1990", "ssn 000-12-3456 078-05-1120", "phone 212-555-0187.", "IBAN DE89370400440532013000, not DE88370400440532013000"]
+    rows = [(i, t, 3, "r", "m") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_replaced int, row string, made string")
+    got = pii.pseudonymised(df, KEY)
+    assert sorted(got.columns) == sorted(df.columns)
+    out = {r["doc_id"]: r for r in got.collect()}
+    n = len(ODD)
+    assert [out[i]["text"] for i in range(n)] == ODD and out[0]["row"] == "r" and out[0]["made"] == "m"
+    assert "2023-02-30" in out[n]["text"] and "4041894974608796" in out[n]["text"] and "555-2485" not in out[n]["text"]
+    pseudonym = out[n + 1]["text"].removeprefix("Visa 2 ")
+    assert pseudonym != card and out[n + 2]["text"].replace(" ", "") == "2024" + pseudonym and out[n + 3]["text"].replace(" ", "") == pseudonym + "2024"
+    assert out[n + 4]["n_replaced"] == 3
+    assert "000-12-3456" in out[n + 5]["text"] and "078-05-1120" not in out[n + 5]["text"] and "555-0187" not in out[n + 6]["text"]
+    assert "DE88370400440532013000" in out[n + 7]["text"] and "DE89370400440532013000" not in out[n + 7]["text"]
+    assert pii.pseudonymised(df.limit(0), KEY).count() == 0
+    assert pii.pseudonymised(df.union(df), KEY).distinct().count() == len(texts)
+    with pytest.raises(ValueError):
+        pii.pseudonymised(df, "")
 
 
 def test_licenses(spark):
@@ -265,8 +461,52 @@ def test_licenses_of_headers_and_whole_texts(spark):
 
 
 def test_quotes(spark):
-    rows = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> Hello there.\nFine."), (1, 2, "u", "New topic"), (1, 3, "u", "> > Hello there.\n> Fine.\nGood."), (1, 4, "a", ">new TOPIC!\nok"), (1, 5, "u", "> never said\nwhat"), (2, 0, "u", None), (None, None, None, "x")]
+    rows = [
+        (1, 0, "u", "Hello there, my friend.\nHow are you today?"), (1, 1, "a", "> Hello there, my\n> friend. How are you\n> today?\nFine, thank you very much."), (1, 2, "u", "A new topic that nobody knows"),
+        (1, 3, "u", "> > Hello there, my friend.\n> Fine, thank you\n> very much.\nGood to know."), (1, 4, "a", ">a new TOPIC that nobody knows!\nok"), (1, 5, "u", "> never said by anybody\nwhat"), (1, 6, "u", ">>> print(1)\nin Python"),
+        (1, 7, "u", "> Hello there, my friend.\nLate reply"), (2, 0, "u", None), (None, None, None, "> x"), (2, 1, "u", ""), (3, 0, "u", "> Hello there, my friend.\nother conversation"),
+    ]
     got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert [got[1, t]["parent_turn"] for t in range(6)] == [None, 0, None, 1, 2, None]
-    assert [got[1, t]["position"] for t in range(6)] == [0, 1, 3, 2, 4, 5]
-    assert got[1, 3]["depth"] == 2 and got[1, 3]["text"] == "Good." and got[2, 0]["text"] is None and got[None, None]["position"] == 0
+    assert [got[1, t]["parent_turn"] for t in range(8)] == [None, 0, None, 1, 2, None, None, 0] and got[3, 0]["parent_turn"] is None
+    assert [(got[1, t]["root_turn"], got[1, t]["depth"], got[1, t]["thread_position"]) for t in range(8)] == [(0, 0, 0), (0, 1, 1), (2, 0, 0), (0, 2, 2), (2, 1, 1), (5, 0, 0), (6, 0, 0), (0, 1, 3)]
+    assert [got[1, t]["text"] for t in (1, 3, 5, 6)] == ["Fine, thank you very much.", "Good to know.", "> never said by anybody\nwhat", ">>> print(1)\nin Python"]
+    assert (got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (2, 2) and got[2, 0]["text"] is None and got[None, None]["text"] == "> x" and len(got) == len(rows)
+
+
+def test_quotes_against_generated_threads(spark):
+    """Nested quotes wrapped anew at other widths; parents and depth-first order as planted."""
+    import textwrap
+
+    rng = np.random.default_rng(11)
+    rows, parent, own = [], {}, {}
+    for conv in range(6):
+        for turn in range(25):
+            own[conv, turn] = " ".join(words(rng, int(rng.integers(8, 40))))
+            up = int(rng.integers(0, turn)) if turn and rng.random() < 0.8 else None
+            parent[conv, turn] = up
+            text = "\n".join(textwrap.wrap(own[conv, turn], 70))
+            if up is not None:
+                quoted = "\n".join("> " + x for x in textwrap.wrap(own[conv, up], int(rng.integers(20, 60))))
+                if (higher := parent[conv, up]) is not None and rng.random() < 0.5:
+                    quoted = "\n".join("> > " + x for x in textwrap.wrap(own[conv, higher], 30)) + "\n" + quoted
+                text = quoted + "\n" + text if rng.random() < 0.7 else text + "\n" + quoted
+            rows.append((conv, turn, "u", text, 1, "kept"))
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, depth int, row string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(df).collect()}
+    assert {k: r["parent_turn"] for k, r in got.items()} == parent and all(r["row"] == "kept" for r in got.values())
+    assert all(" ".join(got[k]["text"].split()) == own[k] for k in own)
+    ordered = [(r["conv_id"], r["turn"]) for r in quotes.in_order(quotes.link_quotes(df)).collect()]
+    want = []
+    for conv in range(6):
+        def visit(turn, conv=conv):
+            want.append((conv, turn))
+            for t in range(25):
+                if parent[conv, t] == turn:
+                    visit(t)
+
+        for t in range(25):
+            if parent[conv, t] is None:
+                visit(t)
+    assert ordered == want
+    empty = quotes.link_quotes(df.limit(0))
+    assert empty.count() == 0 and set(quotes.MADE) < set(empty.columns)
