@@ -40,8 +40,6 @@ CARD_DIGITS = (16, 15, 14, 13, 19, 18, 17)
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Dates are permuted within the 270 * 271 days from this one on (to 2100-05-02).
 FIRST_DAY, DAY_A, DAY_B = "1900-01-01", 270, 271
-#: So often a date written day/month/year is permuted until its day cannot be taken for a month.
-WALKS = 24
 #: Area numbers of social security numbers are 1 to 899 but for this one.
 NO_AREA = 666
 
@@ -77,57 +75,45 @@ def _shift(half: Column, digest: Column, sign: int) -> Column:
     return F.array_join(F.transform(F.split(half, ""), one), "")
 
 
-def _state(x: Column, rounds: list[int], step) -> Column:
-    """Rounds one after the other over a struct (l, r), as a fold so that the expression stays small."""
-    return F.aggregate(F.array(*[F.lit(i) for i in rounds]), x, step)
+def _singles(secret: str) -> str:
+    """Letters and digits, each class in a keyed order."""
+    return "".join("".join(sorted(c, key=lambda x: hashlib.sha256(f"{secret}{x}".encode()).digest())) for c in (_LETTERS, _LETTERS.upper(), "0123456789"))
 
 
-def _keyed(alphabet: str, secret: str) -> str:
-    return "".join(sorted(alphabet, key=lambda c: hashlib.sha256(f"{secret}{c}".encode()).digest()))
-
-
-def feistel_text(value: Column, kind: str, key: str, inverse: bool = False) -> Column:
+def feistel_text(value: Column, secret: Column, singles: Column, inverse: bool = False) -> Column:
     """Permutes strings of equal shape: letters and digits change within their class and place.
 
-    A single character, of which a network would have an empty half, becomes the next in a keyed order.
+    A single character, of which a network would have an empty half, becomes the next in the keyed order ``singles``.
     """
-    key = _secret(key, kind)
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
         even = F.pmod(i, F.lit(2)) == 0
-        digest = F.sha2(F.concat(F.lit(f"{key}|"), i.cast("string"), F.lit("|"), F.when(even, acc["r"]).otherwise(acc["l"])), 256)
+        digest = F.sha2(F.concat(secret, F.lit("|"), i.cast("string"), F.lit("|"), F.when(even, acc["r"]).otherwise(acc["l"])), 256)
         moved = _shift(F.when(even, acc["l"]).otherwise(acc["r"]), digest, -1 if inverse else 1)
         return F.struct(F.when(even, moved).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(moved).alias("r"))
 
     rounds = list(range(ROUNDS))
-    end = _state(start, rounds[::-1] if inverse else rounds, step)
-    classes = (_LETTERS, _LETTERS.upper(), "0123456789")
-    turns = [_keyed(c, key) for c in classes]
-    given, taken = "".join(turns), "".join(c[1:] + c[:1] for c in turns)
-    single = F.translate(value, taken, given) if inverse else F.translate(value, given, taken)
-    return F.when(F.length(value) == 1, single).otherwise(F.concat(end["l"], end["r"]))
+    end = F.aggregate(F.array(*[F.lit(i) for i in (rounds[::-1] if inverse else rounds)]), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
+    turned = F.concat(*[F.concat(F.substring(singles, at + 1, n - 1), F.substring(singles, at, 1)) for at, n in ((1, 26), (27, 26), (53, 10))])
+    single = F.call_function("translate", value, turned, singles) if inverse else F.call_function("translate", value, singles, turned)
+    return F.when(F.length(value) == 1, single).otherwise(end)
 
 
-def feistel_number(value: Column, a: int, b: int, kind: str, key: str, inverse: bool = False) -> Column:
+def feistel_number(value: Column, a: Column, b: Column, secret: Column, inverse: bool = False) -> Column:
     """Permutes 0 .. a*b-1: the two parts are moved in turn by a keyed function of the other."""
-    key = _secret(key, kind)
     sign = -1 if inverse else 1
 
     def step(acc: Column, i: Column) -> Column:
         even = F.pmod(i, F.lit(2)) == 0
-        digest = F.sha2(F.concat(F.lit(f"{key}|"), i.cast("string"), F.lit("|"), F.when(even, acc["r"]).otherwise(acc["l"]).cast("string")), 256)
+        digest = F.sha2(F.concat(secret, F.lit("|"), i.cast("string"), F.lit("|"), F.when(even, acc["r"]).otherwise(acc["l"]).cast("string")), 256)
         by = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") * sign
-        return F.struct(
-            F.when(even, F.pmod(acc["l"] + by, F.lit(a).cast("long"))).otherwise(acc["l"]).alias("l"),
-            F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + by, F.lit(b).cast("long"))).alias("r"),
-        )
+        return F.struct(F.when(even, F.pmod(acc["l"] + by, a)).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + by, b)).alias("r"))
 
-    start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, F.lit(b)).cast("long").alias("r"))
+    start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
     rounds = list(range(ROUNDS))
-    end = _state(start, rounds[::-1] if inverse else rounds, step)
-    return end["l"] * b + end["r"]
+    return F.aggregate(F.array(*[F.lit(i) for i in (rounds[::-1] if inverse else rounds)]), start, step, lambda acc: acc["l"] * b + acc["r"])
 
 
 def _digits(value: Column) -> Column:
@@ -190,75 +176,88 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _as_written(value: Column, month: Column, day: Column, year: Column, first: Column, sep: str) -> Column:
-    """A date by its first and second numbers, with as many digits as the value has where they allow it."""
-    pair = lambda x: F.when(F.length(F.substring_index(value, sep, 1)) == 2, F.lpad(x, 2, "0")).otherwise(x)
-    one, two = F.when(first, month).otherwise(day).cast("string"), F.when(first, day).otherwise(month).cast("string")
-    return F.concat_ws(sep, pair(one), pair(two), year.cast("string"))
+#: Kinds that are permuted as numbers below a * b, by the kind whose key they share, and as text.
+NUMBERS = {"date": ("date", DAY_A, DAY_B), "day_first": ("date", DAY_A, DAY_B), "slashed": ("date", DAY_A, DAY_B), "ipv4": ("ipv4", 1 << 16, 1 << 16), "ssn": ("ssn", 898 * 99, 9999)}
+TEXTS = ("email", "iban", "phone", "local_phone", "card")
 
 
-def pseudonym(kind: str, value: Column, key: str, inverse: bool = False) -> Column:
-    """The value's pseudonym, valid in the same format; ``inverse`` gives the value back.
+def _number(kind: str, value: Column) -> Column:
+    """A value of a kind of ``NUMBERS`` as a number."""
+    if kind == "ipv4":
+        return F.aggregate(F.split(value, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    if kind == "ssn":
+        area, group, serial = (F.substring(value, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+        return ((area - 1 - (area > NO_AREA).cast("int")) * 99 + group - 1) * 9999 + serial - 1
+    return _day(_date(kind, value)).cast("long")
 
-    Dates of all formats move alike, so that one date stays linked however it is written
-    (one of the form day/month/year is moved on until it is no month/day/year). Numbers of single-digit days and months
-    may gain or lose a digit. Mail domains, country codes and check digits keep their meaning.
-    """
-    if kind in ("date", "day_first", "slashed"):
-        start = F.to_date(F.lit(FIRST_DAY))
-        moved = lambda d: F.date_add(start, feistel_number(_day(d), DAY_A, DAY_B, "date", key, inverse).cast("int"))
-        given = _date(kind, value)
-        if kind == "date":
-            return F.date_format(moved(given), "yyyy-MM-dd")
-        if kind == "day_first":
-            return let(moved(given), lambda d: _as_written(value, F.month(d), F.dayofmonth(d), F.year(d), F.lit(False), "."))
-        month_first = F.try_to_date(value, "M/d/yyyy").isNotNull()
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), moved(given), lambda d, _: F.when(F.dayofmonth(d) > 12, d).otherwise(moved(d)))
-        new = F.when(month_first, moved(given)).otherwise(walked)
-        return let(new, lambda d: _as_written(value, F.month(d), F.dayofmonth(d), F.year(d), month_first, "/"))
+
+def _written(kind: str, value: Column, n: Column) -> Column:
+    """A number in the format of ``value``."""
     if kind == "ipv4":
-        parts = F.split(value, r"\.")
-        number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
-        moved = feistel_number(number, 1 << 16, 1 << 16, kind, key, inverse)
-        return let(moved, lambda n: F.concat_ws(".", *[F.pmod(F.shiftrightunsigned(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
+        return F.concat_ws(".", *[F.pmod(F.shiftrightunsigned(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    if kind == "ssn":
+        high = F.floor(n / (99 * 9999)) + 1
+        return F.format_string("%03d-%02d-%04d", (high + (high >= NO_AREA).cast("int")).cast("int"), (F.pmod(F.floor(n / 9999), F.lit(99)) + 1).cast("int"), (F.pmod(n, F.lit(9999)) + 1).cast("int"))
+    date = F.date_add(F.to_date(F.lit(FIRST_DAY)), n.cast("int"))
+    if kind == "date":
+        return F.date_format(date, "yyyy-MM-dd")
+    if kind == "day_first":
+        return F.date_format(date, "dd.MM.yyyy")
+    return F.when(F.try_to_date(value, "M/d/yyyy").isNotNull(), F.date_format(date, "MM/dd/yyyy")).otherwise(F.date_format(date, "dd/MM/yyyy"))
+
+
+def _body(kind: str, value: Column) -> Column:
+    """The characters of a value of a kind of ``TEXTS`` that are permuted."""
+    if kind == "email":
+        return F.substring_index(value, "@", 1)
+    if kind == "iban":
+        return F.substring(F.replace(value, F.lit(" "), F.lit("")), F.lit(5), F.length(value))
+    if kind == "phone":
+        return _digits(F.regexp_replace(value, COUNTRY, ""))
     if kind == "card":
-        # separators go back to their places; the last digit makes the Luhn sum right again
-        def one(card: Column) -> Column:
-            digits = _digits(card)
-            body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), kind, key, inverse)
-            return _refill(card, let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))))
+        return F.regexp_replace(_digits(_card(value)), ".$", "")
+    return _digits(value)
+
 
-        return let(_card(value), lambda card: F.overlay(value, one(card), F.call_function("instr", value, card), F.length(card)))
+def _assembled(kind: str, value: Column, body: Column) -> Column:
+    """``value`` with its permuted characters; check digits are made right again and separators stay in their places."""
     if kind == "email":
-        name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-        return F.concat(feistel_text(name, kind, key, inverse), F.lit("@"), domain)
+        return F.concat(body, F.lit("@"), F.substring_index(value, "@", -1))
+    if kind == "iban":
+        check = F.lit(98) - _mod97(F.concat(F.left(value, F.lit(2)), F.lit("00"), body))
+        return _refill(value, F.concat(F.left(value, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), body), "[A-Z0-9]")
     if kind == "phone":
         # the country code stays, and equal numbers written differently stay equal
         country = F.regexp_extract(value, COUNTRY, 0)
-        rest = F.substring(value, F.length(country) + 1, F.length(value))
-        return F.concat(country, _refill(rest, feistel_text(_digits(rest), kind, key, inverse)))
-    if kind == "local_phone":
-        return _refill(value, feistel_text(_digits(value), kind, key, inverse))
-    if kind == "ssn":
-        area, group, serial = (F.substring(value, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
-        area = area - 1 - (area > NO_AREA).cast("int")
-        moved = feistel_number((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, kind, key, inverse)
+        return F.concat(country, _refill(F.substring(value, F.length(country) + 1, F.length(value)), body))
+    if kind == "card":
+        check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+        return let(_card(value), lambda card: F.overlay(value, _refill(card, F.concat(body, check)), F.call_function("instr", value, card), F.length(card)))
+    return _refill(value, body)
 
-        def written(n: Column) -> Column:
-            high = F.floor(n / (99 * 9999)) + 1
-            return F.format_string("%03d-%02d-%04d", (high + (high >= NO_AREA).cast("int")).cast("int"), (F.pmod(F.floor(n / 9999), F.lit(99)) + 1).cast("int"), (F.pmod(n, F.lit(9999)) + 1).cast("int"))
 
-        return let(moved, written)
-    if kind == "iban":
-        plain = F.replace(value, F.lit(" "), F.lit(""))
-        body = feistel_text(F.substring(plain, F.lit(5), F.length(plain)), kind, key, inverse)
+def _chosen(kind: Column, made: dict[str, Column]) -> Column:
+    out = None
+    for k, c in made.items():
+        out = F.when(kind == k, c) if out is None else out.when(kind == k, c)
+    return out
 
-        def checked(body: Column) -> Column:
-            check = F.lit(98) - _mod97(F.concat(F.substring(plain, 1, 2), F.lit("00"), body))
-            return _refill(value, F.concat(F.substring(plain, 1, 2), F.lpad(check.cast("string"), 2, "0"), body), "[A-Z0-9]")
 
-        return let(body, checked)
-    raise ValueError(kind)
+def pseudonym(kind: Column, value: Column, key: str, inverse: bool = False) -> Column:
+    """The pseudonym of a value of the given kind, valid in the same format; ``inverse`` gives the value back.
+
+    Dates of all formats move alike, so that one date stays linked however it is written; days and months
+    get two digits. A date that can only be day/month/year may get a pseudonym that reads as month/day/year, which
+    ``inverse`` takes for that. Mail domains and country codes stay.
+    """
+    secret = {k: _secret(key, k) for k in (*TEXTS, *(s for s, _, _ in NUMBERS.values()))}
+    of = lambda f: _chosen(kind, {k: f(k) for k in NUMBERS})
+    limit = lambda i: of(lambda k: F.lit(NUMBERS[k][i]).cast("long"))
+    number = let(of(lambda k: _number(k, value)), lambda x: let(feistel_number(x, limit(1), limit(2), of(lambda k: F.lit(secret[NUMBERS[k][0]])), inverse), lambda n: of(lambda k: _written(k, value, n))))
+    by = lambda f: _chosen(kind, {k: f(k) for k in TEXTS})
+    permuted = lambda x: feistel_text(x, by(lambda k: F.lit(secret[k])), by(lambda k: F.lit(_singles(secret[k]))), inverse)
+    text = let(by(lambda k: _body(k, value)), lambda x: let(permuted(x), lambda body: by(lambda k: _assembled(k, value, body))))
+    return F.when(kind.isin(*NUMBERS), number).when(kind.isin(*TEXTS), text).otherwise(value)
 
 
 def _refill(shape: Column, digits: Column, kind: str = "[0-9]") -> Column:
@@ -280,13 +279,7 @@ def kind_of(value: Column) -> Column:
 
 def replaced(value: Column, key: str) -> Column:
     """The pseudonym of a value of any kind; other values as they are."""
-    def of(kind: Column) -> Column:
-        out = value
-        for k in PATTERNS:
-            out = F.when(kind == k, pseudonym(k, value, key)).otherwise(out)
-        return out
-
-    return let(kind_of(value), of)
+    return let(kind_of(value), lambda kind: pseudonym(kind, value, key))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
