@@ -7,10 +7,14 @@ windows are keyed by the series; whole-table statistics are aggregates by series
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.tables import materialise
+
 
 @dataclass(frozen=True)
 class SegmentParams:
@@ -30,10 +34,6 @@ def series():
     return Window.partitionBy("g").orderBy("i")
 
 
-def half_even(x: float) -> int:
-    return round(x)
-
-
 def planted(events: DataFrame) -> DataFrame:
     """A deterministic test signal over ``events``: strong and weak transitions every 40 samples."""
     n = Window.partitionBy("event_type").orderBy("ts", "event_id")
@@ -43,11 +43,27 @@ def planted(events: DataFrame) -> DataFrame:
     return e.select("g", "i", (F.col("i") / F.lit(30.0)).alias("t"), x.alias("x"), (F.lit(40.0) + F.col("value") / 100).alias("detail"))
 
 
+def sample_rate(frames: DataFrame, fps: float, step: int = 1) -> DataFrame:
+    """(g, rate): samples a second by first and last time; ``fps / step`` where there is no time between them."""
+    span = F.max("t") - F.min("t")
+    measured = F.when((F.count(F.lit(1)) > 1) & (span > 0), (F.count(F.lit(1)) - 1) / span)
+    return frames.groupBy("g").agg(F.coalesce(measured, F.lit(fps / max(1, step))).alias("rate"))
+
+
 def lag_diff(frames: DataFrame, value: str = "x") -> DataFrame:
     """Absolute change from the previous sample, 0 for the first."""
     return frames.withColumn("diff", F.coalesce(F.abs(F.col(value) - F.lag(value).over(series())), F.lit(0.0)))
 
 
+def frame_stats(frames: DataFrame) -> DataFrame:
+    """(g, i, brightness, diff) of frames (g, i, v) given as arrays: mean value, and mean change from the previous frame, 0 for the first."""
+    before = F.lag("v").over(series())
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x, lambda acc: acc / F.greatest(F.size(a), F.lit(1)))
+    change = F.zip_with("v", "_before", lambda x, y: F.abs(x - y).cast("double"))
+    f = frames.withColumn("v", F.col("v").cast("array<double>")).withColumn("_before", before)
+    return f.select("g", "i", mean(F.col("v")).alias("brightness"), F.coalesce(mean(change), F.lit(0.0)).alias("diff"))
+
+
 def _padded(value: str, k: int, w) -> list[Column]:
     """``k`` neighbours of a sample; beyond the ends the first or last value repeats."""
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -78,7 +94,7 @@ def running_mean(signal: DataFrame, k: int, value: str = "x", out: str = "m", w=
 
 def smoothed(signal: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """Running median of the motion; the first sample takes the second one's value."""
-    k = max(3, half_even(p.smooth * p.rate) | 1)
+    k = max(3, round(p.smooth * p.rate) | 1)
     s = running_median(signal, k)
     return s.withColumn("s", F.when(F.col("i") == 0, F.coalesce(F.lead("s").over(series()), F.lit(0.0))).otherwise(F.col("s")))
 
@@ -86,12 +102,19 @@ def smoothed(signal: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame
 def local_peaks(signal: DataFrame, distance: int, height: str = "h", value: str = "s") -> DataFrame:
     """(g, i, value) of local maxima of at least ``height``, the highest first, none within ``distance`` of a kept one.
 
-    Equal heights go by the lower sample. Candidates of a series are folded in height
-    order; a series' peaks are few beside its samples.
+    Equal heights go by the lower sample; series of fewer than three samples have none.
+    Candidates further apart than ``distance`` say nothing of each other: a series is cut
+    there, and each stretch is folded in height order by itself.
     """
-    c = signal.withColumn("_l", F.lag(value).over(series())).withColumn("_r", F.lead(value).over(series()))
-    c = c.where(F.coalesce(F.col(value) >= F.col("_l"), F.lit(True)) & F.coalesce(F.col(value) > F.col("_r"), F.lit(True)) & (F.col(value) >= F.col(height)))
-    ranked = c.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("h"), F.col("i").alias("i")))).alias("c"))
+    w = series()
+    c = signal.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w))
+    here = F.col(value)
+    c = c.where((F.col("_l").isNotNull() | F.col("_r").isNotNull()) & F.coalesce(here >= F.col("_l"), F.lit(True)) & F.coalesce(here > F.col("_r"), F.lit(True)) & (here >= F.col(height)))
+    n = signal.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select("g")
+    c = c.select("g", "i", value).join(n, "g", "left_semi")
+    apart = F.coalesce(F.col("i") - F.lag("i").over(w) > distance, F.lit(True)).cast("int")
+    c = c.withColumn("_far", apart).withColumn("_stretch", F.sum("_far").over(w))
+    ranked = c.groupBy("g", "_stretch").agg(F.array_sort(F.collect_list(F.struct((-here).alias("h"), F.col("i").alias("i")))).alias("c"))
     kept = F.aggregate("c", F.array().cast("array<struct<h:double,i:bigint>>"), lambda acc, z: F.when(F.exists(acc, lambda k: F.abs(k["i"] - z["i"]) <= distance), acc).otherwise(F.concat(acc, F.array(z))))
     return ranked.select("g", F.explode(kept).alias("k")).select("g", F.col("k.i").alias("i"), (-F.col("k.h")).alias(value))
 
@@ -102,7 +125,7 @@ def levels(s: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     lv = s.groupBy("g").agg(base.alias("base"), F.expr("percentile(s, 0.995)").alias("_top"))
     lv = lv.withColumn("top", F.greatest("_top", F.col("base") * 4)).drop("_top")
     high = s.join(lv.select("g", F.sqrt(F.col("base") * F.col("top")).alias("h")), "g")
-    peaks = local_peaks(high, max(1, half_even(0.5 * p.rate))).groupBy("g").agg(F.expr("percentile(s, 0.5)").alias("_med"), F.count(F.lit(1)).alias("_n"))
+    peaks = local_peaks(high, max(1, round(0.5 * p.rate))).groupBy("g").agg(F.expr("percentile(s, 0.5)").alias("_med"), F.count(F.lit(1)).alias("_n"))
     return lv.join(peaks, "g", "left").select("g", "base", "top", F.greatest(F.when(F.col("_n") >= 2, F.col("_med")).otherwise(F.col("top")), F.col("base") * 4).alias("peak"))
 
 
@@ -134,15 +157,22 @@ def segments(s: DataFrame, thresholds: DataFrame, p: SegmentParams = SegmentPara
 
 
 def detect(signal: DataFrame, p: SegmentParams = SegmentParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Smoothed signal, thresholds per series and stable segments."""
-    s = smoothed(signal, p)
+    """Smoothed signal, thresholds per series and stable segments.
+
+    The smoothed signal is kept by the executors, as its levels, peaks and runs are read from it in turn.
+    """
+    s = smoothed(signal, p).persist(StorageLevel.MEMORY_AND_DISK)
     thr = levels(s, p).withColumn("thr", threshold(F.col("base"), F.col("peak"), F.lit(p.sensitivity), p.threshold))
     return s, thr, segments(s, thr.select("g", "thr"), p)
 
 
 def in_segments(s: DataFrame, segs: DataFrame) -> DataFrame:
-    """Samples of each segment, by a range join within the series."""
-    return s.alias("s").join(segs.alias("q"), (F.col("s.g") == F.col("q.g")) & (F.col("s.i").between(F.col("q.a"), F.col("q.b")))).select("s.*", "q.a", "q.b", "q.t_start", "q.t_end")
+    """Samples of each segment: the last segment begun at or before a sample, if it lasts. One sort of both sides; no pairs."""
+    bounds = ["a", "b", "t_start", "t_end"]
+    begun = segs.select("g", F.col("a").alias("i"), F.struct(*bounds).alias("_q"), F.lit(0).alias("_k"))
+    both = s.withColumn("_k", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    held = F.last("_q", ignorenulls=True).over(Window.partitionBy("g").orderBy("i", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_q", held).where("_k = 1 and i <= _q.b").select(*s.columns, *[F.col(f"_q.{c}").alias(c) for c in bounds])
 
 
 def flags(s: DataFrame, segs: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
@@ -157,7 +187,7 @@ def flags(s: DataFrame, segs: DataFrame, p: SegmentParams = SegmentParams()) ->
 def calm_core(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, a, b, core_a, core_b, calm, motion): the calmest sharp sample and the calm run around it."""
     w = Window.partitionBy("g", "a").orderBy("i")
-    m = running_mean(in_segments(s, segs), max(1, half_even(0.2 * p.rate)), "s", "ma", w)
+    m = running_mean(in_segments(s, segs), max(1, round(0.2 * p.rate)), "s", "ma", w)
     p95 = m.groupBy("g", "a").agg(F.expr("percentile(detail, 0.95)").alias("p95"))
     m = m.join(p95, ["g", "a"]).join(thr.select("g", "thr", "base"), "g")
     n = F.col("b") - F.col("a") + 1
@@ -178,7 +208,7 @@ def split_candidates(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentPa
     x = in_segments(s, segs).join(thr.select("g", "thr"), "g")
     lvl = x.groupBy("g", "a").agg(F.expr("percentile(s, 0.5)").alias("lvl"))
     x = x.join(lvl, ["g", "a"]).withColumn("up", F.col("s") > F.greatest(F.lit(6.0) * F.col("lvl"), F.lit(0.06) * F.col("thr"), F.lit(SPLIT_MIN)))
-    need = max(1, half_even(p.min_duration * p.rate))
+    need = max(1, round(p.min_duration * p.rate))
     runs = islands(x, ["g", "a"], "up").groupBy("g", "a", "b", "island").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("s").alias("height"))
     runs = runs.where((F.col("i0") - F.col("a") >= need) & (F.col("b") - F.col("i1") >= need))
     top = Window.partitionBy("g", "a").orderBy(F.desc("height"), F.desc("i0"), F.desc("i1"))
@@ -188,14 +218,23 @@ def split_candidates(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentPa
 def sweep(signal: DataFrame, steps: int = 41, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, step, sensitivity, segments): segment counts for every sensitivity, in one job.
 
-    The few parameter rows are exploded onto the per-series thresholds, not joined
-    to the samples one by one.
+    A sample gives a row only for the thresholds that the signal crosses beside it, where a still
+    run of that threshold begins or ends; samples are not repeated for every threshold. Thresholds
+    reach the samples as one array per series.
     """
-    s = smoothed(signal, p)
-    step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
-    lv = levels(s, p).select("g", "base", "peak", step).withColumn("sensitivity", F.col("step") / F.lit(float(steps - 1)))
-    thr = lv.withColumn("thr", threshold(F.col("base"), F.col("peak"), F.col("sensitivity")))
-    n = segments(s, thr.select("g", "step", "thr"), p, ["g", "step"]).groupBy("g", "step").agg(F.count(F.lit(1)).alias("segments"))
+    s = smoothed(signal, p).persist(StorageLevel.MEMORY_AND_DISK)
+    at = F.col("step") / F.lit(float(steps - 1))
+    lv = levels(s, p).select("g", "base", "peak", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    thr = lv.select("g", "step", at.alias("sensitivity"), threshold(F.col("base"), F.col("peak"), at).alias("thr"))
+    lists = thr.groupBy("g").agg(F.collect_list(F.struct("step", "thr")).alias("_ts"))
+    w = series()
+    beside = s.select("g", "i", "t", "s", F.lag("s").over(w).alias("_l"), F.lead("s").over(w).alias("_r"))
+    still = lambda x: F.col("s") <= x["thr"]
+    edge = lambda other, kind: F.transform(F.filter("_ts", lambda x: still(x) & F.coalesce(F.col(other) > x["thr"], F.lit(True))), lambda x: F.struct(x["step"].alias("step"), F.lit(kind).alias("k")))
+    events = beside.join(lists, "g").select("g", "i", "t", F.inline(F.concat(edge("_l", 0), edge("_r", 1))))
+    run = Window.partitionBy("g", "step").orderBy("i", "k")
+    runs = events.withColumn("_t", F.lead("t").over(run)).where("k = 0")
+    n = runs.where(F.col("_t") + F.lit(1.0 / p.rate) - F.col("t") >= p.min_duration).groupBy("g", "step").agg(F.count(F.lit(1)).alias("segments"))
     return thr.select("g", "step", "sensitivity").join(n, ["g", "step"], "left").withColumn("segments", F.coalesce("segments", F.lit(0)).cast("long"))
 
 
@@ -213,10 +252,11 @@ def asof(samples: DataFrame, requests: DataFrame, how: str) -> DataFrame:
     time; no pair of request and sample is formed.
     """
     both = samples.select("g", "t", "i", F.lit(0).alias("req")).unionByName(requests.select("g", F.col("r").alias("t"), F.lit(None).cast("long").alias("i"), F.lit(1).alias("req")))
-    back = Window.partitionBy("g").orderBy("t", "req").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("g").orderBy("t", F.desc("req")).rowsBetween(0, Window.unboundedFollowing)
+    # the next sample is the last one met in falling order: frames that grow, so that time stays linear
+    back = Window.partitionBy("g").orderBy("t", "req", "i").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("g").orderBy(F.desc("t"), "req", F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("req") == 0, F.struct("i", "t"))
-    b = both.withColumn("p", F.last(at, ignorenulls=True).over(back)).withColumn("n", F.first(at, ignorenulls=True).over(ahead)).where("req = 1")
+    b = both.withColumn("p", F.last(at, ignorenulls=True).over(back)).withColumn("n", F.last(at, ignorenulls=True).over(ahead)).where("req = 1")
     if how == "forward":
         pick = F.coalesce("n.i", "p.i")
     else:
@@ -224,6 +264,81 @@ def asof(samples: DataFrame, requests: DataFrame, how: str) -> DataFrame:
     return b.select("g", F.col("t").alias("r"), pick.alias("i"))
 
 
+def split_segment(segs: DataFrame, bumps: DataFrame, s: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """(g, a, b, i0, i1, half, ha, hb, duration): the parts before (0) and after (1) each bump of a segment that last long enough.
+
+    ``bumps`` are rows (g, a, i0, i1) as ``split_candidates`` gives them. A bump of which either part is too short gives neither.
+    """
+    x = bumps.select("g", "a", "i0", "i1").join(segs.select("g", "a", "b"), ["g", "a"])
+    seconds = lambda lo, hi: (hi - lo + 1) / F.lit(p.rate)
+    fits = (seconds(F.col("a"), F.col("i0") - 1) >= p.min_duration) & (seconds(F.col("i1") + 1, F.col("b")) >= p.min_duration)
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("a").alias("ha"), (F.col("i0") - 1).alias("hb")), F.struct(F.lit(1).alias("half"), (F.col("i1") + 1).alias("ha"), F.col("b").alias("hb")))
+    return x.where(fits).select("g", "a", "b", "i0", "i1", F.inline(halves)).withColumn("duration", seconds(F.col("ha"), F.col("hb")))
+
+
+#: Segments are divided so often at most.
+MAX_DEPTH = 6
+
+
+def refine(s: DataFrame, segs: DataFrame, thr: DataFrame, differs, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """``segs`` divided at hidden transitions: at the first of a segment's bumps on whose two sides the calmest samples differ.
+
+    ``differs`` takes rows (g, a, rank, left, right), samples of a series, and returns the (g, a, rank) of
+    those that show different content. Each round divides all segments at once, ``MAX_DEPTH`` rounds at most;
+    only segments divided in the round before are looked at again.
+    """
+    bounds = ["g", "a", "b", "t_start", "t_end"]
+    s, thr = materialise(s.select("g", "i", "t", "s", "detail"), "refine-signal"), materialise(thr.select("g", "thr", "base"), "refine-levels")
+    times = s.select("g", "i", "t")
+    open_, done = materialise(segs.select(*bounds), "refine-open"), []
+    for _ in range(MAX_DEPTH + 1):
+        bumps = materialise(split_candidates(s, open_, thr, p), "refine-bumps")
+        if bumps.isEmpty():
+            break
+        parts = split_segment(open_, bumps, s, p).join(bumps.select("g", "a", "i0", "i1", "rank"), ["g", "a", "i0", "i1"])
+        parts = parts.join(times.select("g", F.col("i").alias("ha"), F.col("t").alias("t_start")), ["g", "ha"]).join(times.select("g", F.col("i").alias("hb"), (F.col("t") + F.lit(1.0 / p.rate)).alias("t_end")), ["g", "hb"])
+        parts = materialise(parts, "refine-parts")
+        # halves of different bumps overlap: each half is a series of its own
+        half = F.when(F.col("i") < F.col("i0"), 0).when(F.col("i") > F.col("i1"), 1)
+        mine = F.struct("g", "a", "rank", "half")
+        inside = in_segments(s, open_).join(bumps, ["g", "a"]).withColumn("half", half).where("half is not null").select(mine.alias("g"), "i", "t", "s", "detail")
+        own = parts.select(mine.alias("g"), F.col("ha").alias("a"), F.col("hb").alias("b"), "t_start", "t_end")
+        inside = materialise(inside, "refine-halves")
+        calm = calm_core(inside, own, parts.join(thr, "g").select(mine.alias("g"), "thr", "base"), p).select("g.g", "g.a", "g.rank", "g.half", "calm")
+        both = calm.groupBy("g", "a", "rank").agg(F.max(F.when(F.col("half") == 0, F.col("calm"))).alias("left"), F.max(F.when(F.col("half") == 1, F.col("calm"))).alias("right"))
+        first = materialise(differs(materialise(both, "refine-calm")).groupBy("g", "a").agg(F.min("rank").alias("rank")), "refine-first")
+        done.append(open_.join(first, ["g", "a"], "left_anti").select(*bounds))
+        open_ = materialise(parts.join(first, ["g", "a", "rank"]).select("g", F.col("ha").alias("a"), F.col("hb").alias("b"), "t_start", "t_end"), "refine-open")
+    return reduce(DataFrame.unionByName, [*done, open_])
+
+
+def candidate_samples(cores: DataFrame, n: int) -> DataFrame:
+    """(g, a, i): ``n`` samples spread evenly over each calm core (core_a, core_b), and its calmest one."""
+    lo, hi = F.col("core_a"), F.col("core_b")
+    last = F.least(F.lit(n), hi - lo + 1) - 1
+    spread = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)).cast("long")), lambda k: F.rint(lo + k * (hi - lo) / F.greatest(last, F.lit(1))).cast("long"))
+    return cores.select("g", "a", F.explode(F.array_distinct(F.concat(spread, F.array(F.col("calm").cast("long"))))).alias("i"))
+
+
+def neighbor_times(pages: DataFrame, signal: DataFrame, n: int = 8, margin: float = 0.4) -> DataFrame:
+    """(g, id, i): samples nearest to ``n`` times spread from a little before a page (g, id, t_start, t_end) to a little after it."""
+    end = signal.groupBy("g").agg(F.max("t").alias("_end"))
+    lo, hi = F.greatest(F.lit(0.0), F.col("t_start") - margin), F.least(F.col("_end"), F.col("t_end") + margin)
+    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: lo + k * (hi - lo) / F.lit(max(1, n - 1)))
+    asked = pages.join(end, "g").select("g", "id", F.explode(times).alias("r"))
+    found = asof(signal, asked.select("g", "r").distinct(), "nearest")
+    return asked.join(found, ["g", "r"]).select("g", "id", "i").distinct()
+
+
+def time_to_pts(t: Column, start: Column, base: Column) -> Column:
+    """Seconds as a time stamp of a stream that starts at ``start``; ``base`` is the seconds of a unit."""
+    return F.rint(start + t / base).cast("long")
+
+
+def pts_to_time(pts: Column, base: Column) -> Column:
+    return pts * base
+
+
 def downsample(signal: DataFrame, blocks: int = 2500) -> DataFrame:
     """(g, block, t, x): first time and greatest motion of each block of equal length; an incomplete last block is left out."""
     n = signal.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.ceil(F.col("n") / blocks))
