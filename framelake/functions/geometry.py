@@ -11,6 +11,21 @@ def quarter_turns(degrees: Column) -> Column:
     return F.pmod(F.rint(degrees / 90.0), F.lit(4.0)).cast("int")
 
 
+def rotated(rotation: Column, degrees: Column) -> Column:
+    """A page's rotation after another turn, 0 to 359."""
+    return F.pmod(rotation + degrees, F.lit(360))
+
+
+#: Longer side, in points, of pages that all have one size: 297 mm. Fixed value.
+LONG_SIDE = 297 / 25.4 * 72
+
+
+def uniform_page(aspect: Column) -> Column:
+    """(w, h) in points of a page of an aspect whose longer side is ``LONG_SIDE``."""
+    tall = aspect <= 1
+    return F.struct(F.when(tall, F.lit(LONG_SIDE) * aspect).otherwise(F.lit(LONG_SIDE)).alias("w"), F.when(tall, F.lit(LONG_SIDE)).otherwise(F.lit(LONG_SIDE) / aspect).alias("h"))
+
+
 def analysis_size(width: Column, height: Column, target: int) -> Column:
     """(w, h) scaled down to the target width, at least 8 pixels each, never up."""
     scale = F.least(F.lit(1.0), F.lit(float(target)) / F.greatest(width, F.lit(1)))
@@ -25,9 +40,9 @@ def quality(width: Column, height: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """Seconds as mm:ss.s, never below zero."""
+    """Seconds as mm:ss.s, never below zero; ties go to the even digit."""
     t = F.greatest(seconds, F.lit(0.0))
-    return F.format_string("%02d:%04.1f", F.floor(t / 60).cast("int"), t - F.floor(t / 60) * 60)
+    return F.format_string("%02d:%04.1f", F.floor(t / 60).cast("int"), F.rint((t - F.floor(t / 60) * 60) * 10) / 10)
 
 
 def fill_fraction(a: Column, b: Column) -> Column:

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.tables import discard, materialise
+
 
 @dataclass(frozen=True)
 class DedupParams:
-    """Thresholds for cosine scores of embeddings, which stand in for image similarity."""
+    """Thresholds for cosine scores of embeddings, which stand in for image similarity.
+
+    Rows up to ``window`` back are always compared, others if their hashes differ by
+    ``far_hash`` bits at most; none if they differ by more than ``max_hash``, or if the
+    score of their ``coarse`` halves is below ``least_coarse``.
+    """
 
-    window: int = 8
+    window: int = 20
     far_hash: int = 22
     max_hash: int = 40
+    least_coarse: float = -1.0
     same: float = 0.30
     flag: float = 0.22
 
@@ -44,23 +53,67 @@ def descriptors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("label").alias("g"), n.alias("i"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), hash_bits(F.col("embedding")).alias("h"))
 
 
+def near_pairs(d: DataFrame, window: int) -> DataFrame:
+    """(g, i, j) with 0 < j - i <= window: rows meet those of their own and the next block of ``window`` places."""
+    block = F.floor(F.col("i") / window)
+    a = d.select("g", "i", F.explode(F.array(block, block + 1)).alias("_b"))
+    b = d.select("g", F.col("i").alias("j"), block.alias("_b"))
+    return a.join(b, ["g", "_b"]).where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= window)).select("g", "i", "j")
+
+
+#: The hash is cut into so many parts for the multi-index join.
+PARTS = 8
+
+
+def far_pairs(d: DataFrame, window: int, distance: int) -> DataFrame:
+    """(g, i, j) with j - i > window and hashes at most ``distance`` bits apart.
+
+    Multi-index join: of ``PARTS`` parts of two such hashes one differs by at most
+    ``distance // PARTS`` bits (pigeonhole). Rows give that part with every choice of so many bits
+    changed, and meet rows that have one of these as their part.
+    """
+    width, errors = 64 // PARTS, distance // PARTS
+    flips = sorted({sum(1 << x for x in some) for n in range(errors + 1) for some in combinations(range(width), n)})
+    part = lambda h, k: F.shiftrightunsigned(h, k * width).bitwiseAND(F.lit((1 << width) - 1))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("v")) for k in range(PARTS)])
+    near = F.flatten(F.transform(places, lambda x: F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.struct(x["k"].alias("k"), x["v"].bitwiseXOR(f).alias("v")))))
+    a = d.select("g", "i", F.col("h").alias("hi"), F.inline(places))
+    b = d.select("g", F.col("i").alias("j"), F.col("h").alias("hj"), F.inline(near))
+    met = a.join(b, ["g", "k", "v"]).where((F.col("j") - F.col("i") > window) & (hamming(F.col("hi"), F.col("hj")) <= distance))
+    # a pair meets once for every part that is near: the first of them counts
+    first = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("hi").bitwiseXOR(F.col("hj")), (k * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1))) <= errors))
+    return met.where(F.col("k") == first).select("g", "i", "j")
+
+
 def pairs(d: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """(g, i, j, dist, far): earlier references of each row, by window or by hash.
 
-    The equi key is the group; vectors stay out of this join and are fetched for the
-    pairs that the hash lets through.
+    Rows that are not ``active``, where ``d`` has that column, are neither candidates nor
+    references. No join is on the group alone; vectors stay out of these joins and are
+    fetched for the pairs that the hash lets through.
     """
-    a, b = d.select("g", F.col("i"), F.col("h").alias("hi")), d.select("g", F.col("i").alias("j"), F.col("h").alias("hj"))
-    x = a.join(b, "g").where(F.col("i") < F.col("j")).withColumn("dist", hamming(F.col("hi"), F.col("hj")))
-    far = F.col("j") - F.col("i") > p.window
-    return x.withColumn("far", far).where((~far | (F.col("dist") <= p.far_hash)) & (F.col("dist") <= p.max_hash)).select("g", "i", "j", "dist", "far")
+    d = d.where("active") if "active" in d.columns else d
+    found = near_pairs(d, p.window).withColumn("far", F.lit(False)).unionByName(far_pairs(d, p.window, p.far_hash).withColumn("far", F.lit(True)))
+    x = found.join(d.select("g", "i", F.col("h").alias("hi")), ["g", "i"]).join(d.select("g", F.col("i").alias("j"), F.col("h").alias("hj")), ["g", "j"])
+    return x.withColumn("dist", hamming(F.col("hi"), F.col("hj"))).where(F.col("dist") <= p.max_hash).select("g", "i", "j", "dist", "far")
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, y: acc + y), 6)
+
+
+def coarse(v: Column) -> Column:
+    """Every second entry of a vector, as long as one."""
+    some = F.filter(v, lambda x, i: F.pmod(i, F.lit(2)) == 0)
+    return let(some, lambda s: let(F.sqrt(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x * x)), lambda n: F.transform(s, lambda x: x / F.greatest(n, F.lit(1e-12)))))
 
 
 def scored(d: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """Pairs with cosine ``score`` and ``rank``: 2 duplicate, 1 possible, 0 unique."""
+    """Pairs with cosine ``score`` and ``rank``: 2 duplicate, 1 possible, 0 unique. Pairs whose coarse score is too low are left out first."""
     x = pairs(d, p).join(d.select("g", "i", F.col("v").alias("vi")), ["g", "i"]).join(d.select("g", F.col("i").alias("j"), F.col("v").alias("vj")), ["g", "j"])
-    score = F.round(F.aggregate(F.zip_with("vi", "vj", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y), 6)
-    x = x.select("g", "i", "j", "dist", "far", score.alias("score"))
+    if p.least_coarse > -1:
+        x = x.withColumn("ci", coarse(F.col("vi"))).withColumn("cj", coarse(F.col("vj"))).where(_dot("ci", "cj") >= p.least_coarse)
+    x = x.select("g", "i", "j", "dist", "far", _dot("vi", "vj").alias("score"))
     return x.withColumn("rank", F.when(F.col("score") >= p.same, 2).when(F.col("score") >= p.flag, 1).otherwise(0))
 
 
@@ -73,25 +126,32 @@ def best_match(s: DataFrame) -> DataFrame:
 def resolve(s: DataFrame) -> DataFrame:
     """(g, j, status, i): rows in order; only rows that are not duplicates themselves can be references.
 
-    A group's candidate lists are folded in order with the set of duplicates so far.
+    In rounds: a row is settled when its best reference that may still count is settled as
+    kept, or when it has none left; references that turn out duplicates are dropped. Each
+    round settles at least the first open row of every group, and mostly whole stretches, in
+    joins on (group, row); no group is gathered in one place.
     """
-    c = s.where("rank > 0").groupBy("g", "j").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("nr"), (-F.col("score")).alias("ns"), (~F.col("far")).alias("near"), "i"))).alias("cs"))
-    g = c.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("j", "cs"))).alias("rows"))
-
-    def step(acc: Column, row: Column) -> Column:
-        first = F.get(F.filter(row["cs"], lambda k: ~F.array_contains(acc["d"], k["i"])), F.lit(0))
-        return let(first, lambda best: add(acc, row, best))
-
-    def add(acc: Column, row: Column, best: Column) -> Column:
-        dup = best["nr"] == -2
-        return F.struct(
-            F.when(dup, F.concat(acc["d"], F.array(row["j"]))).otherwise(acc["d"]).alias("d"),
-            F.when(best.isNotNull(), F.concat(acc["r"], F.array(F.struct(row["j"].alias("j"), best["nr"].alias("nr"), best["i"].alias("i"))))).otherwise(acc["r"]).alias("r"),
-        )
-
-    start = F.struct(F.array().cast("array<int>").alias("d"), F.array().cast("array<struct<j:int,nr:int,i:int>>").alias("r"))
-    out = g.select("g", F.explode(F.aggregate("rows", start, step)["r"]).alias("x"))
-    return out.select("g", F.col("x.j").alias("j"), F.when(F.col("x.nr") == -2, "duplicate").otherwise("possible").alias("status"), F.col("x.i").alias("i"))
+    order = F.struct((-F.col("rank")).alias("r"), (-F.col("score")).alias("s"), (~F.col("far")).alias("n"), "i")
+    live = materialise(s.where("rank > 0").select("g", "j", "i", "rank", order.alias("o")), "dedup-live")
+    # only rows with a rank-2 candidate can become duplicates: others are kept as references at once
+    open_ = materialise(live.where("rank = 2").select("g", "j").distinct(), "dedup-open")
+    while True:
+        waiting = live.join(open_.select("g", F.col("j").alias("i"), F.lit(True).alias("w")), ["g", "i"], "left")
+        w = F.coalesce("w", F.lit(False))
+        # a kept reference of rank 2 settles a row even while a better one is open
+        best = waiting.groupBy("g", "j").agg(F.min(F.struct("o", "rank", w.alias("w"))).alias("b"), F.max((F.col("rank") == 2) & ~w).alias("sure"))
+        state = open_.join(best, ["g", "j"], "left").select("g", "j", F.when(F.col("sure"), 2).otherwise(F.col("b.rank")).alias("rank"), F.coalesce(F.col("b.w") & ~F.col("sure"), F.lit(False)).alias("w"))
+        state = materialise(state, "dedup-state")
+        now = state.where("not w")
+        if now.isEmpty():
+            break
+        gone = now.where("rank = 2").select("g", F.col("j").alias("i"))
+        old = live, open_
+        live, open_ = materialise(live.join(gone, ["g", "i"], "left_anti"), "dedup-live"), materialise(state.where("w").select("g", "j"), "dedup-open")
+        for table in (*old, state):
+            discard(table)
+    best = live.groupBy("g", "j").agg(F.min(F.struct("o", "rank", "i")).alias("b"))
+    return best.select("g", "j", F.when(F.col("b.rank") == 2, "duplicate").otherwise("possible").alias("status"), F.col("b.i").alias("i"))
 
 
 def classify(ssim: Column, local: Column, peak: Column, spread: Column) -> Column:

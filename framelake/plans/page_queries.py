@@ -117,7 +117,7 @@ def sort_items(spark, sf):
 
 
 def select_ranges(spark, sf):
-    return ct.select_ranges(ct.items(_catalog(spark, sf)), "3, 12-10, 40-45").select("source", "idx")
+    return ct.select_ranges(ct.items(_catalog(spark, sf)), F.lit("3, 12-10, 40-45")).select("source", "idx")
 
 
 def select_latest(spark, sf):
@@ -144,7 +144,7 @@ def _reports(spark, sf):
 
 
 def report_upsert(spark, sf):
-    return ct.upsert(*_reports(spark, sf))
+    return ct.upsert(*_reports(spark, sf), ["pages"])
 
 
 def skip_existing(spark, sf):
@@ -189,7 +189,7 @@ QUERIES = {f.__name__: f for f in (
 _DESC = """
 d0 as (select label g, (row_number() over (partition by label order by vec_id) - 1)::int i, vec_id id, embedding::double[] v, list_sort(embedding[2:])[32] md, embedding e from embeddings),
 d as (select g, i, v, list_transform(e, lambda x: x > md) h from d0),
-pr as (select a.g, a.i, b.i j, len(list_filter(range(1, 65), lambda k: a.h[k] <> b.h[k])) dist, b.i - a.i > 8 far, a.v va, b.v vb from d a join d b on a.g = b.g and a.i < b.i),
+pr as (select a.g, a.i, b.i j, len(list_filter(range(1, 65), lambda k: a.h[k] <> b.h[k])) dist, b.i - a.i > 20 far, a.v va, b.v vb from d a join d b on a.g = b.g and a.i < b.i),
 ps as (select * from pr where (not far or dist <= 22) and dist <= 40),
 sc as (select g, i, j, dist, far, round(list_inner_product(va, vb), 6) score from ps),
 rk as (select *, case when score >= 0.3::double then 2 when score >= 0.22::double then 1 else 0 end rank from sc)"""
@@ -239,8 +239,8 @@ select g, round(arg_min(c, (cost, c)), 4) aspect, round(min(cost), 4) as cost fr
     "static_border": """with p as (select label g, unnest(range(64)) k, unnest(embedding) v from embeddings), q as (select g, k // 8 y, k % 8 x, case when k // 8 in (0, 7) or k % 8 < 2 then 5.0::double else v end v from p),
 c as (select g, y, x, max(v) - min(v) < 0.1::double st from q group by g, y, x having count(*) >= 3),
 yy as (select g, y, avg(st::int) >= 0.9::double s from c group by g, y), xx as (select g, x, avg(st::int) >= 0.9::double s from c group by g, x),
-a as (select g, coalesce(min(y) filter (not s), max(y) + 1) as top, coalesce(max(y) - max(y) filter (not s), 0) bottom from yy group by g),
-b as (select g, coalesce(min(x) filter (not s), max(x) + 1) as "left", coalesce(max(x) - max(x) filter (not s), 0) as "right" from xx group by g) select * from a join b using (g)""",
+a as (select g, coalesce(min(y) filter (not s), max(y)) as top, coalesce(max(y) - max(y) filter (not s), 0) bottom from yy group by g),
+b as (select g, coalesce(min(x) filter (not s), max(x)) as "left", coalesce(max(x) - max(x) filter (not s), 0) as "right" from xx group by g) select * from a join b using (g) where 8 - top - bottom >= 1.6 and 8 - "left" - "right" >= 1.6""",
     "temporal_median": """with p as (select vec_id // 9 g, unnest(range(64)) k, unnest(embedding)::double v from embeddings)
 select g, k // 8 y, k % 8 x, list_sort(list(v))[(count(*) - 1) // 2 + 1] m from p group by g, k""",
     "box_iou": """with b as (select p_partkey, p_size % 10 x0, p_partkey % 7 y0, p_size % 10 + 8 x1, p_partkey % 7 + 6 y1, p_partkey % 12 u0, 2 v0, p_partkey % 12 + 5 u1, 9 v1 from part),
@@ -259,7 +259,7 @@ select source, idx from (select *, row_number() over (partition by source order
   abs(l_quantity - 25), l_linestatus = 'O' desc, case l_returnflag when 'A' then 3 when 'N' then 2 else 1 end desc, l_extendedprice desc, l_partkey, l_suppkey, l_linenumber) n from lineitem) where n = 1""",
     "report_upsert": f"with {_REP} select label, status, pages from (select *, row_number() over (partition by label order by case when w = 0 then 1 when status = 'exists' then 0 else 2 end desc) n from o) where n = 1",
     "skip_existing": f"with {_REP} select label, pages from o where w = 1 and label not in (select label from o where w = 0 and status = 'done')",
-    "url_canonical": "select page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''), '/(videos|shorts|streams|featured|playlists|community|about|search)$', '') || '/videos' u from pages",
+    "url_canonical": "select page_id, regexp_replace(regexp_replace(split_part(trim(url), '?', 1), '/+$', ''), '/(videos|shorts|streams|featured|playlists|community|about|search)$', '') || '/videos' u from pages",
     "playlist_param": "select page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') p from pages",
     "safe_filename": r"""select page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled') f from pages""",
     "parse_time": """select p_partkey, case p_partkey % 4 when 0 then p_size + 0.5::double when 1 then p_size * 60 + p_size + 0.25::double when 2 then (3600 + p_size * 60 + p_size)::double end as seconds from part""",

@@ -17,7 +17,7 @@ def fingerprint(content: Column, chunk: int = CHUNK) -> Column:
 
 
 def fingerprints(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(path, length, fingerprint) of all files under ``path``."""
+    """(path, length, fingerprint) of all files under ``path``. The file source gives whole files, of 2 GB at most."""
     return spark.read.format("binaryFile").load(path).select("path", "length", fingerprint(F.col("content"), chunk).alias("fingerprint"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,16 +32,17 @@ def lag_diff(signal: DataFrame) -> DataFrame:
 def _runs(threshold: float, least: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         a, b = state.get if state.exists else (-1, -1)
-        out = []
-        for i, x in pd.concat(list(batches)).sort_values("i")[["i", "x"]].itertuples(index=False):
-            if x <= threshold:
-                a, b = (i if a < 0 else a), i
-            elif a >= 0:
-                if b - a + 1 >= least:
-                    out.append((key[0], a, b))
-                a = b = -1
-        state.update((int(a), int(b)))
-        yield pd.DataFrame(out, columns=["g", "a", "b"])
+        rows = pd.concat(list(batches)).sort_values("i")
+        i, still = rows["i"].to_numpy(), (rows["x"] <= threshold).to_numpy()
+        # a run may be open from before; where the mask rises one begins, where it falls one has ended
+        turns = np.diff(np.concatenate([[a >= 0], still]).astype(np.int8))
+        before = np.concatenate([[b], i[:-1]])
+        begin, end = np.concatenate([[a] if a >= 0 else [], i[turns == 1]]).astype(np.int64), before[turns == -1]
+        open_ = len(begin) > len(end)
+        state.update((int(begin[-1]), int(i[-1])) if open_ else (-1, -1))
+        begin = begin[: len(end)]
+        long = end - begin + 1 >= least
+        yield pd.DataFrame({"g": key[0], "a": begin[long], "b": end[long]})
 
     return step
 

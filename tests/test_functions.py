@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as ge
@@ -27,3 +28,61 @@ def test_fingerprint(spark, tmp_path):
     for at in (0, n // 2 - c // 2, n - c):
         want.update(data[at : at + c])
     assert files.fingerprints(spark, f"file://{tmp_path}", c).first()["fingerprint"] == want.hexdigest()[:16]
+
+
+def test_boxes(spark):
+    from framelake.operators import pages as pg
+
+    box = value(spark, pg.manual_crop(F.lit(0.9), F.lit(0.75), F.lit(0.1), F.lit(0.25), F.lit(100), F.lit(200)))
+    assert tuple(box) == (10, 50, 90, 150)
+    assert value(spark, ge.fill_fraction(F.lit(1.0), F.lit(2.0))) == 0.5
+    assert tuple(value(spark, pg.parse_crop(F.lit("0, 0.5,1,1")))) == ("manual", [0, 0.5, 1, 1]) and value(spark, pg.parse_crop(F.lit("none")))["mode"] == "none"
+    for bad in ("0,0,1", "0,0,1,2", "x"):
+        with pytest.raises(Exception, match="a crop is"):
+            value(spark, pg.parse_crop(F.lit(bad)))
+
+
+def test_still_pages_have_no_border(spark):
+    from framelake.operators import pages as pg
+
+    rows = [("still", i, [1.0] * 64) for i in range(3)] + [("few", i, [float(i)] * 64) for i in range(2)] + [("sizes", i, [float(90 * i)] * (64 if i else 56)) for i in range(4)] + [("moves", i, [0.0] * 8 + [float(90 * i)] * 56) for i in range(3)]
+    got = pg.static_border(pg.pixels(spark.createDataFrame(rows, "g string, id int, v array<double>"), 8)).collect()
+    assert [(r["g"], r["top"], r["bottom"], r["left"], r["right"]) for r in got] == [("moves", 1, 0, 0, 0)]
+
+
+def test_stride(spark):
+    assert [r["idx"] for r in files.stride(spark.range(10).withColumnRenamed("id", "idx"), 4).collect()] == [0, 4, 8]
+
+
+def test_duplicates_against_a_loop(spark):
+    import numpy as np
+
+    from framelake.operators import dedup as dd
+
+    rng = np.random.default_rng(5)
+    rows = [("g", j, int(i), int(rng.integers(0, 3)), float(np.round(rng.random(), 3)), bool(rng.random() < 0.3)) for j in range(1, 80) for i in rng.choice(j, min(j, 4), replace=False)]
+    s = spark.createDataFrame(rows, "g string, j int, i int, rank int, score double, far boolean")
+    want, gone = {}, set()
+    for j in range(1, 80):
+        open_ = sorted(((-r, -x, not f, i) for _, k, i, r, x, f in rows if k == j and r > 0 and i not in gone))
+        if open_:
+            want[j] = ("duplicate" if open_[0][0] == -2 else "possible", open_[0][3])
+            if open_[0][0] == -2:
+                gone.add(j)
+    assert {r["j"]: (r["status"], r["i"]) for r in dd.resolve(s).collect()} == want
+
+
+def test_far_pairs_against_all(spark):
+    import numpy as np
+
+    from framelake.operators import dedup as dd
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, 64)
+    bits = [np.where(rng.random(64) < rng.choice([0.05, 0.2, 0.5]), 1 - base, base) for _ in range(60)]
+    h = [int("".join(map(str, b)), 2) - (1 << 64 if b[0] else 0) for b in bits]
+    d = spark.createDataFrame([("g", i, x) for i, x in enumerate(h)], "g string, i int, h long")
+    got = [(r["i"], r["j"]) for r in dd.far_pairs(d, 5, 22).collect()]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 6, 60) if (bits[i] != bits[j]).sum() <= 22]
+    near = [(r["i"], r["j"]) for r in dd.near_pairs(d, 5).collect()]
+    assert sorted(near) == [(i, j) for i in range(60) for j in range(i + 1, min(60, i + 6))]

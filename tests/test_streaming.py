@@ -25,3 +25,18 @@ def test_segments_cross_batches(spark):
     rows = [("v", i, float(x)) for i, x in enumerate([0, 0, 9, 0, 0, 0, 0, 9, 0, 9])]
     got = sorted((r["a"], r["b"]) for r in drained(spark, lambda s: st.segments(s, 1.0, 2), rows))
     assert got == [(0, 1), (3, 6)]
+
+
+def test_segments_against_a_loop(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 3, 200)
+    rows = [("v", i, float(v)) for i, v in enumerate(x)]
+    want, a = [], None
+    for i, v in enumerate(x):
+        if v <= 1 and a is None:
+            a = i
+        if v > 1 and a is not None:
+            want += [(a, i - 1)] * (i - a >= 3)
+            a = None
+    assert sorted((r["a"], r["b"]) for r in drained(spark, lambda s: st.segments(s, 1.0, 3), rows)) == want
