@@ -6,6 +6,14 @@ distance to another is the number of symbols that differ. Two signatures within
 which at most one symbol differs (pigeonhole). Each chunk is therefore indexed under
 every way of leaving out one of its symbols; signatures within the distance always
 share a key.
+
+What is guaranteed and what is likely. All pairs within the signature distance share a key
+and are met; a pair at the similarity threshold itself has a greater distance once in about
+10,000 times (binomial), so the distance is no guarantee of the similarity. Pairs in buckets
+that still hold several classes must also pass ``may_reach``, a second sketch of ``BINS``
+bins that drops pairs whose estimate lies five deviations below the threshold; by the normal law one pair in
+some millions at the threshold is lost there. Tests simulate both laws. Every link is confirmed
+on full sets, so nothing is linked that should not be.
 """
 
 from __future__ import annotations
@@ -92,7 +100,7 @@ def bin_sketch(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def may_reach(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, per_cent: int) -> np.ndarray:
-    """False for pairs of bin sketches whose similarity is over five deviations below the threshold.
+    """False for pairs of bin sketches whose estimated similarity is over five deviations below the threshold.
 
     ``sizes`` is the sum of both set sizes. Bins draw shingles without replacement: of
     a short text nearly all are seen, and the deviation shrinks accordingly.
@@ -270,9 +278,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     only pairs of different classes within the signature distance leave a block. Every link is confirmed on the full sets.
 
     Null, empty and blank texts have no shingles, are linked with nothing and kept;
-    rows repeated under one id are one document; rows with a null id are compared with
-    none and kept. Other columns are ignored; an empty table gives an empty result.
+    rows repeated under one id are one document (ids of different texts too, of which any may
+    stand for the id); rows with a null id are compared with none and kept; ids are whole numbers. Other
+    columns are ignored; an empty table gives an empty result.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n_shingles long, k0 long, k1 long, sig binary, bins binary")
     sketch = materialise(sketch, "nd-sketch")
     alike = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
