@@ -31,7 +31,7 @@ ODD = [None, "", " \n\t ", "one", "two words", "x " * 5000, "é" * 3000, "same t
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name])
     names = sorted(got.columns)
@@ -315,6 +315,79 @@ def test_decontamination_finds_short_items_among_a_thousand(spark):
     assert [i for i in range(200) if (i, i) not in got] == []
 
 
+def test_near_duplicates_near_the_threshold_in_large_buckets(spark, monkeypatch):
+    """Many texts that share most words, with pairs on both sides of the threshold, in blocks of eight."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(13)
+    base = words(rng, 260, 10**6)
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for k in rng.choice(260, rng.integers(4, 9), replace=False):
+            t[k] = f"n{rng.integers(1e6)}"
+        texts.append(t)
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    root = list(range(150))
+    shares = []
+    for a, b in itertools.combinations(range(150), 2):
+        both = len(sets[a] & sets[b])
+        shares.append(both / (len(sets[a]) + len(sets[b]) - both))
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    assert sum(0.83 < x < 0.87 for x in shares) > 500
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, [" ".join(t) for t in texts]), 3, 85, neardup.DISTANCE).collect()}
+    assert [got[i] for i in range(150)] == root
+
+
+@pytest.mark.parametrize("per_cent,distance", [(85, neardup.DISTANCE), (80, neardup.DISTANCE_80)])
+def test_sketches_keep_pairs_at_the_threshold(per_cent, distance):
+    """Random sets as near the threshold from above as their size allows: the laws the module states."""
+    rng = np.random.default_rng(per_cent)
+    far = dropped = n = 0
+    for size in (12, 40, 150, 600, 2500):
+        for _ in range(max(40, 60_000 // size)):
+            both = -(-2 * per_cent * size // (100 + per_cent))
+            x = rng.integers(0, 1 << 63, 2 * size - both).astype(np.uint64)
+            a, b = np.sort(x[:size]), np.sort(x[size - both :])
+            grams, bounds = np.concatenate([a, b]), np.array([0, size, 2 * size])
+            sig, bins = neardup.signatures(grams, bounds), neardup.bin_sketch(grams, bounds)
+            far += (sig[0] != sig[1]).sum() > distance
+            dropped += not neardup.may_reach(bins[:1], bins[1], np.array([2 * size]), per_cent)[0]
+            n += 1
+    assert n > 7000 and far <= 6 and dropped == 0
+
+
+def test_near_duplicates_odd_rows(spark):
+    text = " ".join(words(np.random.default_rng(14), 40))
+    rows = [(1, text, "x", 5), (1, text, "x", 5), (2, text + " end", "y", 6), (None, text, "z", 7), (3, None, "z", 8), (4, "", None, 9)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, root string, n_shingles int")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (3, 3, True), (4, 4, True)], key=str)
+    kept = neardup.one_of_each(df).collect()
+    assert sorted((str(r["doc_id"]), r["root"], r["n_shingles"]) for r in kept) == [("1", "x", 5), ("3", "z", 8), ("4", None, 9), ("None", "z", 7)]
+
+
+def test_quality_odd_rows(spark):
+    good = " ".join(words(np.random.default_rng(15), 80, 10**6))
+    rows = [(None, good, 1, "a"), (None, good, 1, "a"), (2, None, 2, "b"), (3, "", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, row string")
+    assert [tuple(r) for r in quality.kept_documents(df).collect()] == [(None, good, 1, "a")] * 2
+    assert quality.ledger(df).count() == 4 and quality.kept_documents(df.limit(0)).count() == 0 and quality.ledger(df.limit(0)).count() == 0
+
+
+def test_urls_and_licenses_odd_rows(spark):
+    p = spark.createDataFrame([(1, "http://x.com/a?b=1", "k"), (1, "http://x.com/a?b=1", "k"), (2, "http://y.com/" + "a" * 100_000, "k")], "page_id long, url string, possible string")
+    got = urls.judge(p, spark.createDataFrame([("x.com/a?b=1",)], "url string")).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(1, "block"), (1, "block"), (2, "allow")]
+    assert urls.judge(p.limit(0), p.select("url")).count() == 0
+    mit = licenses.TEMPLATES["MIT"]
+    f = spark.createDataFrame([("r/a.txt", mit, "old", 1), ("r/a.txt", mit, "old", 1), ("r/b.txt", "x " * 100_000, "old", 2), ("r/LICENSE", mit, None, 3)], "path string, text string, license string, _unit int")
+    rows = licenses.scan(f).collect()
+    assert sorted((r["path"], r["license"], r["origin"], r["_unit"]) for r in rows) == [("r/LICENSE", "MIT", "own", 3), ("r/a.txt", "MIT", "own", 1), ("r/a.txt", "MIT", "own", 1), ("r/b.txt", "MIT", "inherited", 2)]
+    assert licenses.scan(f.limit(0)).count() == 0
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -437,6 +510,50 @@ def test_licenses(spark):
     assert got["q/x.py"]["license"] is None and got[None]["license"] is None and got["r/LICENSE"]["cosine"] == pytest.approx(1)
 
 
+def test_licenses_against_brute_force(spark):
+    """TF-IDF cosines of single lines to templates, and inheritance from the nearest directory, restated."""
+    import math
+
+    rng = np.random.default_rng(17)
+    templates = {f"L{k}": " ".join(f"t{chr(97 + x)}" for x in rng.integers(0, 20, 7)) for k in range(6)}
+    rows = []
+    for i in range(200):
+        folder = "/".join(["r", *(f"d{x}" for x in rng.integers(0, 3, rng.integers(0, 4)))])
+        name = "LICENSE" if rng.random() < 0.12 else f"f{i}.txt"
+        lines = [" ".join(f"t{chr(97 + x)}" for x in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(4)]
+        if rng.random() < 0.4:
+            said = templates[f"L{rng.integers(0, 6)}"].split()
+            lines[1] = " ".join(said[: rng.integers(3, 8)])
+        rows.append((f"{folder}/{name}", "\n".join(lines), i))
+    words_in = [set(re.findall("[a-z]+|[0-9]+", t)) for _, t, _ in rows]
+    df = Counter(w for s in words_in for w in s)
+    idf = lambda w: math.log((1 + len(rows)) / (1 + max(df[w], len(rows) / licenses.RAREST))) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in Counter(re.findall("[a-z]+|[0-9]+", t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    made = {k: vector(t) for k, t in templates.items()}
+    own = {}
+    for path, text, i in rows:
+        for line in text.split("\n"):
+            v = vector(line)
+            for k, x in made.items():
+                c = round(sum(v.get(w, 0) * y for w, y in x.items()) / norm(v) / norm(x), 9)
+                if c >= licenses.MIN_COSINE:
+                    own[i] = max(own.get(i, (0, "")), (c, k))
+    given = {}
+    for path, _, i in rows:
+        folder, name = path.rsplit("/", 1)
+        if name == "LICENSE" and i in own:
+            given[folder] = max(given.get(folder, (0, "")), own[i])
+    got = {r["i"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string, i int"), templates).collect()}
+    for path, _, i in rows:
+        ups = ["/".join(path.split("/")[:n]) for n in range(path.count("/"), 0, -1)]
+        near = next((u for u in ups if u in given), None)
+        want = (own[i][1], "own", None) if i in own else (given[near][1], "inherited", near) if near else (None, None, None)
+        assert (got[i]["license"], got[i]["origin"], got[i]["licensed_by"]) == want, (path, want, got[i])
+        assert i not in own or got[i]["cosine"] == pytest.approx(own[i][0], abs=1e-8)
+    assert len(own) > 40 and sum(r["origin"] == "inherited" for r in got.values()) > 40
+
+
 def test_licenses_of_headers_and_whole_texts(spark):
     mark = lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n"))
     code = "\nint main(void) { return compute(42); }\n" * 30
@@ -457,24 +574,10 @@ def test_licenses_of_headers_and_whole_texts(spark):
     assert all(any(a in t for a in licenses.ANCHORS) for t in lowered)
 
 
-def test_quotes(spark):
-    rows = [
-        (1, 0, "u", "Hello there, my friend.\nHow are you today?"), (1, 1, "a", "> Hello there, my\n> friend. How are you\n> today?\nFine, thank you very much."), (1, 2, "u", "A new topic that nobody knows"),
-        (1, 3, "u", "> > Hello there, my friend.\n> Fine, thank you\n> very much.\nGood to know."), (1, 4, "a", ">a new TOPIC that nobody knows!\nok"), (1, 5, "u", "> never said by anybody\nwhat"), (1, 6, "u", ">>> print(1)\nin Python"),
-        (1, 7, "u", "> Hello there, my friend.\nLate reply"), (2, 0, "u", None), (None, None, None, "> x"), (2, 1, "u", ""), (3, 0, "u", "> Hello there, my friend.\nother conversation"),
-    ]
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert [got[1, t]["parent_turn"] for t in range(8)] == [None, 0, None, 1, 2, None, None, 0] and got[3, 0]["parent_turn"] is None
-    assert [(got[1, t]["root_turn"], got[1, t]["depth"], got[1, t]["thread_position"]) for t in range(8)] == [(0, 0, 0), (0, 1, 1), (2, 0, 0), (0, 2, 2), (2, 1, 1), (5, 0, 0), (6, 0, 0), (0, 1, 3)]
-    assert [got[1, t]["text"] for t in (1, 3, 5, 6)] == ["Fine, thank you very much.", "Good to know.", "> never said by anybody\nwhat", ">>> print(1)\nin Python"]
-    assert (got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (2, 2) and got[2, 0]["text"] is None and got[None, None]["text"] == "> x" and len(got) == len(rows)
-
-
-def test_quotes_against_generated_threads(spark):
-    """Nested quotes wrapped anew at other widths; parents and depth-first order as planted."""
+def threads(rng):
+    """Rows of conversations in which messages quote earlier ones, wrapped anew at other widths; parents and own texts."""
     import textwrap
 
-    rng = np.random.default_rng(11)
     rows, parent, own = [], {}, {}
     for conv in range(6):
         for turn in range(25):
@@ -488,6 +591,38 @@ def test_quotes_against_generated_threads(spark):
                     quoted = "\n".join("> > " + x for x in textwrap.wrap(own[conv, higher], 30)) + "\n" + quoted
                 text = quoted + "\n" + text if rng.random() < 0.7 else text + "\n" + quoted
             rows.append((conv, turn, "u", text, 1, "kept"))
+    return rows, parent, own
+
+
+def test_quotes_oracle_on_quotes(spark):
+    import pandas as pd
+
+    rows = [r[:4] for r in threads(np.random.default_rng(16))[0]] + [(7, 0, "u", ">>> print(1)\nsays the prompt"), (7, 1, "a", "> says the prompt\n> never said by anyone\nyes"), (7, 2, "u", "> yes\nno"), (None, 0, "u", "> a b c d"), (7, 3, None, None)]
+    con = duckdb.connect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    con.register("conversations", conversations)
+    want = con.sql(quotes.ORACLE_SQL["op7_quotes"])
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "u", "Hello there, my friend.\nHow are you today?"), (1, 1, "a", "> Hello there, my\n> friend. How are you\n> today?\nFine, thank you very much."), (1, 2, "u", "A new topic that nobody knows"),
+        (1, 3, "u", "> > Hello there, my friend.\n> Fine, thank you\n> very much.\nGood to know."), (1, 4, "a", ">a new TOPIC that nobody knows!\nok"), (1, 5, "u", "> never said by anybody\nwhat"), (1, 6, "u", ">>> print(1)\nin Python"),
+        (1, 7, "u", "> Hello there, my friend.\nLate reply"), (2, 0, "u", None), (None, None, None, "> x"), (2, 1, "u", ""), (3, 0, "u", "> Hello there, my friend.\nother conversation"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t]["parent_turn"] for t in range(8)] == [None, 0, None, 1, 2, None, None, 0] and got[3, 0]["parent_turn"] is None
+    assert [(got[1, t]["root_turn"], got[1, t]["depth"], got[1, t]["thread_position"]) for t in range(8)] == [(0, 0, 0), (0, 1, 1), (2, 0, 0), (0, 2, 2), (2, 1, 1), (5, 0, 0), (6, 0, 0), (0, 1, 3)]
+    assert [got[1, t]["text"] for t in (1, 3, 5, 6)] == ["Fine, thank you very much.", "Good to know.", "> never said by anybody\nwhat", ">>> print(1)\nin Python"]
+    assert (got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (2, 2) and got[2, 0]["text"] is None and got[None, None]["text"] == "> x" and len(got) == len(rows)
+
+
+def test_quotes_against_generated_threads(spark):
+    """Nested quotes wrapped anew at other widths; parents and depth-first order as planted."""
+    rows, parent, own = threads(np.random.default_rng(11))
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, depth int, row string")
     got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(df).collect()}
     assert {k: r["parent_turn"] for k, r in got.items()} == parent and all(r["row"] == "kept" for r in got.values())
