@@ -12,29 +12,46 @@ from framelake.llm import decontam, mixing, neardup, quality, sharding
 from framelake.llm.common import materialise, read_table
 
 
+#: Shards hold about this many bytes of text.
+SHARD_BYTES = sharding.SHARD_BYTES
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the current policy rejects."""
+    """Drops documents that the current policy rejects: null, empty and short texts among them.
+
+    Null and repeated ids are rows like others; an empty table stays empty.
+    """
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each class of near-duplicates."""
+    """Keeps the first document of each class of near-duplicates (five words, similarity 0.8).
+
+    Of rows repeated under one id one stays; rows with a null id, and texts without words,
+    are compared with none and stay; an empty table stays empty.
+    """
     return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of ``benchmark``."""
+    """Drops documents that hold an item of ``benchmark``.
+
+    Null texts and null items hold nothing; without items, or documents, all rows stay.
+    """
     return decontam.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights."""
+    """Repeats or leaves out documents so that sources meet their target weights, in the order of the schedule.
+
+    Null sources are one source; null ids are documents of their own; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
-    return sharding.sharded(docs)
+    """The shard, of ``SHARD_BYTES`` or less as near as cuts allow, and slot of every row, repeated rows each."""
+    return sharding.sharded(docs, target_bytes=SHARD_BYTES)
 
 
 STAGES = [
