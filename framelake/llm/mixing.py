@@ -10,7 +10,8 @@ from .common import materialise, read_table, running_total, word_count
 
 #: The schedule has 2 ** BITS slots whatever the size of the input.
 BITS = 17
-ROWS_PER_BUCKET = 4000
+#: Buckets of a source's line; there are so many of them at most.
+ROWS_PER_BUCKET, MAX_BUCKETS = 1000, 1 << 16
 MAX_EPOCHS = 3
 SEED = 7
 
@@ -84,7 +85,7 @@ def mix(rows: DataFrame, seed: int = SEED, bits: int = BITS, max_epochs: int = M
     spark = rows.sparkSession
     made = ["source_size", "target", "taken", "places"]
     keep = [c for c in rows.columns if c not in made]
-    buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
+    buckets = min(MAX_BUCKETS, max(1, -(-rows.count() // ROWS_PER_BUCKET)))
     h = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(15)), 16, 10).cast("long")
     d = rows.select(F.struct(*keep).alias("_row"), "source", F.col("size").cast("long").alias("size"), h.alias("_h"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_g"))
     d = d.withColumn("_bucket", F.floor(F.col("_h") / F.lit(float(1 << 60)) * buckets))
@@ -119,7 +120,7 @@ def mix(rows: DataFrame, seed: int = SEED, bits: int = BITS, max_epochs: int = M
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document and its place in the schedule, beside its source's target."""
     docs = read_table(spark, sf_dir, "documents")
-    m = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    m = mix(materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"))
     n_slots = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["blocks"])
     first = F.get("places", F.lit(0))["slot"].cast("long")
     return m.select("doc_id", "size", "source_size", "target", "taken", "source", first.alias("first_slot"), n_slots.alias("n_slots"))
