@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, distance: i
     final = reps.select("rep").join(classes, F.col("rep") == F.col("node"), "left").select("rep", root)
     by_set = reps.select("k0", "k1", "n_shingles", "rep").join(final, "rep").drop("rep")
     out = sketch.drop("sig", "bins").join(by_set, ["k0", "k1", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
