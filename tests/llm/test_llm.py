@@ -50,6 +50,9 @@ def test_quality_counts_and_ablations(spark):
     ab = {r["rule"]: r for r in quality.ablations(quality.ledger(docs_of(spark, ODD))).collect()}
     bits = [r["fail_bits"] for r in rows if r["doc_id"] < 10]
     for k, rule in enumerate(quality.RULES):
+        if rule not in quality.POLICIES[quality.CURRENT]:
+            assert rule not in ab
+            continue
         m = quality.mask(quality.CURRENT)
         assert ab[rule]["fails"] == sum(b >> k & 1 for b in bits)
         assert ab[rule]["rejected_without"] == sum(b & m & ~(1 << k) != 0 for b in bits)
@@ -335,7 +338,7 @@ def test_near_duplicates_near_the_threshold_in_large_buckets(spark, monkeypatch)
         if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
             ra, rb = root[a], root[b]
             root = [min(ra, rb) if r in (ra, rb) else r for r in root]
-    assert sum(0.83 < x < 0.87 for x in shares) > 500
+    assert sum(0.83 < x < 0.87 for x in shares) > 300
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, [" ".join(t) for t in texts]), 3, 85, neardup.DISTANCE).collect()}
     assert [got[i] for i in range(150)] == root
 
