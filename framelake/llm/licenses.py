@@ -184,10 +184,13 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame
     of the same names as results are replaced.
     """
     taken = ("license", "cosine", "origin", "licensed_by")
-    keyed = materialise(files.drop(*taken).withColumn("_key", F.monotonically_increasing_id()), "license-files")
-    own = materialise(own_licenses(keyed, templates), "license-own")
+    # what is found follows from path and text alone: a hash of both names a row, so that no text is written to fix a key
+    whole = [F.col("path"), F.col("path").isNull(), F.col("text")]
+    row = F.struct(*[c for c in files.columns if c not in taken]).alias("row")
+    keyed = files.select(F.struct(F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b")).alias("_key"), "path", "text", row)
+    own = materialise(own_licenses(keyed.select("_key", "path", "text"), templates), "license-own")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    f = keyed.select("_key", "path", folder.alias("_dir")).join(own, "_key", "left")
+    f = materialise(keyed.select("_key", "path", folder.alias("_dir")).distinct().join(own, "_key", "left"), "license-paths")
     giving = f.where(F.col("path").rlike(LICENSE_FILE) & F.col("license").isNotNull())
     licensed = giving.groupBy(F.col("_dir").alias("_up")).agg(F.max(F.struct("cosine", F.col("license"))).alias("g")).select("_up", F.col("g.license").alias("_given"))
     dirs = f.where("_dir is not null").select("_dir").distinct()
@@ -199,7 +202,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("_given").isNotNull(), "inherited")
     by = F.when(F.col("license").isNull(), F.col("_up"))
     found = out.select("_key", license_.alias("license"), "cosine", origin.alias("origin"), by.alias("licensed_by"))
-    return keyed.join(found, "_key").select(*[c for c in files.columns if c not in taken], *taken)
+    return keyed.select("_key", "row").join(found, "_key").select("row.*", *taken)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
