@@ -26,13 +26,15 @@ RULES: dict[str, str] = {
     "duplicate_lines": "n_lines > 0 and 100 * n_dup_lines > 30 * n_lines",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
     "shouting": "n_upper > 0 and 2 * n_upper > word_chars",
+    "duplicate_lines_of_many": "n_lines >= 5 and 100 * n_dup_lines > 30 * n_lines",
 }
-#: Policies by version: the rules that reject.
+#: Policies by version: the rules that reject. Version 3 spares texts of a few lines of which one is repeated.
 POLICIES: dict[int, tuple[str, ...]] = {
     1: ("few_words", "repeated_windows"),
     2: ("few_words", "repeated_windows", "many_symbols", "duplicate_lines", "word_length", "shouting"),
+    3: ("few_words", "repeated_windows", "many_symbols", "word_length", "shouting", "duplicate_lines_of_many"),
 }
-BASE, CURRENT = 1, 2
+BASE, CURRENT = 1, 3
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -178,7 +180,8 @@ b as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_re
              + case when 10 * n_symbols > n_words then 4 else 0 end
              + case when n_lines > 0 and 100 * n_dup_lines > 30 * n_lines then 8 else 0 end
              + case when n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words) then 16 else 0 end
-             + case when n_upper > 0 and 2 * n_upper > word_chars then 32 else 0 end)::bigint fail_bits from m)
+             + case when n_upper > 0 and 2 * n_upper > word_chars then 32 else 0 end
+             + case when n_lines >= 5 and 100 * n_dup_lines > 30 * n_lines then 64 else 0 end)::bigint fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & 3) <> 0 base_failed, fail_bits = 0 kept, fail_bits from b""",
+       (fail_bits & 3) <> 0 base_failed, (fail_bits & 119) = 0 kept, fail_bits from b""",
 }
