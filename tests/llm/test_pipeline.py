@@ -33,3 +33,21 @@ def test_stages(spark, tmp_path):
     # equal sources weigh 1 and 2: twice the words of the second, about the same words in all
     assert 1.5 < by_source[1] / by_source[0] < 2.7 and 25 <= len(rows) <= 35
     assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in sorted({r["shard"] for r in rows}) for i in range(sum(r["shard"] == s for r in rows))]
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, row string"
+    text = " ".join(f"w{i * i}" for i in range(90))
+    rows = [(None, text, None, None, 1, 1, "a"), (5, text, "en", "s", 1, 2, None), (5, text, "en", "s", 1, 2, None), (6, None, "en", "s", None, 3, "b")]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, data in (("empty", []), ("odd", rows)):
+        got = spark.createDataFrame(data, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = f"{tmp_path}/{name}{k}"
+            stage(spark, got, str(tmp_path)).write.parquet(out)
+            got = spark.read.parquet(out)
+            if k < 4:
+                assert got.columns == [c.split()[0] for c in schema.split(", ")]
+            if k == 2:
+                assert sorted(str(r["doc_id"]) for r in got.collect()) == (["5", "None"] if data else [])
+        assert bool(got.count()) == bool(data)
