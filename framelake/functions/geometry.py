@@ -40,7 +40,7 @@ def quality(width: Column, height: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """Seconds as mm:ss.s, never below zero; ties go to the even digit."""
+    """Seconds as mm:ss.s, never below zero; ties of ten times the seconds go to the even digit."""
     t = F.greatest(seconds, F.lit(0.0))
     return F.format_string("%02d:%04.1f", F.floor(t / 60).cast("int"), F.rint((t - F.floor(t / 60) * 60) * 10) / 10)
 

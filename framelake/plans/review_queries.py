@@ -199,7 +199,7 @@ def sizes_and_turns(spark, sf):
     size, page = ge.analysis_size(z * 37, k % 900 + 1, 160), ge.uniform_page(z / (k % 40 + 10))
     return p.select(
         "p_partkey", ge.quarter_turns((k % 9 - 4) * 90).alias("turns"), ge.rotated((k % 4) * 90, F.lit(-90)).alias("rotation"), size["w"].alias("w"), size["h"].alias("h"),
-        ge.quality(F.when(k % 3 != 0, z), k % 50).alias("quality"), ge.clock(F.col("p_retailprice") / 4).alias("clock"), F.round(ge.fill_fraction(z / 10, k % 30 + 1), 6).alias("fill"),
+        ge.quality(F.when(k % 3 != 0, z), k % 50).alias("quality"), ge.clock(k * 7 / 10).alias("clock"), F.round(ge.fill_fraction(z / 10, k % 30 + 1), 6).alias("fill"),
         F.round(page["w"], 6).alias("pw"), F.round(page["h"], 6).alias("ph"))
 
 
@@ -352,7 +352,7 @@ select idx, case when f is not null then 'Chapter ' || lb else 'Video ' || (idx
   from lineitem where l_partkey % 5 in (1, 2, 3) and l_partkey % 13 <> 0 and l_partkey % 17 <> 0),
 q as (select *, case when w is not null and w <> 0 and h <> 0 then least(w, h) else nullif(h, 0) end quality from f)
 select id, quality, codec, tbr from (select *, row_number() over (partition by id order by case when quality = 360 then 0 when quality > 360 then 1 else 2 end, abs(quality - 360), vo desc, codec desc, tbr desc, l_partkey, l_suppkey, l_linenumber) n from q where quality > 0) where n = 1""",
-    "sizes_and_turns": """with p as (select p_partkey k, p_size z, p_retailprice / 4 c, least(1, 160.0::double / greatest(p_size * 37, 1)) sc, p_size / (p_partkey % 40 + 10)::double ar from part)
+    "sizes_and_turns": """with p as (select p_partkey k, p_size z, p_partkey * 7 / 10.0::double c, least(1, 160.0::double / greatest(p_size * 37, 1)) sc, p_size / (p_partkey % 40 + 10)::double ar from part)
 select k p_partkey, ((k % 9 - 4) % 4 + 4) % 4 turns, ((k % 4) * 90 + 270) % 360 rotation, greatest(8, round_even(z * 37 * sc, 0)::int) w, greatest(8, round_even((k % 900 + 1) * sc, 0)::int) h,
   case when k % 3 <> 0 and z <> 0 and k % 50 <> 0 then least(z, k % 50) else nullif(k % 50, 0) end quality, printf('%02d:%04.1f', floor(c / 60)::int, c - floor(c / 60) * 60) clock,
   round(1 - least(z / 10.0::double, k % 30 + 1) / greatest(z / 10.0::double, k % 30 + 1), 6) fill, round(case when ar <= 1 then 297 / 25.4::double * 72 * ar else 297 / 25.4::double * 72 end, 6) pw, round(case when ar <= 1 then 297 / 25.4::double * 72 else 297 / 25.4::double * 72 / ar end, 6) ph from p""",
