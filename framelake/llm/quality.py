@@ -109,8 +109,12 @@ def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     measured = docs.select(key, "text").mapInArrow(_measure(), schema)
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("long"))
+    return measured.withColumn("fail_bits", fail_bits())
+
+
+def fail_bits():
+    """A bit for each rule that a row's measurements fail."""
+    return sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0)).cast("long")
 
 
 def mask(version: int) -> int:
@@ -146,13 +150,10 @@ def kept_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     Null and repeated ids are rows like others; null and empty texts fail ``few_words``;
     an empty table gives an empty result. Columns of the measurements' names stay as they are.
     """
-    inside = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
     schema = T.StructType([*inside.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    rejected = F.lit(False)
-    for name in POLICIES[version]:
-        rejected = rejected | F.expr(RULES[name])
-    kept = inside.mapInArrow(_measure(drop_text=False), schema).where(~rejected)
-    return kept.select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
+    kept = inside.mapInArrow(_measure(drop_text=False), schema).withColumn("fail_bits", fail_bits()).where(~failed(version))
+    return kept.select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,26 +44,31 @@ def plain_words(lines: list[str]) -> list[str]:
     return re.findall(r"\w+", unicodedata.normalize("NFKC", said).casefold())
 
 
+def _digest(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
+
+
 def run_hashes(words: list[str]) -> list[int]:
     """Hashes of the distinct runs of ``RUN_WORDS`` words."""
     runs = {" ".join(words[i : i + RUN_WORDS]) for i in range(len(words) - RUN_WORDS + 1)}
-    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in sorted(runs)]
+    return [_digest(x.encode()) for x in sorted(runs)]
 
 
 def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of each quoted passage; a passage without runs is one row with none."""
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("at", "passage", "level", "runs", "hash")}
+        out: dict[str, list] = {k: [] for k in ("at", "passage", "level", "runs", "content", "hash")}
         for i, text in enumerate(b.column("text").to_pylist()):
             lines = text.split("\n")
             for k, (level, some) in enumerate(passages(text)):
                 if level:
                     found = run_hashes(plain_words([lines[n] for n in some]))
+                    content = _digest(b"".join(h.to_bytes(8, "big", signed=True) for h in sorted(found)))
                     for h in found or [None]:
-                        for name, v in zip(out, (i, k, level, len(found), h), strict=True):
+                        for name, v in zip(out, (i, k, level, len(found), content, h), strict=True):
                             out[name].append(v)
         at = pa.array(out.pop("at"), pa.int64())
-        kinds = {"passage": pa.int32(), "level": pa.int32(), "runs": pa.int64(), "hash": pa.int64()}
+        kinds = {"passage": pa.int32(), "level": pa.int32(), "runs": pa.int64(), "content": pa.int64(), "hash": pa.int64()}
         yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("_key", "conv_id", "turn")), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["_key", "conv_id", "turn", *out])
 
 
@@ -139,13 +144,33 @@ def threads(edges: DataFrame) -> DataFrame:
     return placed.select("conv_id", "turn", "root_turn", "depth", (F.col("_all") - F.col("rank")).alias("thread_position"))
 
 
+def sayers(wanted: DataFrame, said: DataFrame) -> DataFrame:
+    """(conv_id, content, n, said): for each passage and number of its runs that some message has, if enough, the first such message.
+
+    ``wanted`` are (conv_id, content, runs, hash) of distinct passages, ``said`` (conv_id, turn, hash) of messages. A message with
+    ``LINK_SHARE`` of a passage's runs has one of its rarest runs, of as many as may be missing and one more: only these
+    propose messages, and all runs are counted for those proposed. So a run that every message has proposes none,
+    unless a passage is made of such runs, and no link is lost.
+    """
+    often = said.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("_often"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "content").orderBy(F.coalesce("_often", F.lit(0)), "hash"))
+    need = F.ceil(F.lit(LINK_SHARE) * F.col("runs") - 1e-9)
+    rare = wanted.join(often, ["conv_id", "hash"], "left").withColumn("_n", nth).where((F.col("_n") <= F.col("runs") - need + 1) & F.col("_often").isNotNull())
+    rare = rare.select("conv_id", "content", "runs", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = said.withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(SALT)).cast("int"))
+    proposed = materialise(rare.join(salted, ["conv_id", "hash", "salt"]).select("conv_id", "content", F.col("turn").alias("said")).distinct(), "chat-proposed")
+    counted = proposed.join(wanted, ["conv_id", "content"]).join(said.withColumnRenamed("turn", "said"), ["conv_id", "said", "hash"])
+    counted = counted.groupBy("conv_id", "content", "runs", "said").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(LINK_SHARE) * F.col("runs"))
+    return counted.groupBy("conv_id", "content", "n").agg(F.min("said").alias("said"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``messages`` (conv_id, turn, role, text) with their place in reply order and without quotes.
 
     Neighbouring lines of one quote level are a passage. A passage of at least ``RUN_WORDS`` words
     is linked to an earlier message of its conversation that itself, outside its own quotes,
     has ``LINK_SHARE`` of the passage's runs of words, however either is broken into lines; of several, to
-    the one that was the first to say most of them, then the latest. Linked passages of any level are removed from the
+    the one that has most of them, then the first, the original. Linked passages of any level are removed from the
     text; others, such as program prompts, stay as they are.
 
     ``parent_turn`` is the message that the outermost linked passages come from, of several the one with most runs, then
@@ -153,29 +178,28 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     in reply order is its rows by (root_turn, thread_position, turn), see ``in_order``. ``n_quoted`` and
     ``n_linked`` count passages.
 
-    Only texts with quote marks are shuffled; of the others only runs that are quoted. A run
-    that many messages share or quote is one row of the index, from partial sums, and meets its quotes
+    Only texts with quote marks are shuffled; of the others only runs that are quoted. Equal passages of a
+    conversation are looked up once, see ``sayers``, and a passage that many messages quote meets them
     salted. Null text stays null; rows with a null conversation or turn link with nothing;
     rows repeated under one turn are at one place; very long texts are no special case; an empty table gives an
     empty result. Other columns of ``messages`` stay unless results have their names.
     """
     keep = [c for c in messages.columns if c not in MADE]
-    rows = messages.select(F.struct(*keep).alias("row"), F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
+    rows = messages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
     has = F.coalesce(F.col("text").rlike(QUOTED), F.lit(False))
     marked = materialise(rows.where(has).withColumn("_key", F.monotonically_increasing_id()), "chat-marked")
-    quoted = marked.select("_key", "conv_id", "turn", "text").mapInArrow(_quoted, "_key long, conv_id string, turn long, passage int, level int, runs long, hash long")
+    quoted = marked.select("_key", "conv_id", "turn", "text").mapInArrow(_quoted, "_key long, conv_id string, turn long, passage int, level int, runs long, content long, hash long")
     quoted = materialise(quoted, "chat-quoted")
-    asked = materialise(quoted.where("hash is not null and conv_id is not null and turn is not null").select("conv_id", "hash").distinct(), "chat-asked")
+    wanted = materialise(quoted.where("hash is not null and conv_id is not null and turn is not null").select("conv_id", "content", "runs", "hash").distinct(), "chat-wanted")
+    asked = materialise(wanted.select("conv_id", "hash").distinct(), "chat-asked")
     others = possible(rows.where("text is not null and turn is not null").select("conv_id", "turn", "text"), asked.select(F.col("conv_id").alias("url")).distinct(), "conv_id")
     said = others.where("possible").drop("possible").mapInArrow(_said, "conv_id string, turn long, hash long").join(asked, ["conv_id", "hash"])
     said = materialise(said.distinct(), "chat-said")
-    salt = F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int").alias("salt")
-    first = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("said")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = quoted.select("*", salt).join(first, ["conv_id", "hash", "salt"]).where("said < turn")
-    votes = met.groupBy("_key", "passage", "said").agg(F.count(F.lit(1)).alias("n"))
-    choice = votes.groupBy("_key", "passage").agg(F.max(F.struct("n", "said"))["said"].alias("said"))
-    sure = quoted.join(choice, ["_key", "passage"]).join(said.select("conv_id", F.col("turn").alias("said"), "hash"), ["conv_id", "said", "hash"])
-    linked = sure.groupBy("_key", "conv_id", "turn", "passage", "level", "runs", "said").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(LINK_SHARE) * F.col("runs"))
+    first = sayers(wanted, said).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    each = quoted.where("hash is not null").select("_key", "conv_id", "turn", "passage", "level", "content", F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int").alias("salt")).distinct()
+    met = each.join(first, ["conv_id", "content", "salt"]).where("said < turn")
+    best = F.max(F.struct("n", (-F.col("said")).alias("first")))
+    linked = met.groupBy("_key", "passage", "level").agg(best.alias("b")).select("_key", "passage", "level", (-F.col("b.first")).alias("said"), "b.n")
     linked = materialise(linked, "chat-linked")
     found = linked.groupBy("_key", "level", "said").agg(F.sum("n").alias("n")).groupBy("_key").agg(F.max(F.struct(-F.col("level"), "n", "said"))["said"].alias("parent_turn"))
     gone = linked.groupBy("_key").agg(F.collect_set("passage").alias("gone"))
@@ -189,7 +213,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     stripped = stripped.join(texts, "_key", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     own = F.coalesce("own", "text")
-    cols = lambda text: [text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in keep]
+    cols = lambda text: [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep]
     with_marks = stripped.select(*cols(own), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), number(F.col("depth")).alias("depth"), number(F.col("thread_position")).alias("thread_position"), number(F.col("n_quoted")).alias("n_quoted"), number(F.size("gone")).alias("n_linked"))
     zero = F.lit(0).cast("long")
     plain = rows.where(~has).select(*cols(F.col("text")), F.lit(None).cast("long").alias("parent_turn"), F.col("turn").alias("root_turn"), zero.alias("depth"), zero.alias("thread_position"), zero.alias("n_quoted"), zero.alias("n_linked"))
@@ -207,10 +231,24 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {"op7_quotes": op7_quotes}
-ORACLE_SQL = {
-    "op7_quotes": r"""
-with recursive m as (select row_number() over () k, conv_id, turn, role, text from conversations),
+def planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with quotes planted: two of three messages quote the one before, one of three also that before it, a level deeper."""
+    m = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = m.groupBy("conv_id", "turn").agg(F.max("text").alias("_said"))
+    before = lambda n: one.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("_said").alias(f"_said{n}"))
+    x = m.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    marked = lambda n, mark: F.when(F.pmod("turn", F.lit(3)) >= n, F.concat(F.lit(mark), F.regexp_replace(f"_said{n}", "\n", f"\n{mark}"), F.lit("\n")))
+    quoted = F.concat(F.coalesce(marked(2, "> > "), F.lit("")), F.coalesce(marked(1, "> "), F.lit("")), "text")
+    return link_quotes(materialise(x.select("conv_id", "turn", "role", quoted.alias("text")), "chat-planted"))
+
+
+QUERIES = {"op7_quotes": op7_quotes, "planted_quotes": planted_quotes}
+_INPUT = "with recursive m as (select row_number() over () k, conv_id, turn, role, text from conversations),"
+_PLANTED = """with recursive one as (select conv_id, turn, max(text) said from conversations group by conv_id, turn),
+m as (select row_number() over () k, c.conv_id, c.turn, role, coalesce(case when c.turn % 3 >= 2 then '> > ' || replace(b.said, chr(10), chr(10) || '> > ') || chr(10) end, '')
+  || coalesce(case when c.turn % 3 >= 1 then '> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10) end, '') || text as text
+  from conversations c left join one a on a.conv_id = c.conv_id and a.turn = c.turn - 1 left join one b on b.conv_id = c.conv_id and b.turn = c.turn - 2),"""
+_LINKED = r"""
 l as (select k, conv_id, turn, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) n from m),
 v as (select *, len(regexp_replace(regexp_extract(line, '^((?:[ \t]{0,3}>)+)', 1), '[^>]', '', 'g')) lv, regexp_replace(line, '^(?:[ \t]{0,3}>)+[ \t]?', '') c from l),
 w as (select *, lv is distinct from lag(lv) over (partition by k order by n) nw from v),
@@ -219,10 +257,8 @@ s as (select k, conv_id, turn, lv, case when lv > 0 then pa end pa, regexp_extra
 r as (select k, conv_id, turn, lv, pa, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2])) rs from s),
 q as (select k, conv_id, turn, lv, pa, len(rs) nr, unnest(rs) run from r where lv > 0),
 o as (select distinct conv_id, turn, unnest(rs) run from r where lv = 0 and turn is not null),
-f as (select conv_id, run, min(turn) said from o group by conv_id, run),
-t as (select q.k, q.pa, f.said, count(*) n from q join f using (conv_id, run) where f.said < q.turn group by 1, 2, 3),
-h as (select k, pa, arg_max(said, (n, said)) said from t group by k, pa),
-g as (select q.k, q.conv_id, q.turn, q.pa, q.lv, h.said, nr, count(*) n from q join h using (k, pa) join o on o.conv_id = q.conv_id and o.turn = h.said and o.run = q.run group by all having count(*) >= 0.8 * nr),
+t as (select q.k, q.conv_id, q.turn, q.pa, q.lv, o.turn said, count(*) n from q join o using (conv_id, run) where o.turn < q.turn group by q.k, q.conv_id, q.turn, q.pa, q.lv, o.turn, nr having count(*) >= 0.8 * nr),
+g as (select k, conv_id, turn, pa, lv, arg_max(said, (n, -said)) said, max(n) n from t group by k, conv_id, turn, pa, lv),
 a as (select k, conv_id, turn, lv, said, sum(n) n from g group by all),
 e as (select k, conv_id, turn, arg_max(said, (-lv, n, said)) parent_turn from a group by k, conv_id, turn),
 ed as (select conv_id, turn, max(parent_turn) parent_turn from e group by conv_id, turn),
@@ -233,5 +269,5 @@ nq as (select k, count(*) n from s where lv > 0 group by k), nl as (select k, co
 tx as (select p.k, trim(string_agg(p.line, chr(10) order by p.n) filter (g.k is null), chr(10)) own from p left join g on g.k = p.k and g.pa = p.pa group by p.k)
 select m.conv_id, m.turn, m.role, case when nl.n > 0 then coalesce(tx.own, '') else m.text end as text, e.parent_turn, case when nq.n > 0 then coalesce(po.root_turn, m.turn) else m.turn end root_turn,
   case when nq.n > 0 then coalesce(len(po.path) - 1, 0) else 0 end::bigint depth, case when nq.n > 0 then coalesce(po.place, 0) else 0 end::bigint thread_position, coalesce(nq.n, 0)::bigint n_quoted, coalesce(nl.n, 0)::bigint n_linked
-from m left join e on e.k = m.k left join po on po.conv_id = m.conv_id and po.turn = m.turn left join nq on nq.k = m.k left join nl on nl.k = m.k left join tx on tx.k = m.k""",
-}
+from m left join e on e.k = m.k left join po on po.conv_id = m.conv_id and po.turn = m.turn left join nq on nq.k = m.k left join nl on nl.k = m.k left join tx on tx.k = m.k"""
+ORACLE_SQL = {"op7_quotes": _INPUT + _LINKED, "planted_quotes": _PLANTED + _LINKED}

@@ -17,8 +17,10 @@ DIMENSIONS = ("_d0", "_d1", "_d2", "_d3")
 SHARD_BYTES = 256 << 20
 #: Copies of one text stay together while they weigh at most this share of a shard.
 WHOLE = 0.1
-#: Cuts of more nodes than this are joined by a shuffle, fewer are broadcast.
+#: Cuts of more nodes than this, and more large groups of copies, are joined by a shuffle, fewer are broadcast.
 BROADCAST_NODES = 1 << 16
+#: So many copies of a large group's row meet its rows where they are joined by a shuffle.
+SALT = 64
 GROUP = ["_t", "size", "text_crc32"]
 
 
@@ -36,35 +38,49 @@ def _rows(docs: DataFrame) -> DataFrame:
         _unit(F.coalesce(F.col("source"), F.lit(""))).alias("_s"),
         _unit(F.coalesce(F.col("lang"), F.lit(""))).alias("_l"),
         F.col("doc_id").cast("double").alias("_age"),
+        F.monotonically_increasing_id().alias("_id"),
     )
 
 
 def _points(rows: DataFrame, n: int, total: int, shards: int) -> DataFrame:
     """``rows`` with the metadata that places them, ``_tie`` last: that of the first row for copies that stay together.
 
-    Copies that make up much of a shard, by bytes or rows, are at most 20 for each
-    shard in number: they are broadcast, and no row of theirs is shuffled to be
-    joined. Other copies meet their first row by a join on the text's hashes.
+    Copies that make up much of a shard, by bytes or rows, are at most 20 groups for each
+    shard: up to ``BROADCAST_NODES`` groups are broadcast, and more meet their rows salted. Their rows that are
+    repeated alike, under one id too, are numbered (``_copy``), so that such a group is divided like any other. Other
+    copies meet their first row by a join on the text's hashes.
     """
     copies = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_fs"), F.min("_l").alias("_fl"), F.min("_age").alias("_fa")).where("_n > 1")
     copies = materialise(copies, "kd-copies")
     weight = F.col("_n") * F.col("size")
     many = (weight > WHOLE * total / shards) | (F.col("_n") > WHOLE * n / shards)
-    large = F.broadcast(copies.where(many).withColumn("_whole", weight <= WHOLE * total / shards))
-    own = _unit(F.struct("doc_id", "text_crc32", "size"))
+    large = materialise(copies.where(many).withColumn("_whole", weight <= WHOLE * total / shards), "kd-large")
+    held = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    key = GROUP
+    if held["groups"] <= BROADCAST_NODES:
+        large = F.broadcast(large)
+    else:
+        key = [*GROUP, "_salt"]
+        rows, large = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALT)).cast("int")), large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = _unit(F.struct("doc_id", "text_crc32", "size", "_copy"))
     shared = _unit(F.struct(*GROUP), F.lit(1))
 
     def placed(d: DataFrame, together: Column) -> DataFrame:
         pick = lambda first, mine: F.when(together, first).otherwise(mine)
-        return d.select("doc_id", "size", "text_crc32", pick(F.col("_fs"), F.col("_s")).alias("_s"), pick(F.col("_fl"), F.col("_l")).alias("_l"), pick(F.col("_fa"), F.col("_age")).alias("_age"), pick(shared, own).alias("_tie"))
+        return d.select("doc_id", "size", "text_crc32", "_copy", pick(F.col("_fs"), F.col("_s")).alias("_s"), pick(F.col("_fl"), F.col("_l")).alias("_l"), pick(F.col("_fa"), F.col("_age")).alias("_age"), pick(shared, own).alias("_tie"))
 
-    hot = placed(rows.join(large, GROUP), F.col("_whole"))
-    rest = rows.join(large.select(*GROUP), GROUP, "left_anti").join(copies.where(~many), GROUP, "left")
-    return hot.unionByName(placed(rest, F.col("_n").isNotNull()))
+    rest = rows.join(large.select(*key), key, "left_anti").join(copies.where(~many), GROUP, "left").withColumn("_copy", F.lit(0).cast("long"))
+    rest = placed(rest, F.col("_n").isNotNull())
+    if not held["groups"]:
+        return rest
+    buckets = max(1, -(-held["rows"] // ROWS_PER_BUCKET))
+    hot = materialise(rows.join(large, key).withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets))).withColumn("_one", F.lit(1)), "kd-hot")
+    hot = running_total(hot, ["doc_id", "text_crc32", "size"], "_bucket", ["_id"], "_one", "_copy").withColumn("_copy", F.col("_copy").cast("long"))
+    return placed(hot, F.col("_whole")).unionByName(rest)
 
 
 def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard) for every row.
+    """(doc_id, size, text_crc32, copy, shard) for every row; ``copy`` numbers rows repeated alike that fill much of a shard.
 
     With ``target_bytes`` the number of shards is the power of two that brings leaves
     to that size. Source and language are placed by hash, length by its logarithm, age by
@@ -77,7 +93,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
     are not shuffled, and nothing of either comes to the driver.
 
     Copies of one text are in one shard if together they weigh at most ``WHOLE`` of
-    one, which bounds what they add to a shard; larger groups are divided. Null text
+    one, which bounds what they add to a shard; larger groups are divided, by the row's number where ids repeat too. Null text
     weighs 1 byte; null source, language or id are values like others; rows repeated
     alike go the way of copies; an empty table gives an empty result. Other columns are ignored.
     """
@@ -92,7 +108,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
     lo, span = float(top["lo"] or 0), max(1.0, float((top["hi"] or 0) - (top["lo"] or 0)))
     fine = F.col("_tie") / 4096
     d = _points(rows, top["n"], total, shards).select(
-        "doc_id", "size", "text_crc32",
+        "doc_id", "size", "text_crc32", "_copy",
         (F.col("_s") + fine).alias("_d0"),
         (F.col("_l") + fine).alias("_d1"),
         (F.log(F.col("size")) / math.log(max(2, top["most"] or 2)) + fine).alias("_d2"),
@@ -106,7 +122,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
         halves = at.withColumn("_node", F.col("_node") * 2 + F.when(F.col("_v") >= F.col("_cut"), 1).otherwise(0))
         before, d = d, materialise(halves.select(*d.columns), "kd-level")
         discard(before)
-    return d.select("doc_id", "size", "text_crc32", F.col("_node").cast("int").alias("shard"))
+    return d.select("doc_id", "size", "text_crc32", F.col("_copy").alias("copy"), F.col("_node").cast("int").alias("shard"))
 
 
 def _along(d: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -145,8 +161,8 @@ def _cuts(d: DataFrame, n: int) -> DataFrame:
 def with_slots(d: DataFrame) -> DataFrame:
     """Adds ``slot``: gapless from 0 within each shard, counted over hashed buckets of it."""
     buckets = max(1, -(-d.count() // ROWS_PER_BUCKET))
-    d = d.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))).withColumn("_one", F.lit(1))
-    return running_total(d, ["shard"], "_bucket", ["doc_id", "text_crc32", "size"], "_one", "slot").withColumn("slot", F.col("slot").cast("long")).drop("_bucket", "_one")
+    d = d.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(buckets))).withColumn("_one", F.lit(1))
+    return running_total(d, ["shard"], "_bucket", ["doc_id", "text_crc32", "size", "copy"], "_one", "slot").withColumn("slot", F.col("slot").cast("long")).drop("_bucket", "_one")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ ODD = [None, "", " \n\t ", "one", "two words", "x " * 5000, "é" * 3000, "same t
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name])
     names = sorted(got.columns)
