@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import grids
+from framelake.functions.grids import hash_bits
+from framelake.operators import images
 from framelake.tables import discard, materialise
 
 
@@ -16,31 +20,31 @@ class DedupParams:
     """Thresholds for cosine scores of embeddings, which stand in for image similarity.
 
     Rows up to ``window`` back are always compared, others if their hashes differ by
-    ``far_hash`` bits at most; none if they differ by more than ``max_hash``, or if the
-    score of their ``coarse`` halves is below ``least_coarse``.
+    ``far_hash`` bits at most; none if they differ by more than ``max_hash``.
     """
 
     window: int = 20
     far_hash: int = 22
     max_hash: int = 40
-    least_coarse: float = -1.0
     same: float = 0.30
     flag: float = 0.22
 
 
-def hash_bits(v: Column) -> Column:
-    """64 bits as a long: entries above the median of all entries but the first."""
-    middle = F.get(F.array_sort(F.slice(v, 2, 63)), F.lit(31))
-    return let(middle, lambda m: _bits(v, m))
-
+@dataclass(frozen=True)
+class PictureParams:
+    """Thresholds for pictures: as ``DedupParams``, and the least ``quick`` similarity of pairs that are compared in full.
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    The quick check is of pictures at ``small`` times their size, of 8 pixels a side at least.
 
+    Fixed values.
+    """
 
-def _bits(v: Column, middle: Column) -> Column:
-    return F.aggregate(F.transform(v, lambda x, i: F.when(x > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    window: int = 20
+    far_hash: int = 10
+    max_hash: int = 26
+    quick: float = 0.65
+    max_shift: float = 0.06
+    small: float = 0.25
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -61,28 +65,59 @@ def near_pairs(d: DataFrame, window: int) -> DataFrame:
     return a.join(b, ["g", "_b"]).where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= window)).select("g", "i", "j")
 
 
-#: The hash is cut into so many parts for the multi-index join.
-PARTS = 8
+#: A radius is indexed if it meets less than this share of all pairs, else blocks of rows are compared.
+INDEXED = 0.1
+#: Groups that the index is cut for, and rows of a block.
+USUAL_GROUP, BLOCK = 2000, 512
+
+
+def hash_parts(distance: int) -> list[tuple[int, int]] | None:
+    """(first bit, width) of the parts of 64 bits for an index of hashes ``distance`` apart; None if none is worth it.
+
+    Of n parts one differs by at most ``distance // n`` bits (pigeonhole): a row has a key for every choice of them in
+    every part, and meets rows by chance as often as keys of that width agree.
+    """
+    best = None
+    for n in range(2, 17):
+        cuts = [64 * k // n for k in range(n + 1)]
+        parts = [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+        keys = [sum(math.comb(width, e) for e in range(distance // n + 1)) for _, width in parts]
+        share = sum(k / 2**width for k, (_, width) in zip(keys, parts, strict=True))
+        cost = sum(keys) + share * USUAL_GROUP / 2
+        if share < INDEXED and (best is None or cost < best[0]):
+            best = cost, parts
+    return best[1] if best else None
 
 
 def far_pairs(d: DataFrame, window: int, distance: int) -> DataFrame:
     """(g, i, j) with j - i > window and hashes at most ``distance`` bits apart.
 
-    Multi-index join: of ``PARTS`` parts of two such hashes one differs by at most
-    ``distance // PARTS`` bits (pigeonhole). Rows give that part with every choice of so many bits
-    changed, and meet rows that have one of these as their part.
+    Multi-index join over ``hash_parts``: rows give each part with every choice of allowed bits changed, and
+    meet rows that have one of these as their part. A radius too wide for that compares blocks of rows with each other:
+    its pairs are a good share of all anyway.
     """
-    width, errors = 64 // PARTS, distance // PARTS
-    flips = sorted({sum(1 << x for x in some) for n in range(errors + 1) for some in combinations(range(width), n)})
-    part = lambda h, k: F.shiftrightunsigned(h, k * width).bitwiseAND(F.lit((1 << width) - 1))
-    places = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("v")) for k in range(PARTS)])
-    near = F.flatten(F.transform(places, lambda x: F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.struct(x["k"].alias("k"), x["v"].bitwiseXOR(f).alias("v")))))
-    a = d.select("g", "i", F.col("h").alias("hi"), F.inline(places))
-    b = d.select("g", F.col("i").alias("j"), F.col("h").alias("hj"), F.inline(near))
-    met = a.join(b, ["g", "k", "v"]).where((F.col("j") - F.col("i") > window) & (hamming(F.col("hi"), F.col("hj")) <= distance))
+    parts = hash_parts(distance)
+    near = (F.col("j") - F.col("i") > window) & (hamming(F.col("hi"), F.col("hj")) <= distance)
+    if parts is None:
+        block = F.floor(F.col("i") / BLOCK).cast("int")
+        last = d.groupBy("g").agg(F.max(block).alias("_last"))
+        blocks = d.join(last, "g").select("g", "i", F.col("h").alias("h"), block.alias("_b"), "_last")
+        a = blocks.select("g", "i", F.col("h").alias("hi"), F.col("_b").alias("_x"), F.explode(F.sequence("_b", "_last")).alias("_y"))
+        b = blocks.select("g", F.col("i").alias("j"), F.col("h").alias("hj"), F.explode(F.sequence(F.lit(0), "_b")).alias("_x"), F.col("_b").alias("_y"))
+        return a.join(b, ["g", "_x", "_y"]).where(near).select("g", "i", "j")
+    errors = distance // len(parts)
+    part = lambda h, lo, width: F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    flips = lambda width: [sum(1 << x for x in some) for n in range(errors + 1) for some in combinations(range(width), n)]
+    key = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    exact = F.array(*[key(k, part(F.col("h"), lo, width)) for k, (lo, width) in enumerate(parts)])
+    some = lambda k, lo, width: F.transform(F.array(*[F.lit(f).cast("long") for f in flips(width)]), lambda f: key(k, part(F.col("h"), lo, width).bitwiseXOR(f)))
+    changed = F.flatten(F.array(*[some(k, lo, width) for k, (lo, width) in enumerate(parts)]))
+    a = d.select("g", "i", F.col("h").alias("hi"), F.inline(exact))
+    b = d.select("g", F.col("i").alias("j"), F.col("h").alias("hj"), F.inline(changed))
+    met = a.join(b, ["g", "k", "v"]).where(near)
     # a pair meets once for every part that is near: the first of them counts
-    first = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("hi").bitwiseXOR(F.col("hj")), (k * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1))) <= errors))
-    return met.where(F.col("k") == first).select("g", "i", "j")
+    apart = [F.when(F.bit_count(part(F.col("hi").bitwiseXOR(F.col("hj")), lo, width)) <= errors, k) for k, (lo, width) in enumerate(parts)]
+    return met.where(F.col("k") == F.coalesce(*apart)).select("g", "i", "j")
 
 
 def pairs(d: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
@@ -102,21 +137,45 @@ def _dot(a: str, b: str) -> Column:
     return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, y: acc + y), 6)
 
 
-def coarse(v: Column) -> Column:
-    """Every second entry of a vector, as long as one."""
-    some = F.filter(v, lambda x, i: F.pmod(i, F.lit(2)) == 0)
-    return let(some, lambda s: let(F.sqrt(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x * x)), lambda n: F.transform(s, lambda x: x / F.greatest(n, F.lit(1e-12)))))
-
-
 def scored(d: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """Pairs with cosine ``score`` and ``rank``: 2 duplicate, 1 possible, 0 unique. Pairs whose coarse score is too low are left out first."""
-    x = pairs(d, p).join(d.select("g", "i", F.col("v").alias("vi")), ["g", "i"]).join(d.select("g", F.col("i").alias("j"), F.col("v").alias("vj")), ["g", "j"])
-    if p.least_coarse > -1:
-        x = x.withColumn("ci", coarse(F.col("vi"))).withColumn("cj", coarse(F.col("vj"))).where(_dot("ci", "cj") >= p.least_coarse)
-    x = x.select("g", "i", "j", "dist", "far", _dot("vi", "vj").alias("score"))
+    """Pairs with cosine ``score`` and ``rank``: 2 duplicate, 1 possible, 0 unique."""
+    x = _with_vectors(pairs(d, p), d).select("g", "i", "j", "dist", "far", _dot("vi", "vj").alias("score"))
     return x.withColumn("rank", F.when(F.col("score") >= p.same, 2).when(F.col("score") >= p.flag, 1).otherwise(0))
 
 
+def _with_vectors(found: DataFrame, d: DataFrame) -> DataFrame:
+    return found.join(d.select("g", "i", F.col("v").alias("vi")), ["g", "i"]).join(d.select("g", F.col("i").alias("j"), F.col("v").alias("vj")), ["g", "j"])
+
+
+def picture_descriptors(pictures: DataFrame, w: int, h: int) -> DataFrame:
+    """(g, i, id, v, h): pictures (g, id, v) of a group in order of id, numbered from 0, with their perceptual hashes."""
+    v = F.col("v").cast("array<double>")
+    hashed = pictures.select("g", "id", v.alias("v"), images.perceptual_hash(v, w, h).alias("h"), *[c for c in pictures.columns if c == "active"])
+    return hashed.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1)
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    """Pairs dealt evenly: each costs far more to compare than its bytes say."""
+    return found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "i", "j")
+
+
+def compared(d: DataFrame, w: int, h: int, p: PictureParams = PictureParams()) -> DataFrame:
+    """Pairs of pictures with all measures of ``images.compare``, ``score`` (whole similarity) and ``rank``, as ``scored`` gives them.
+
+    A cascade: hashes first, then the quick similarity of the pictures as they lie, and only pairs that pass both are
+    laid on each other and compared. Each step is a written table, so that pairs left are dealt evenly to the next.
+    """
+    small = max(8, round(w * p.small)), max(8, round(h * p.small))
+    d = materialise(d.withColumn("s", grids.resampled(F.col("v"), w, h, *small)), "pictures")
+    near = materialise(pairs(d, p), "picture-pairs")
+    quick = _dealt(_with_vectors(near, d.withColumn("v", F.col("s")))).withColumn("_q", images.quick_similarity(F.col("vi"), F.col("vj"), *small))
+    alike = materialise(quick.where(F.round("_q", 9) >= p.quick).drop("vi", "vj", "_q"), "picture-alike")
+    x = _dealt(_with_vectors(alike, d)).withColumn("m", images.compare(F.col("vi"), F.col("vj"), w, h, p.max_shift)).drop("vi", "vj")
+    x = x.select("g", "i", "j", "dist", "far", "m.*")
+    verdict = classify(F.col("ssim"), F.col("local"), F.col("peak"), F.col("spread"))
+    return x.withColumn("score", F.round("ssim", 6)).withColumn("rank", F.when(verdict == "duplicate", 2).when(verdict == "possible", 1).otherwise(0))
+
+
 def best_match(s: DataFrame) -> DataFrame:
     """The best reference of each row whatever became of it; far ones come first among equals."""
     w = Window.partitionBy("g", "j").orderBy(F.desc("rank"), F.desc("score"), F.desc("far"), "i")

@@ -68,7 +68,7 @@ def content_fingerprint(spark, sf):
 
 def dedup_active(spark, sf):
     d = dd.descriptors(_t(spark, sf, "embeddings")).withColumn("active", F.col("id") % 7 != 0)
-    return dd.resolve(dd.scored(d, dd.DedupParams(window=5, least_coarse=0.1)))
+    return dd.resolve(dd.scored(d, dd.DedupParams(window=5)))
 
 
 def _review(spark, sf):
@@ -303,9 +303,9 @@ select g, i, round(list_avg(v), 6) brightness, round(case when l is null then 0
     "frame_stride": f"with {sq._SIGNAL} select g, i idx from p where i % 7 = 0",
     "content_fingerprint": "with u as (select page_id, url, len(url) n from pages where url is not null) select page_id, left(sha1(n || substr(url, 1, 12) || substr(url, greatest(0, n // 2 - 6)::int + 1, 12) || substr(url, greatest(0, n - 12)::int + 1, 12)), 16) f from u union all select page_id, null from pages where url is null",
     "dedup_active": """with recursive d0 as (select label g, (row_number() over (partition by label order by vec_id) - 1)::int i, vec_id id, embedding::double[] v, list_sort(embedding[2:])[32] md, embedding e from embeddings),
-d as (select g, i, v, list_transform(e, lambda x: x > md) h, list_transform(range(1, 65, 2), lambda k: v[k]) c from d0 where id % 7 <> 0),
-pr as (select a.g, a.i, b.i j, len(list_filter(range(1, 65), lambda k: a.h[k] <> b.h[k])) dist, b.i - a.i > 5 far, a.v va, b.v vb, list_cosine_similarity(a.c, b.c) co from d a join d b on a.g = b.g and a.i < b.i),
-sc as (select g, i, j, far, round(list_inner_product(va, vb), 6) score from pr where (not far or dist <= 22) and dist <= 40 and round(co, 6) >= 0.1::double),
+d as (select g, i, v, list_transform(e, lambda x: x > md) h from d0 where id % 7 <> 0),
+pr as (select a.g, a.i, b.i j, len(list_filter(range(1, 65), lambda k: a.h[k] <> b.h[k])) dist, b.i - a.i > 5 far, a.v va, b.v vb from d a join d b on a.g = b.g and a.i < b.i),
+sc as (select g, i, j, far, round(list_inner_product(va, vb), 6) score from pr where (not far or dist <= 22) and dist <= 40),
 rk as (select *, case when score >= 0.3::double then 2 when score >= 0.22::double then 1 else 0 end rank from sc), mj as (select g, max(j) m from rk where rank > 0 group by g),
 st(g, j, dups, bi, br) as (select g, 0, []::int[], null::int, null::int from mj union all
   select st.g, st.j + 1, case when b.r.rank = 2 then list_append(st.dups, (st.j + 1)::int) else st.dups end, b.r.i, b.r.rank from st join mj using (g)
