@@ -14,10 +14,25 @@ def page_numbers(pages: DataFrame) -> DataFrame:
 
 
 def summary(pages: DataFrame) -> DataFrame:
-    """Counts of a project's pages by status and source."""
+    """Counts of a project's pages by status, and of all manual ones."""
     n = lambda c: F.count_if(c)
     s = F.col("status")
-    return pages.groupBy("project").agg(F.count(F.lit(1)).alias("total"), n(s == "keep").alias("kept"), n(s == "duplicate").alias("duplicates"), n(s == "blank").alias("blanks"), n(s == "deleted").alias("deleted"), n((s == "keep") & (F.col("source") == "manual")).alias("manual"))
+    return pages.groupBy("project").agg(F.count(F.lit(1)).alias("total"), n(s == "keep").alias("kept"), n(s == "duplicate").alias("duplicates"), n(s == "blank").alias("blanks"), n(s == "deleted").alias("deleted"), n(F.col("source") == "manual").alias("manual"))
+
+
+def full_summary(pages: DataFrame, segments: DataFrame) -> DataFrame:
+    """The nine counts of each project: its segments (project, a row each), kept pages, merged and possible duplicates, blank and
+    deleted pages, kept short and moving ones, and all manual ones. Projects without pages or without segments have zeros there."""
+    s = F.col("status")
+    kept = lambda flag: F.count_if((s == "keep") & F.coalesce(F.array_contains("flags", flag), F.lit(False)))
+    counts = {
+        "pages": F.count_if(s == "keep"), "duplicates_merged": F.count_if(s == "duplicate"), "possible_duplicates": kept("possible_duplicate"), "blank": F.count_if(s == "blank"),
+        "deleted": F.count_if(s == "deleted"), "short": kept("short"), "moving": kept("moving"), "manual": F.count_if(F.col("source") == "manual"),
+    }
+    of = pages.groupBy("project").agg(*[v.alias(k) for k, v in counts.items()])
+    n = segments.groupBy("project").agg(F.count(F.lit(1)).alias("segments"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return of.join(n, "project", "full").select("project", zero("segments"), *[zero(c) for c in counts])
 
 
 def move(pages: DataFrame, page_id: Column, to: int) -> DataFrame:
@@ -114,7 +129,8 @@ def check_expected(pages: DataFrame, expected: DataFrame, counts: DataFrame, cur
 
     ``counts`` (project, sensitivity, segments) are a sweep's. Where the number of kept pages differs,
     the sensitivity is given whose segments, less hidden automatic pages and with kept manual ones, come
-    nearest to what is expected, then the one nearest the ``current``; only if nearer than now.
+    nearest to what is expected, then the one nearest the ``current``; only if nearer than now. An expectation of
+    null or 0 is none: nothing is said of it.
     """
     kept, auto = F.col("status") == "keep", F.col("source") == "auto"
     have = pages.groupBy("project").agg(F.count_if(kept).alias("detected"), F.count_if(auto & ~kept).alias("_hidden"), F.count_if(~auto & kept).alias("_manual"))
@@ -125,7 +141,8 @@ def check_expected(pages: DataFrame, expected: DataFrame, counts: DataFrame, cur
     x = e.join(best, "project", "left")
     better = (F.abs(F.col("b._p") - F.col("expected")) < F.abs(F.col("detected") - F.col("expected"))) & (F.abs(F.col("b.sensitivity") - current) > 1e-6)
     told = lambda c: F.when((F.col("detected") != F.col("expected")) & better, F.col(c))
-    return x.select("project", "expected", "detected", (F.col("detected") == F.col("expected")).alias("ok"), told("b.sensitivity").alias("sensitivity"), told("b._p").alias("predicted"))
+    asked = F.coalesce(F.col("expected") != 0, F.lit(False))
+    return x.select("project", "expected", "detected", F.when(asked, F.col("detected") == F.col("expected")).alias("ok"), F.when(asked, told("b.sensitivity")).alias("sensitivity"), F.when(asked, told("b._p")).alias("predicted"))
 
 
 def best_aspect(aspects: DataFrame, exact: int = 400) -> DataFrame:

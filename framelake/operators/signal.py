@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,9 +158,9 @@ def segments(s: DataFrame, thresholds: DataFrame, p: SegmentParams = SegmentPara
 def detect(signal: DataFrame, p: SegmentParams = SegmentParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Smoothed signal, thresholds per series and stable segments.
 
-    The smoothed signal is kept by the executors, as its levels, peaks and runs are read from it in turn.
+    The smoothed signal is a written table, as its levels, peaks and runs are read from it in turn.
     """
-    s = smoothed(signal, p).persist(StorageLevel.MEMORY_AND_DISK)
+    s = materialise(smoothed(signal, p), "detect-signal")
     thr = levels(s, p).withColumn("thr", threshold(F.col("base"), F.col("peak"), F.lit(p.sensitivity), p.threshold))
     return s, thr, segments(s, thr.select("g", "thr"), p)
 
@@ -222,7 +221,7 @@ def sweep(signal: DataFrame, steps: int = 41, p: SegmentParams = SegmentParams()
     run of that threshold begins or ends; samples are not repeated for every threshold. Thresholds
     reach the samples as one array per series.
     """
-    s = smoothed(signal, p).persist(StorageLevel.MEMORY_AND_DISK)
+    s = materialise(smoothed(signal, p), "sweep-signal")
     at = F.col("step") / F.lit(float(steps - 1))
     lv = levels(s, p).select("g", "base", "peak", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     thr = lv.select("g", "step", at.alias("sensitivity"), threshold(F.col("base"), F.col("peak"), at).alias("thr"))
@@ -244,6 +243,42 @@ def suggest(counts: DataFrame, target: int, current: float = 0.5) -> DataFrame:
     return counts.groupBy("g").agg(F.min_by(F.struct("step", "sensitivity", "segments"), key).alias("b")).select("g", "b.step", "b.sensitivity", "b.segments")
 
 
+def nearest_by_count(counts: DataFrame, current: float = 0.5) -> DataFrame:
+    """(g, segments, step, sensitivity): for each count of a sweep the sensitivity nearest the current one, the lower of equals."""
+    key = F.struct(F.round(F.abs(F.col("sensitivity") - current), 9), "step")
+    return counts.groupBy("g", "segments").agg(F.min_by(F.struct("step", "sensitivity"), key).alias("b")).select("g", "segments", "b.step", "b.sensitivity")
+
+
+#: So many counts nearest the wanted one are verified.
+CHECKS = 6
+
+
+def verified_suggestion(signal: DataFrame, expected: DataFrame, differs, current: float = 0.5, p: SegmentParams = SegmentParams(), checks: int = CHECKS) -> DataFrame:
+    """(g, expected, step, sensitivity, pages): the sensitivity whose pages come nearest to what is expected, hidden transitions divided.
+
+    ``expected`` has (g, expected, hidden, manual). The sweep's counts only say which ``checks`` sensitivities to try, one a count, those nearest
+    first; these are detected and refined anew, all series and sensitivities in one set of jobs. In the order of
+    trial the first that gives the expected pages is taken, else the nearest. ``differs``: see ``refine``; its ``g`` is (g, step).
+    """
+    counts = nearest_by_count(sweep(signal, p=p), current)
+    want = F.col("expected") - F.col("manual") + F.col("hidden")
+    away = F.round(F.abs(F.col("sensitivity") - current), 9)
+    order = Window.partitionBy("g").orderBy(F.abs(F.col("segments") - want), away, "step")
+    tried = counts.join(expected, "g").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= checks)
+    tried = materialise(tried.select("g", "step", "sensitivity", "expected", "hidden", "manual", away.alias("away"), "_n"), "verify-tried")
+    s = materialise(smoothed(signal, p).select("g", "i", "t", "s", "detail"), "verify-signal")
+    lv = levels(s, p).join(tried.select("g", "step", "sensitivity"), "g")
+    key = F.struct("g", "step")
+    thr = materialise(lv.select(key.alias("g"), "base", threshold(F.col("base"), F.col("peak"), F.col("sensitivity"), p.threshold).alias("thr")), "verify-thresholds")
+    each = materialise(s.join(tried.select("g", "step"), "g").select(key.alias("g"), "i", "t", "s", "detail"), "verify-series")
+    n = refine(each, segments(each, thr.select("g", "thr"), p), thr, differs, p).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g.g", "g.step", "n")
+    pages = F.coalesce("n", F.lit(0)) - F.col("hidden") + F.col("manual")
+    checked = tried.join(n, ["g", "step"], "left").withColumn("pages", pages)
+    off = F.abs(F.col("pages") - F.col("expected"))
+    best = F.min_by(F.struct("step", "sensitivity", "pages"), F.struct(off, F.when(off == 0, F.col("_n")).otherwise(0), "away", "_n"))
+    return checked.groupBy("g", "expected").agg(best.alias("b")).select("g", "expected", "b.step", "b.sensitivity", "b.pages")
+
+
 def asof(samples: DataFrame, requests: DataFrame, how: str) -> DataFrame:
     """(g, r, i): for each request time ``r`` the sample that ``how`` picks.
 

@@ -228,7 +228,7 @@ select p_partkey, case when ssim >= 0.88::double then case when peak >= 6 and pe
     "exact_repeats": "select min(doc_id) as first, count(*) - 1 repeats from documents group by text",
     "page_numbers": f"with {_PAGES} select project, id, case when status = 'keep' then (count(*) filter (status = 'keep') over (partition by project order by ord))::bigint end number from pages_",
     "project_summary": f"""with {_PAGES} select project, count(*) total, count(*) filter (status = 'keep') kept, count(*) filter (status = 'duplicate') duplicates, count(*) filter (status = 'blank') blanks,
-  count(*) filter (status = 'deleted') deleted, count(*) filter (status = 'keep' and source = 'manual') manual from pages_ group by project""",
+  count(*) filter (status = 'deleted') deleted, count(*) filter (source = 'manual') manual from pages_ group by project""",
     "page_move": f"""with {_PAGES}, n as (select *, row_number() over (partition by project order by ord) - 1 k from pages_)
 select project, id, (row_number() over (partition by project order by case when k = 0 then 2.5 + 1e-9 when k <= 3 then k - 1 else k end, k) - 1)::bigint ord from n""",
     "best_aspect": """with a as (select p_brand g, p_size / (20.0::double + p_partkey % 13) x from part where p_size > 0),
