@@ -6,8 +6,10 @@ import math
 from dataclasses import dataclass
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions import grids
 from framelake.functions.grids import hash_bits
@@ -182,16 +184,49 @@ def best_match(s: DataFrame) -> DataFrame:
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1 and rank > 0").drop("_n")
 
 
+#: Groups of so many candidates at most are settled in one pass over their rows, larger ones in rounds.
+FOLD_ROWS = 20_000
+
+
+def _settled(rows: pa.Table) -> pa.Table:
+    """(g, j, status, i) of one group's candidates: rows in order, each with its best reference that is no duplicate."""
+    by = rows.sort_by([("j", "ascending"), ("rank", "descending"), ("score", "descending"), ("far", "descending"), ("i", "ascending")])
+    gone, at, duplicate, last = set(), [], [], None
+    for k, (j, i, rank) in enumerate(zip(*(by.column(c).to_pylist() for c in ("j", "i", "rank")), strict=True)):
+        if j == last or i in gone:
+            continue
+        last = j
+        at.append(k)
+        duplicate.append(rank == 2)
+        if rank == 2:
+            gone.add(j)
+    kept = by.take(pa.array(at, pa.int64()))
+    return pa.table({"g": kept.column("g"), "j": kept.column("j"), "status": pa.array(["duplicate" if d else "possible" for d in duplicate], pa.string()), "i": kept.column("i")})
+
+
 def resolve(s: DataFrame) -> DataFrame:
     """(g, j, status, i): rows in order; only rows that are not duplicates themselves can be references.
 
-    In rounds: a row is settled when its best reference that may still count is settled as
+    Candidates of a group, a few for each of its rows, are settled in one pass where there are ``FOLD_ROWS`` of
+    them at most; larger groups go through ``resolved_in_rounds``.
+    """
+    live = materialise(s.where("rank > 0").select("g", "j", "i", "rank", "score", "far"), "dedup-live")
+    large = materialise(live.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FOLD_ROWS).select("g"), "dedup-large")
+    out = T.StructType([live.schema["g"], live.schema["j"], T.StructField("status", T.StringType()), live.schema["i"]])
+    if large.isEmpty():
+        return live.groupBy("g").applyInArrow(_settled, out)
+    small = live.join(large, "g", "left_anti").groupBy("g").applyInArrow(_settled, out)
+    return small.unionByName(resolved_in_rounds(live.join(large, "g", "left_semi")))
+
+
+def resolved_in_rounds(s: DataFrame) -> DataFrame:
+    """As ``resolve``: a row is settled when its best reference that may still count is settled as
     kept, or when it has none left; references that turn out duplicates are dropped. Each
     round settles at least the first open row of every group, and mostly whole stretches, in
     joins on (group, row); no group is gathered in one place.
     """
     order = F.struct((-F.col("rank")).alias("r"), (-F.col("score")).alias("s"), (~F.col("far")).alias("n"), "i")
-    live = materialise(s.where("rank > 0").select("g", "j", "i", "rank", order.alias("o")), "dedup-live")
+    live = materialise(s.where("rank > 0").select("g", "j", "i", "rank", order.alias("o")), "dedup-rounds")
     # only rows with a rank-2 candidate can become duplicates: others are kept as references at once
     open_ = materialise(live.where("rank = 2").select("g", "j").distinct(), "dedup-open")
     while True:

@@ -54,7 +54,7 @@ def test_stride(spark):
     assert [r["idx"] for r in files.stride(spark.range(10).withColumnRenamed("id", "idx"), 4).collect()] == [0, 4, 8]
 
 
-def test_duplicates_against_a_loop(spark):
+def test_duplicates_against_a_loop(spark, monkeypatch):
     import numpy as np
 
     from framelake.operators import dedup as dd
@@ -69,7 +69,12 @@ def test_duplicates_against_a_loop(spark):
             want[j] = ("duplicate" if open_[0][0] == -2 else "possible", open_[0][3])
             if open_[0][0] == -2:
                 gone.add(j)
-    assert {r["j"]: (r["status"], r["i"]) for r in dd.resolve(s).collect()} == want
+    for settle in (dd.resolve, dd.resolved_in_rounds):
+        assert {r["j"]: (r["status"], r["i"]) for r in settle(s).collect()} == want
+    monkeypatch.setattr(dd, "FOLD_ROWS", 100)
+    both = s.unionByName(s.where("j < 20").withColumn("g", F.lit("small")))
+    got = {(r["g"], r["j"]): (r["status"], r["i"]) for r in dd.resolve(both).collect()}
+    assert got == {("g", j): w for j, w in want.items()} | {("small", j): w for j, w in want.items() if j < 20}
 
 
 def test_far_pairs_against_all(spark):
