@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from framelake.operators import catalog as ct
 from framelake.operators import pages as pg
 from framelake.operators import signal as sg
+from framelake.sources.cache import Cache
+from framelake.tables import shared_path
 
 from . import page_queries as pq
 from . import review_queries as rq
@@ -65,7 +67,20 @@ def format_bitrates(spark, sf):
     return ct.choose_format(f, 720, ["l_linenumber", "l_partkey", "l_suppkey"]).select("id", "l_linenumber", "l_partkey")
 
 
-QUERIES = {f.__name__: f for f in (refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
+def cached_totals(spark, sf):
+    """Customers' totals in two runs: the second asks for all of them and computes only those that the first has not."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+
+    def totals(todo):
+        return orders.join(todo, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    keys, store = orders.select("o_custkey"), Cache(spark, shared_path(spark, "cache"), ttl_ms=3_600_000)
+    store.get(keys.where("o_custkey % 3 <> 0"), ["o_custkey"], totals, "totals", {"places": 2}, 1_000_000)
+    found, n = store.get(keys, ["o_custkey"], totals, "totals", {"places": 2}, 2_000_000)
+    return found.select("o_custkey", "n", "total", (F.col("made_ms") == 2_000_000).alias("now"), F.lit(n).cast("long").alias("computed"))
+
+
+QUERIES = {f.__name__: f for f in (cached_totals, refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
 
 #: Rounds that can divide a segment: as many as ``MAX_DEPTH`` and one.
 _ROUNDS = sg.MAX_DEPTH + 1
@@ -99,6 +114,7 @@ o{r + 1} as materialized (select {keys}, ha a, hb b from h{r} join f{r} using ({
 
 
 ORACLE_SQL = {
+    "cached_totals": """select o_custkey, count(*) n, round(sum(o_totalprice), 2) total, o_custkey % 3 = 0 as "now", (select count(distinct o_custkey) from orders where o_custkey % 3 = 0) computed from orders group by o_custkey""",
     "refine_segments": f"""{sq._BASE}, {sq._LEVELS}, th as (select *, {sq._thr('0.0::double')} thr from pl), {sq._segments('g')}, o0 as (select g, a, b from sg), {_divided('g')}
 select g, a, b, round(a / 30.0::double, 6) t_start, round(b / 30.0::double + 1.0::double / 30, 6) t_end from done""",
     "count_sensitivities": f"{sq._SWEEP} select g, segments, arg_min(step, (round(abs(step / 40.0::double - 0.5::double), 9), step))::bigint step from sw group by g, segments",
