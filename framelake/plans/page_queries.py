@@ -203,7 +203,7 @@ cc as (select *, regexp_extract(n, '(?:^|[^a-z0-9])(?:chapter|chap|ch|episode|ep
 cd as (select *, try_cast(nullif(m.a, '') as double) a, coalesce(try_cast(nullif(m.b, '') as double), try_cast(nullif(m.a, '') as double)) b from cc),
 ce as (select source, idx, title, a as first, case when b < a or b - a > 20 then a else b end as last from cd)"""
 _ITEMS = _CAT + """,
-us as (select * from ce where lower(trim(title)) not in ('[private video]', '[deleted video]', '[unavailable video]')),
+us as (select * from ce where lower(trim(title)) not in ('[deleted video]', '[private video]', '[unavailable video]')),
 it as (select source, min(idx) idx, first, last, (count(*) - 1)::bigint alternates from us where first is not null group by source, first, last
   union all select source, idx, null, null, 0 from us where first is null)"""
 _SORT = """,
