@@ -69,8 +69,8 @@ def near_pairs(d: DataFrame, window: int) -> DataFrame:
 
 #: A radius is indexed if it meets less than this share of all pairs, else blocks of rows are compared.
 INDEXED = 0.1
-#: Groups that the index is cut for, and rows of a block.
-USUAL_GROUP, BLOCK = 2000, 512
+#: Groups that the index is cut for, keys of a row at most, and rows of a block.
+USUAL_GROUP, MOST_KEYS, BLOCK = 2000, 1000, 512
 
 
 def hash_parts(distance: int) -> list[tuple[int, int]] | None:
@@ -86,7 +86,7 @@ def hash_parts(distance: int) -> list[tuple[int, int]] | None:
         keys = [sum(math.comb(width, e) for e in range(distance // n + 1)) for _, width in parts]
         share = sum(k / 2**width for k, (_, width) in zip(keys, parts, strict=True))
         cost = sum(keys) + share * USUAL_GROUP / 2
-        if share < INDEXED and (best is None or cost < best[0]):
+        if share < INDEXED and sum(keys) <= MOST_KEYS and (best is None or cost < best[0]):
             best = cost, parts
     return best[1] if best else None
 
