@@ -90,6 +90,19 @@ def box_mean(v: Column, w: int, h: int, size: int) -> Column:
     return separable(v, w, h, [1 / size] * size)
 
 
+def extreme(v: Column, w: int, h: int, by: int, how: Callable[[Column], Column]) -> Column:
+    """``how`` (``array_max``, ``array_min``) of the pixels up to ``by`` away: a picture dilated or eroded by a square."""
+    wide = w + 2 * by
+    line = lambda p, base: how(F.array(*[F.get(p, base + (dy * wide + dx)) for dy in range(2 * by + 1) for dx in range(2 * by + 1)]))
+    bases = F.transform(_places(w * h), lambda k: _div(k, w) * wide + k % w)
+    return let(padded(v, w, h, by, repeated), lambda p: F.transform(bases, lambda base: line(p, base)))
+
+
+def closed(v: Column, w: int, h: int, by: int) -> Column:
+    """Gaps narrower than the square are closed."""
+    return extreme(extreme(v, w, h, by, F.array_max), w, h, by, F.array_min)
+
+
 def cropped(v: Column, w: int, h: int, left: int, top: int) -> Column:
     """A picture without ``left`` columns and ``top`` rows on either side; see ``inner_size``."""
     wide, high = inner_size(w, h, left, top)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from framelake.functions import grids as gr
 from framelake.operators import dedup as dd
 from framelake.operators import images as im
+from framelake.operators import paper as pr
+from framelake.sources import frames as fr
+from framelake.tables import shared_path
 
 SIDE = 24
 
@@ -107,7 +110,37 @@ def combined_pages(spark, sf):
     return c.select("g", "moving", F.array_join("used", ",").alias("used"), F.round(gr.mean(F.col("v")), 5).alias("mean"), F.round(F.array_max("v"), 5).alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (frame_detail, sharpest_frames, edge_sharpness, perceptual_hash, quick_similarity, compare_pages, page_repeats, combined_pages)}
+def frame_files(spark, sf):
+    """Frames written as raw files and every seventh read back: its number of pixels, its sum and its first and last pixel."""
+    path = shared_path(spark, "frames")
+    fr.write_frames(_frames(spark, sf).select("g", "i", fr.to_bytes(F.col("v")).alias("v")), path, 8, 8)
+    back = fr.read_frames(spark, path, 8, 8, stride=7, frames_per_partition=50)
+    pixel = lambda k: F.conv(F.substring(F.hex("v"), k * 2 + 1, 2), 16, 10).cast("int")
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.conv(F.substring(F.hex("v"), (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")), F.lit(0), lambda a, x: a + x)
+    return back.select("g", F.col("i").cast("int").alias("i"), F.octet_length("v").alias("n"), total.alias("total"), pixel(0).alias("first"), pixel(63).alias("last"))
+
+
+def _sheets(spark, sf):
+    """A bright rectangle of ``SIDE`` x ``SIDE`` pictures, of which some fill all, some have a corner missing and some a spot beside it."""
+    o = _ordered(spark, sf)
+
+    def pixel(k):
+        y, x, n = gr._div(k, SIDE), k % SIDE, F.col("n")
+        inside = (x >= n % 4 + 3) & (x < n % 4 + 13 + n % 6) & (y >= n % 5 + 2) & (y < n % 5 + 14 + n % 4)
+        missing = (n % 6 == 5) & (x - n % 4 + y - n % 5 < 14)
+        spot = (n % 3 == 1) & (x >= SIDE - 3) & (y >= SIDE - 4)
+        bright = (n % 11 == 10) | (inside & ~missing) | spot
+        return F.when(bright, 190.0).otherwise(60.0) + F.get("e", (k % 64).cast("int")) * 60
+
+    return o.select("g", "id", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel).alias("v"))
+
+
+def find_paper(spark, sf):
+    f = pr.find_paper(_sheets(spark, sf), SIDE, SIDE)
+    return f.select("g", "id", *[F.col(c).cast("long").alias(c) for c in ("level", "area", "filled", "x0", "y0", "x1", "y1")], "paper")
+
+
+QUERIES = {f.__name__: f for f in (find_paper, frame_files, frame_detail, sharpest_frames, edge_sharpness, perceptual_hash, quick_similarity, compare_pages, page_repeats, combined_pages)}
 
 
 def _mirror(c: str, n: str) -> str:
@@ -180,6 +213,28 @@ cm as materialized (select p, ssim, "local", peak, spread, s[3]::int dx, s[4]::i
 _SOBEL_Y = [(x, y, v) for y, x, v in gr.SOBEL_X]
 
 ORACLE_SQL = {
+    "find_paper": f"""with recursive o as (select label g, vec_id id, (row_number() over (partition by label order by vec_id) - 1)::int n, embedding::double[] e from embeddings),
+k as (select (r.k // {SIDE})::int y, (r.k % {SIDE})::int x from range({SIDE * SIDE}) r(k)),
+sh as materialized (select g, id, y, x, case when n % 11 = 10 or (x >= n % 4 + 3 and x < n % 4 + 13 + n % 6 and y >= n % 5 + 2 and y < n % 5 + 14 + n % 4 and not (n % 6 = 5 and x - n % 4 + y - n % 5 < 14)) or (n % 3 = 1 and x >= {SIDE - 3} and y >= {SIDE - 4}) then 190.0 else 60.0 end::double
+  + e[(y * {SIDE} + x) % 64 + 1] * 60 v from o, k),
+{_taps('tx', [(0, k - 2, v) for k, v in enumerate([0.0625, 0.25, 0.375, 0.25, 0.0625])])}, {_taps('ty', [(k - 2, 0, v) for k, v in enumerate([0.0625, 0.25, 0.375, 0.25, 0.0625])])},
+h1 as materialized {_around('sh', 'id', 'tx', str(SIDE), str(SIDE), {'v': 'q.v'})}, h2 as materialized (select id, y, x, round(v)::bigint v from {_around('h1', 'id', 'ty', str(SIDE), str(SIDE), {'v': 'q.v'})}),
+hi as (select id, v, count(*) n from h2 group by id, v), cu as (select id, v, sum(n) over u n0, sum(n * v) over u s0, sum(n) over w n, sum(n * v) over w s from hi window u as (partition by id order by v), w as (partition by id)),
+ot as (select id, arg_min(v, (-round(n0::double * (n - n0) * pow(s0 / n0 - (s - s0) / (n - n0), 2), 6), v)) level from cu where n > n0 group by id),
+mk as (select id, y, x, case when v > level then 1 else 0 end v from h2 join ot using (id)),
+di as materialized (select p.id, p.y, p.x, max(q.v) v from mk p join mk q on q.id = p.id and abs(q.y - p.y) <= 1 and abs(q.x - p.x) <= 1 group by p.id, p.y, p.x),
+er as (select p.id, p.y, p.x, min(q.v) v from di p join di q on q.id = p.id and abs(q.y - p.y) <= 1 and abs(q.x - p.x) <= 1 group by p.id, p.y, p.x),
+ru as materialized (select id, y, min(x) x0, max(x) x1, y * 1000 + min(x) r from (select id, y, x, x - row_number() over (partition by id, y order by x) i from er where v = 1) group by id, y, i),
+li as materialized (select a.id, a.r a, b.r b from ru a join ru b on a.id = b.id and abs(a.y - b.y) = 1 and a.x0 <= b.x1 + 1 and a.x1 >= b.x0 - 1),
+cl as (select id, r a, r b from ru union select cl.id, cl.a, li.b from cl join li on li.id = cl.id and li.a = cl.b),
+rg as (select id, a r, min(b) region from cl group by id, a),
+ln as (select id, region, y, sum(x1 - x0 + 1) n, min(x0) x0, max(x1) x1 from ru join rg using (id, r) group by id, region, y),
+bx as (select id, region, sum(n) area, sum(x1 - x0 + 1) filled, min(x0) x0, min(y) y0, max(x1) + 1 x1, max(y) + 1 y1 from ln group by id, region),
+lg as (select * from (select *, row_number() over (partition by id order by area desc, region) k from bx) where k = 1)
+select g, id, level::bigint level, area::bigint area, filled::bigint filled, x0::bigint x0, y0::bigint y0, x1::bigint x1, y1::bigint y1, area between {0.15 * SIDE * SIDE} and {0.97 * SIDE * SIDE}
+  and (x0 <= 2)::int + (y0 <= 2)::int + (x1 >= {SIDE - 2})::int + (y1 >= {SIDE - 2})::int <= 2 and filled >= 0.85 * (x1 - x0) * (y1 - y0) paper from lg join ot using (id) join o using (id)""",
+    "frame_files": f"""with {_FRAME}, b as (select g, i, y * 8 + x k, greatest(0, least(255, round_even(v, 0)))::int v from fr where i % 7 = 0)
+select g::varchar g, i, count(*)::int n, sum(v)::int total, max(v) filter (k = 0) as first, max(v) filter (k = 63) as last from b group by g, i""",
     "frame_detail": f"""with {_FRAME}, {_taps('l8', gr.LAPLACE_8)},
 st as (select fr.g, fr.i, avg(fr.v) brightness, coalesce(avg(abs(fr.v - b.v)), 0) diff from fr left join fr b on b.g = fr.g and b.i = fr.i - 1 and b.y = fr.y and b.x = fr.x group by fr.g, fr.i),
 de as (select g, i, avg(abs(l)) detail from {_around('fr', 'g, i', 'l8', '8', '8', {'l': 'q.v'})} group by g, i)
