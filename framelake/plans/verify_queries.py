@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.operators import catalog as ct
 from framelake.operators import pages as pg
 from framelake.operators import signal as sg
+from framelake.sources import listing
 from framelake.sources.cache import Cache
-from framelake.tables import shared_path
+from framelake.tables import materialise, shared_path
 
 from . import page_queries as pq
 from . import review_queries as rq
@@ -80,7 +82,17 @@ def cached_totals(spark, sf):
     return found.select("o_custkey", "n", "total", (F.col("made_ms") == 2_000_000).alias("now"), F.lit(n).cast("long").alias("computed"))
 
 
-QUERIES = {f.__name__: f for f in (cached_totals, refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
+def listed_pages(spark, sf):
+    """Sources listed by pages of 20 rows until ten chapters and seven more rows are seen: rows kept, the last of them, pages read."""
+    w = Window.partitionBy("source").orderBy("idx")
+    store = materialise(pq._catalog(spark, sf).withColumn("page", F.floor((F.row_number().over(w) - 1) / 20).cast("int")), "list-store")
+    fetch = lambda which: store.join(which, ["source", "page"]).drop("page")
+    rows, pages = listing.listed(store.select("source"), fetch, 10, extra=7)
+    kept = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last"), F.sum("idx").alias("total"))
+    return pages.join(kept, "source", "left").select("source", "pages", "n", "last", "total")
+
+
+QUERIES = {f.__name__: f for f in (listed_pages, cached_totals, refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
 
 #: Rounds that can divide a segment: as many as ``MAX_DEPTH`` and one.
 _ROUNDS = sg.MAX_DEPTH + 1
@@ -114,6 +126,12 @@ o{r + 1} as materialized (select {keys}, ha a, hb b from h{r} join f{r} using ({
 
 
 ORACLE_SQL = {
+    "listed_pages": f"""with {pq._ITEMS}, q as (select source, idx, (row_number() over (partition by source order by idx) - 1) // 20 pg from ce),
+p as (select *, row_number() over (partition by source order by idx) p, case when first is not null and row_number() over (partition by source, first, last order by idx) = 1 then 1 else 0 end nw from us),
+k as (select *, sum(nw) over (partition by source order by idx) k from p), z as (select *, least(coalesce(min(p) filter (k >= 10) over (partition by source) + 7, 5000), 5000) stop from k),
+y as (select source, max(stop) stop, max(p) every from z group by source),
+x as (select z.source, count(*) n, max(z.idx) as last, sum(z.idx)::bigint total from z where p <= stop group by z.source)
+select s.source, case when x.n >= y.stop then (select q.pg + 1 from q where q.source = s.source and q.idx = x.last) else s.pages end pages, n, last, total from (select source, max(pg) + 1 pages from q group by source) s left join y using (source) left join x using (source)""",
     "cached_totals": """select o_custkey, count(*) n, round(sum(o_totalprice), 2) total, o_custkey % 3 = 0 as "now", (select count(distinct o_custkey) from orders where o_custkey % 3 = 0) computed from orders group by o_custkey""",
     "refine_segments": f"""{sq._BASE}, {sq._LEVELS}, th as (select *, {sq._thr('0.0::double')} thr from pl), {sq._segments('g')}, o0 as (select g, a, b from sg), {_divided('g')}
 select g, a, b, round(a / 30.0::double, 6) t_start, round(b / 30.0::double + 1.0::double / 30, 6) t_end from done""",
