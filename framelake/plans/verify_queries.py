@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators import catalog as ct
+from framelake.operators import generated as ge
 from framelake.operators import pages as pg
 from framelake.operators import signal as sg
 from framelake.sources import listing
@@ -92,7 +95,22 @@ def listed_pages(spark, sf):
     return pages.join(kept, "source", "left").select("source", "pages", "n", "last", "total")
 
 
-QUERIES = {f.__name__: f for f in (listed_pages, cached_totals, refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
+def generated_truth(spark, sf):
+    """Recordings made from customers, four ways each: base, slow movement in every second hold, all motion eight times as large, and little noise."""
+    k = F.col("c_custkey")
+    o = spark.read.parquet(f"{sf}/customer.parquet")
+    n = F.row_number().over(Window.partitionBy(F.col("c_custkey") % 5).orderBy("c_custkey"))
+    pages = o.select((F.col("c_custkey") % 5).alias("r"), n.alias("k"), ((k % 23) / 10 + 0.8).alias("hold"), F.when(k % 3 == 0, "fade").otherwise("slide").alias("kind"))
+    none, slow = F.lit(0.02), F.when(F.col("k") % 2 == 0, 0.3).otherwise(0.02)
+    parts = []
+    for name, level, more in (("base", none, {}), ("slow", slow, {}), ("large", none, {"scale": 8.0}), ("calm", none, {"noise": 0.005})):
+        plan = materialise(ge.schedule(pages.select(F.concat(F.lit(name), F.col("r").cast("string")).alias("g"), "k", "hold", "kind", level.alias("level"))), "generated-plan")
+        found = sg.detect(ge.recorded(plan, **more))[2]
+        parts.append(ge.met(plan.select("g", "a", "b"), found))
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES = {f.__name__: f for f in (generated_truth, listed_pages, cached_totals, refine_segments, verified_sensitivity, count_sensitivities, project_counts, expected_unset, latest_unlimited, format_bitrates)}
 
 #: Rounds that can divide a segment: as many as ``MAX_DEPTH`` and one.
 _ROUNDS = sg.MAX_DEPTH + 1
@@ -126,6 +144,8 @@ o{r + 1} as materialized (select {keys}, ha a, hb b from h{r} join f{r} using ({
 
 
 ORACLE_SQL = {
+    # every page is held long enough to be found: what is found is what was made
+    "generated_truth": "select v || (c_custkey % 5) g, count(*) truth, count(*) detected, count(*) matched from customer, (values ('base'), ('slow'), ('large'), ('calm')) t(v) group by 1",
     "listed_pages": f"""with {pq._ITEMS}, q as (select source, idx, (row_number() over (partition by source order by idx) - 1) // 20 pg from ce),
 p as (select *, row_number() over (partition by source order by idx) p, case when first is not null and row_number() over (partition by source, first, last order by idx) = 1 then 1 else 0 end nw from us),
 k as (select *, sum(nw) over (partition by source order by idx) k from p), z as (select *, least(coalesce(min(p) filter (k >= 10) over (partition by source) + 7, 5000), 5000) stop from k),
