@@ -29,6 +29,8 @@ from framelake.tables import materialise
 
 #: Members that a task reads.
 MEMBERS_PER_TASK = 10_000
+#: Adjacent pieces are written together up to so many bytes.
+RUN_BYTES = 1 << 20
 #: Pages under one node of a book's page tree.
 NODE_PAGES = 256
 #: Fixed values of the zip format: signatures, the largest numbers of its short fields, and 1980-01-01 as a date.
@@ -38,8 +40,8 @@ SHORT_MAX, LONG_MAX, DAY = 0xFFFF, 0xFFFFFFFF, "00002100"
 
 def _le(c: Column, n: int) -> Column:
     """A number as ``n`` bytes in hex, the lowest first."""
-    c = c.cast("long")
-    return F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for k in range(n)])
+    digits = F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))])
 
 
 def _least(c: Column, most: int) -> Column:
@@ -64,6 +66,12 @@ class Zip:
         fields = [F.lit(MEMBER + "14000000" + "0000" + DAY), _le(p.crc, 4), _le(p.size, 4), _le(p.size, 4), _le(F.octet_length(name), 2), F.lit("0000")]
         return F.concat(F.unhex(F.concat(*fields)), name)
 
+    def head_size(self, p) -> Column:
+        return F.octet_length(self.name(p.k)) + 30
+
+    def entry_size(self, p) -> Column:
+        return F.octet_length(self.name(p.k)) + F.when(p.at >= LONG_MAX, 58).otherwise(46)
+
     tail = b""
 
     def middle(self, n: Column, records_end: Column) -> Column:
@@ -114,6 +122,12 @@ class Book:
     def head(self, p) -> Column:
         return F.concat(*self._objects(p)).cast("binary")
 
+    def head_size(self, p) -> Column:
+        return F.length(F.concat(*self._objects(p)))
+
+    def entry_size(self, p) -> Column:
+        return F.lit(80)
+
     def _tree(self, n: Column) -> tuple[Column, Column]:
         nodes = F.transform(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(NODE_PAGES).cast("long")), lambda k: F.concat((k * 4 + 6).cast("string"), F.lit(" 0 R")))
         root = F.concat(F.lit("2 0 obj\n<</Type/Pages/Count "), n.cast("string"), F.lit("/Kids["), F.array_join(nodes, " "), F.lit("]>>\nendobj\n"))
@@ -181,10 +195,10 @@ def pieces(pages: DataFrame, form: Zip | Book) -> DataFrame:
     rows = _before(p.drop("v"), F.lit(1), "k")
     rows = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
     page = _page()
-    rows = materialise(_before(rows, F.octet_length(form.head(page)) + page.size + len(form.tail), "at").withColumn("at", F.col("at") + len(form.start)), "archive-places")
-    rows = materialise(_before(rows, F.octet_length(form.entry(page)), "entry_at"), "archive-entries")
-    record = F.octet_length(form.head(page)) + page.size + len(form.tail)
-    sums = rows.groupBy("g").agg(F.first("n").alias("n"), F.max(F.col("at") + record).alias("_records"), F.max(F.col("entry_at") + F.octet_length(form.entry(page))).alias("_directory"))
+    record = form.head_size(page) + page.size + len(form.tail)
+    rows = materialise(_before(rows, record, "at").withColumn("at", F.col("at") + len(form.start)), "archive-places")
+    rows = materialise(_before(rows, form.entry_size(page), "entry_at"), "archive-entries")
+    sums = rows.groupBy("g").agg(F.first("n").alias("n"), F.max(F.col("at") + record).alias("_records"), F.max(F.col("entry_at") + form.entry_size(page)).alias("_directory"))
     n, records = F.col("n"), F.col("_records")
     sums = sums.withColumn("_middle", form.middle(n, records)).withColumn("_from", records + F.octet_length("_middle"))
     file = F.concat("g", F.lit(form.suffix)).alias("file")
@@ -204,22 +218,31 @@ class PlacedWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.draft, exist_ok=True)
-        name, out = None, None
+        name, out, run, at = None, None, bytearray(), 0
         try:
             for r in rows:
+                # pieces that follow each other, as lines of directories do, are one write
+                if r["file"] != name or r["at"] != at + len(run) or len(run) >= RUN_BYTES:
+                    self.place(out, run, at)
+                    run, at = bytearray(), r["at"]
                 if r["file"] != name:
                     if out is not None:
                         os.close(out)
                     name, out = r["file"], os.open(f"{self.draft}/{r['file']}", os.O_WRONLY | os.O_CREAT, 0o644)
-                view, at = memoryview(r["bytes"]), r["at"]
-                while view:
-                    done = os.pwrite(out, view, at)
-                    view, at = view[done:], at + done
+                run += r["bytes"]
+            self.place(out, run, at)
         finally:
             if out is not None:
                 os.close(out)
         return WriterCommitMessage()
 
+    @staticmethod
+    def place(out: int | None, run: bytearray, at: int) -> None:
+        view = memoryview(run)
+        while view:
+            done = os.pwrite(out, view, at)
+            view, at = view[done:], at + done
+
     def commit(self, messages: list) -> None:
         os.makedirs(self.draft, exist_ok=True)
         os.rename(self.draft, self.path)
@@ -251,7 +274,8 @@ def write_files(pages: DataFrame, path: str, form: Zip | Book) -> None:
     if os.path.exists(path):
         raise FileExistsError(path)
     spark.dataSource.register(PlacedBytes)
-    placed = pieces(pages, form).repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    # any task can write any piece, so none is moved for it
+    placed = pieces(pages, form).sortWithinPartitions("file", "at")
     placed.write.format("placed_bytes").mode("append").option("path", path).option("draft", f"{path}._draft-{uuid.uuid4().hex}").save()
 
 
