@@ -178,6 +178,11 @@ def compared(d: DataFrame, w: int, h: int, p: PictureParams = PictureParams()) -
     return x.withColumn("score", F.round("ssim", 6)).withColumn("rank", F.when(verdict == "duplicate", 2).when(verdict == "possible", 1).otherwise(0))
 
 
+def exact_repeats(rows: DataFrame, key: Column, id_: str) -> DataFrame:
+    """(first, repeats): of the rows of one key the smallest id and how many more there are; null keys are one key."""
+    return rows.groupBy(key.alias("_key")).agg(F.min(id_).alias("first"), (F.count(F.lit(1)) - 1).alias("repeats")).drop("_key")
+
+
 def best_match(s: DataFrame) -> DataFrame:
     """The best reference of each row whatever became of it; far ones come first among equals."""
     w = Window.partitionBy("g", "j").orderBy(F.desc("rank"), F.desc("score"), F.desc("far"), "i")

@@ -211,13 +211,19 @@ def profile_extent(profile: DataFrame, rel: float) -> DataFrame:
     """(g, lo, hi): first and last place (plus one) of a profile (g, i, v) whose smoothed value reaches ``rel`` of its 90th percentile.
 
     Smoothing is a mean over a fiftieth of the places (odd, 3 at least), with zeros beyond the ends. Without such a place: all.
+    A place's sum is the difference of two running sums, whatever the length of the window.
     """
+    place = Window.partitionBy("g").orderBy("i")
     n = F.count(F.lit(1)).over(Window.partitionBy("g"))
     win = F.greatest(F.lit(3), F.rint(n * 0.02).cast("int").bitwiseOR(F.lit(1)))
-    p = profile.select("g", "i", "v", n.alias("n"), win.alias("win"))
-    # each place adds to its neighbours' sums; windows of a series have one length
-    reach = F.floor(F.col("win") / 2).cast("long")
-    sums = p.select("g", "n", "win", "v", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("i")).where("i >= 0 and i < n").groupBy("g", "n", "i").agg((F.sum("v") / F.first("win")).alias("s"))
+    p = profile.select("g", "i", "v", n.alias("n"), win.alias("win")).withColumn("up_to", F.sum("v").over(place))
+    p = p.withColumn("reach", F.floor(F.col("win") / 2).cast("long"))
+    # each running sum is dealt to the place whose window ends there and to the one whose window begins after it
+    ends = F.array(F.struct((F.col("i") - F.col("reach")).alias("i"), F.col("up_to").alias("x")), F.struct((F.col("i") + F.col("reach") + 1).alias("i"), (-F.col("up_to")).alias("x")))
+    # windows that reach beyond the last place end with the whole sum
+    beyond = F.transform(F.sequence(F.col("n") - F.col("reach"), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.col("up_to").alias("x")))
+    dealt = p.select("g", "n", "win", F.inline(F.when(F.col("i") == F.col("n") - 1, F.concat(ends, beyond)).otherwise(ends)))
+    sums = dealt.where("i >= 0 and i < n").groupBy("g", "n", "i").agg((F.sum("x") / F.first("win")).alias("s"))
     ref = sums.groupBy("g").agg(F.expr("percentile(s, 0.9)").alias("ref"))
     x = sums.join(ref, "g")
     on = (F.col("s") >= F.lit(rel) * F.col("ref")) & (F.col("ref") > 0)

@@ -44,8 +44,7 @@ def match_classify(spark, sf):
 
 
 def exact_repeats(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    return d.groupBy("k").agg(F.min("doc_id").alias("first"), (F.count(F.lit(1)) - 1).alias("repeats")).select("first", "repeats")
+    return dd.exact_repeats(_t(spark, sf, "documents"), F.sha2("text", 256), "doc_id")
 
 
 def _pages(spark, sf):
@@ -149,7 +148,7 @@ def report_upsert(spark, sf):
 
 def skip_existing(spark, sf):
     old, new = _reports(spark, sf)
-    return new.join(old.where("status = 'done'"), "label", "left_anti").select("label", "pages")
+    return ct.unfinished(new, old).select("label", "pages")
 
 
 def url_canonical(spark, sf):

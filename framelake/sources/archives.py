@@ -92,7 +92,7 @@ class Zip:
 
 
 class Book:
-    """A PDF of grey pictures, each on a page of its size at ``dpi``.
+    """A PDF of grey pictures, each on a page of its size at ``dpi``, or as large as fits in the middle of a ``page`` (w, h) in points.
 
     Page k has the objects 4k + 3 (page), 4k + 4 (content), 4k + 5 (picture) and, if it is the first of a node, 4k + 6 (that node).
     """
@@ -100,11 +100,13 @@ class Book:
     suffix, start = ".pdf", "%PDF-1.4\n"
     tail = b"\nendstream\nendobj\n"
 
-    def __init__(self, width: int, height: int, dpi: float = 200.0) -> None:
+    def __init__(self, width: int, height: int, dpi: float = 200.0, page: tuple[float, float] | None = None) -> None:
         self.width, self.height = width, height
-        self.box = f"{width * 72 / dpi:.3f} {height * 72 / dpi:.3f}"
-        w, h = self.box.split()
-        self.content = f"q {w} 0 0 {h} 0 0 cm /P Do Q"
+        across, down = page or (width * 72 / dpi, height * 72 / dpi)
+        scale = min(across / width, down / height)
+        w, h = width * scale, height * scale
+        self.box = f"{across:.3f} {down:.3f}"
+        self.content = f"q {w:.3f} 0 0 {h:.3f} {(across - w) / 2:.3f} {(down - h) / 2:.3f} cm /P Do Q"
 
     def _objects(self, p) -> list[Column]:
         """Node (or nothing), page, content, and the picture up to its bytes."""

@@ -91,3 +91,31 @@ def test_far_pairs_against_all(spark):
     assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 6, 60) if (bits[i] != bits[j]).sum() <= 22]
     near = [(r["i"], r["j"]) for r in dd.near_pairs(d, 5).collect()]
     assert sorted(near) == [(i, j) for i in range(60) for j in range(i + 1, min(60, i + 6))]
+
+
+def test_extents_of_long_profiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    made = {n: rng.integers(0, 9, n).astype(float) * (np.abs(np.arange(n) - n / 3) < n / 4) for n in (1, 2, 5, 149, 1000)}
+    df = spark.createDataFrame([(n, i, float(x)) for n, v in made.items() for i, x in enumerate(v)], "g long, i long, v double")
+    got = {r["g"]: (r["lo"], r["hi"]) for r in pg.profile_extent(df, 0.6).collect()}
+    for n, v in made.items():
+        win = max(3, int(np.rint(n * 0.02)) | 1)
+        s = np.array([v[max(0, i - win // 2) : i + win // 2 + 1].sum() / win for i in range(n)])
+        ref = np.percentile(s, 90)
+        on = np.flatnonzero((s >= 0.6 * ref) & (ref > 0))
+        assert got[n] == ((on[0], on[-1] + 1) if len(on) else (0, n)), n
+
+
+def test_pages_of_a_size(spark):
+    page = ge.page_size(F.col("m"), F.col("a"))
+    rows = spark.createDataFrame([("uniform", 2.0), ("uniform", None), ("letter", 9.0), ("fit", 1.0), ("a5", 1.0)], "m string, a double")
+    got = [r[0] and (round(r[0]["w"], 2), round(r[0]["h"], 2)) for r in rows.select(page).collect()]
+    assert got == [(841.89, 420.94), (595.28, 841.89), (612.0, 792.0), None, None]
+    i = lambda x: F.lit(x)
+    pad = spark.range(1).select(ge.padded(i(10), i(7), F.lit(1.0)).alias("a"), ge.padded(i(7), i(10), F.lit(1.0)).alias("b"), ge.padded(i(8), i(4), F.lit(2.0)).alias("c")).first()
+    assert [tuple(x) for x in pad] == [(10, 10, 0, 1), (10, 10, 1, 0), (8, 4, 0, 0)]
+    letter = F.struct(F.lit(612.0).alias("w"), F.lit(792.0).alias("h"))
+    fit = spark.range(1).select(ge.fitted(i(1700), i(1000), letter, 100.0).alias("a"), ge.fitted(i(80), i(90), letter, 100.0).alias("b")).first()
+    assert [tuple(x) for x in fit] == [(850, 500), (80, 90)]
