@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_path
+from .common import materialise, read_table, shared_path
+from .urls import possible
 
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -70,8 +71,9 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): equal payloads refer to that of the smallest id.
 
     The smallest ids come from partial sums by digest, not from windows, so a payload
-    that a third of the pages share is never in one task; rows whose payload is too
-    small to refer get keys of their own in the join.
+    that a third of the pages share is never in one task. Only rows that a Bloom filter of
+    repeated digests lets through are shuffled for the join that gives them these ids; a page whose
+    payload is its own stays where it was read.
 
     Null html is an empty payload; a row with a null id refers to nothing and is not
     referred to; of rows repeated under the smallest id each is a response; an empty
@@ -81,9 +83,13 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= MIN_REVISIT_BYTES
     first = pages.select("page_id", payload.alias("payload")).where(large).groupBy(F.sha2("payload", 256).alias("_key")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    joined = p.withColumn("_key", key).join(first, "_key", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("refers_to"))
+    first = materialise(first, "warc-repeated")
+    asked = possible(p, first.select(F.col("_key").alias("url")), "digest")
+    ask = F.col("possible") & large & F.col("page_id").isNotNull()
+    out = ["page_id", "url", "payload", "digest"]
+    joined = asked.where(ask).join(first, F.col("digest") == F.col("_key"), "left")
+    alone = asked.where(~ask).select(*out, F.lit(None).cast(first.schema["_first"].dataType).alias("refers_to"))
+    return alone.unionByName(joined.select(*out, F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
