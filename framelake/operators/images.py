@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import grids as gr
+from framelake.functions import stacks as sk
 
 #: Side of the picture that is hashed, and of its block of low frequencies.
 HASH_SIDE, HASH_BLOCK = 32, 8
@@ -43,11 +45,16 @@ def edge_sharpness(v: Column, w: int, h: int, outline: Column) -> Column:
 
 def perceptual_hash(v: Column, w: int, h: int) -> Column:
     """64 bits of a picture as a long: which of its lowest frequencies, to six places, are above their median."""
-    low = gr.cosines(HASH_SIDE, HASH_BLOCK)
+    low = np.array(gr.cosines(HASH_SIDE, HASH_BLOCK))
     # one product each way: the transform of a resampled picture is one matrix
-    fold = lambda n: [[sum(row[j] * area[j][k] for j in range(HASH_SIDE)) for k in range(n)] for row in low for area in [gr.area_weights(n, HASH_SIDE)]]
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0))
-    return gr.let(rounded(gr.both_sides(fold(h), fold(w), v, w, h)), gr.hash_bits)
+    rows, columns = low @ np.array(gr.area_weights(h, HASH_SIDE)), low @ np.array(gr.area_weights(w, HASH_SIDE))
+
+    def kernel(p: np.ndarray) -> dict[str, np.ndarray]:
+        c = np.round(rows @ p @ columns.T, 6).reshape(len(p), -1)
+        high = c > np.sort(c[:, 1:], 1)[:, [31]]
+        return {"hash": np.packbits(high, axis=1, bitorder="little").view("<i8")[:, 0]}
+
+    return sk.mapped(kernel, "hash long", w, h, v)["hash"]
 
 
 def ssim_map(a: Column, b: Column, w: int, h: int) -> Column:
@@ -69,9 +76,16 @@ def _ssim(a: Column, b: Column, w: int, h: int) -> Column:
     return F.transform(stats, cell)
 
 
+def _ssim_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    blur = lambda x: sk.separable(x, gr.gauss(SSIM_SIZE, SSIM_SIGMA))
+    ma, mb = blur(a), blur(b)
+    va, vb, ab = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
+    return ((ma * mb * 2 + SSIM_C1) * (ab * 2 + SSIM_C2)) / ((ma * ma + mb * mb + SSIM_C1) * (va + vb + SSIM_C2))
+
+
 def quick_similarity(a: Column, b: Column, w: int, h: int) -> Column:
     """Mean structural similarity of two small pictures as they lie."""
-    return gr.mean(ssim_map(a, b, w, h))
+    return sk.mapped(lambda p, q: {"ssim": _ssim_stack(p, q).mean((1, 2))}, "ssim double", w, h, a, b)["ssim"]
 
 
 #: Pictures wider than this are registered at half their size first.
@@ -84,35 +98,34 @@ def registered(a: Column, b: Column, w: int, h: int, max_shift: float) -> Column
     Shifts of up to ``max_shift`` of each side are tried at a size of at most ``COARSE`` pixels; twice that size tries
     those around the best, and so on. Correlations are of the part that no such shift leaves.
     """
-    return gr.let(F.struct(a.alias("a"), b.alias("b")), lambda s: _registered(s["a"], s["b"], w, h, max_shift))
+    return sk.mapped(lambda p, q: dict(zip(("dx", "dy"), _registered(p, q, max_shift))), "dx int, dy int", w, h, a, b)
 
 
-def _registered(a: Column, b: Column, w: int, h: int, max_shift: float) -> Column:
+def _registered(a: np.ndarray, b: np.ndarray, max_shift: float) -> tuple[np.ndarray, np.ndarray]:
+    n, h, w = a.shape
     far = lambda n: max(0, int(max_shift * n))
     left, top = far(w) + 1, far(h) + 1
+    zero = np.zeros(n, int)
     if 2 * left >= w or 2 * top >= h:
-        return F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"))
-    wide, high = gr.inner_size(w, h, left, top)
-    def correlation(inner: Column, dx: Column, dy: Column) -> Column:
-        other = F.transform(F.sequence(F.lit(0), F.lit(wide * high - 1)), lambda k: F.get(b, (gr._div(k, wide) + top + dy) * w + k % wide + left + dx))
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "b", "aa", "bb", "ab")])
-        add = lambda s, x: F.struct(*[(s[n] + y).alias(n) for n, y in (("a", x["x"]), ("b", x["y"]), ("aa", x["x"] * x["x"]), ("bb", x["y"] * x["y"]), ("ab", x["x"] * x["y"]))])
-        pairs = F.zip_with(inner, other, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        n = float(wide * high)
-        done = lambda s: (s["ab"] * n - s["a"] * s["b"]) / F.nullif(F.sqrt((s["aa"] * n - s["a"] * s["a"]) * (s["bb"] * n - s["b"] * s["b"])), F.lit(0.0))
-        return F.coalesce(F.aggregate(pairs, zero, add, done), F.lit(0.0))
-
-    def best(shifts: Column) -> Column:
-        scored = lambda inner: F.transform(shifts, lambda s: F.struct((-F.round(correlation(inner, s["dx"], s["dy"]), 9)).alias("c"), (F.abs(s["dx"]) + F.abs(s["dy"])).alias("far"), s["dx"].alias("dx"), s["dy"].alias("dy")))
-        return gr.let(F.array_min(gr.let(gr.cropped(a, w, h, left, top), scored)), lambda s: F.struct(s["dx"].alias("dx"), s["dy"].alias("dy")))
-
-    shift = lambda dx, dy: F.struct(dx.alias("dx"), dy.alias("dy"))
+        return zero, zero
     if max(w, h) <= COARSE or min(w, h) < 16:
-        return best(F.array(*[shift(F.lit(x), F.lit(y)) for y in range(-far(h), far(h) + 1) for x in range(-far(w), far(w) + 1)]))
-    small = w // 2, h // 2
-    start = registered(gr.resampled(a, w, h, *small), gr.resampled(b, w, h, *small), *small, max_shift)
-    near = lambda s: F.array(*[shift(F.least(F.greatest(s["dx"] * 2 + x, F.lit(-far(w))), F.lit(far(w))), F.least(F.greatest(s["dy"] * 2 + y, F.lit(-far(h))), F.lit(far(h)))) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    return gr.let(start, lambda s: best(near(s)))
+        tried = [(zero + x, zero + y) for y in range(-far(h), far(h) + 1) for x in range(-far(w), far(w) + 1)]
+    else:
+        small = w // 2, h // 2
+        dx, dy = _registered(sk.resampled(a, *small), sk.resampled(b, *small), max_shift)
+        tried = [(np.clip(dx * 2 + x, -far(w), far(w)), np.clip(dy * 2 + y, -far(h), far(h))) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    inner, best = sk.cropped(a, left, top), None
+    for dx, dy in tried:
+        c = sk.correlation(inner, sk.cropped(sk.moved(b, dx, dy), left, top))
+        key = np.stack([-c, abs(dx) + abs(dy), dx, dy])
+        if best is None:
+            best = key
+            continue
+        # the first place in which two keys differ decides
+        differs = np.argmax(np.vstack([key != best, np.ones((1, n), bool)]), 0)
+        less = (differs < 4) & np.where(np.take_along_axis(key, differs[None].clip(0, 3), 0) < np.take_along_axis(best, differs[None].clip(0, 3), 0), True, False)[0]
+        best = np.where(less, key, best)
+    return best[2].astype(int), best[3].astype(int)
 
 
 def compare(a: Column, b: Column, w: int, h: int, max_shift: float = 0.06) -> Column:
@@ -122,31 +135,23 @@ def compare(a: Column, b: Column, w: int, h: int, max_shift: float = 0.06) -> Co
     ``spread`` are the largest and the 95th percentile of mean differences over smaller windows. The borders that
     any allowed shift could reach are left out.
     """
-    return gr.let(F.struct(a.alias("a"), b.alias("b")), lambda s: _compared(s["a"], s["b"], w, h, max_shift))
+    return sk.mapped(lambda p, q: _compared(p, q, max_shift), "ssim double, local double, peak double, spread double, dx int, dy int", w, h, a, b)
 
 
-def _compared(a: Column, b: Column, w: int, h: int, max_shift: float) -> Column:
+def _compared(a: np.ndarray, b: np.ndarray, max_shift: float) -> dict[str, np.ndarray]:
+    _, h, w = a.shape
     # window sides: an odd share of the width
     odd = lambda share, least: max(least, round(share * w) | 1)
     k, k2 = odd(0.04, 5), odd(0.015, 3)
-    left, top = int(max_shift * w) + 3, int(max_shift * h) + 3
-    wide, high = gr.inner_size(w, h, left, top)
-    if (wide, high) == (w, h):
-        left = top = 0
-    soft = lambda v: gr.cropped(gr.blurred(v, w, h, 9, 1.0), w, h, left, top)
-    inner = lambda v: gr.cropped(v, wide, high, k // 2, k // 2)
-
-    def measured(s: Column) -> Column:
-        x, y = s["a"], s["b"]  # bound: each is worked out once
-        gap = F.zip_with(x, y, lambda p, q: F.abs(p - q))
-        both = F.struct(ssim_map(x, y, wide, high).alias("map"), inner(gr.box_mean(gap, wide, high, k2)).alias("gap"), s["dx"].alias("dx"), s["dy"].alias("dy"))
-        return gr.let(both, lambda m: F.struct(
-            gr.mean(m["map"]).alias("ssim"), F.array_min(inner(gr.box_mean(m["map"], wide, high, k))).alias("local"),
-            F.array_max(m["gap"]).alias("peak"), gr.quantile(m["gap"], 0.95).alias("spread"), m["dx"].alias("dx"), m["dy"].alias("dy"),
-        ))
-
-    laid = lambda s: F.struct(soft(a).alias("a"), soft(gr.shifted(b, w, h, s["dx"], s["dy"])).alias("b"), s["dx"].alias("dx"), s["dy"].alias("dy"))
-    return gr.let(gr.let(registered(a, b, w, h, max_shift), laid), measured)
+    dx, dy = _registered(a, b, max_shift)
+    soft = lambda v: sk.cropped(sk.separable(v, gr.gauss(9, 1.0)), int(max_shift * w) + 3, int(max_shift * h) + 3)
+    inner = lambda v: sk.cropped(v, k // 2, k // 2)
+    x, y = soft(a), soft(sk.moved(b, dx, dy))
+    alike, gap = _ssim_stack(x, y), inner(sk.separable(abs(x - y), [1 / k2] * k2))
+    return {
+        "ssim": alike.mean((1, 2)), "local": inner(sk.separable(alike, [1 / k] * k)).min((1, 2)), "peak": gap.max((1, 2)),
+        "spread": np.quantile(gap.reshape(len(gap), -1), 0.95, axis=1), "dx": dx, "dy": dy,
+    }
 
 
 def frame_stats(frames: DataFrame, w: int, h: int) -> DataFrame:
