@@ -40,7 +40,8 @@ def mapped(kernel: Callable[..., dict[str, np.ndarray]], schema: str, w: int, h:
     present = pictures[0].isNotNull()
     for p in pictures[1:]:
         present = present & p.isNotNull()
-    return F.when(present, F.pandas_udf(run, out)(*[p.cast("array<double>") for p in pictures]))
+    # called nondeterministic so that a filter on its result neither moves it before a deal of rows nor works it out twice
+    return F.when(present, F.pandas_udf(run, out).asNondeterministic()(*[p.cast("array<double>") for p in pictures]))
 
 
 def separable(p: np.ndarray, weights: list[float]) -> np.ndarray:
