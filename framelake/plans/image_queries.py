@@ -137,7 +137,7 @@ def frame_files(spark, sf):
 
 def _sheets(spark, sf):
     """A bright rectangle of ``SIDE`` x ``SIDE`` pictures, of which some fill all, some have a corner missing and some a spot beside it."""
-    o = _ordered(spark, sf)
+    o = _spread(_ordered(spark, sf))
 
     def pixel(k):
         y, x, n = gr._div(k, SIDE), k % SIDE, F.col("n")

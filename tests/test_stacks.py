@@ -4,7 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framelake.operators import images as im
+from framelake.operators import pages as pg
+from framelake.operators import paper
 from framelake.plans import image_queries as iq
+from framelake.plans import review_queries as rq
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +30,19 @@ def test_pages_are_drawn_after_they_are_dealt(spark):
     # one label alone still gives work to every task
     sizes = iq._pages(spark, SF).where("g = (select min(label) from parquet.`%s/embeddings.parquet`)" % SF).rdd.glom().map(len).collect()
     assert sum(n > 0 for n in sizes) > 1
+
+
+def test_sheets_are_found_where_pictures_are(spark):
+    found = paper.find_paper(iq._sheets(spark, SF), iq.SIDE, iq.SIDE)
+    # a deal of what pictures are drawn from and the numbering of labels: no pixel is shuffled, and each picture is worked out once
+    assert plan(found).count("Exchange") == 2 and plan(found).count("ArrowEvalPython") == 1
+
+
+def test_bars_are_trimmed_where_pictures_are(spark):
+    assert "Exchange" not in plan(rq.trim_bars(spark, SF))
+    flat, ring = np.full((9, 12), 7.0), np.random.default_rng(2).random((9, 12)) * 200
+    ring[:2], ring[-1], ring[:, :3], ring[:, -2:] = 5, 9, 40, 60
+    df = spark.createDataFrame([(0, flat.ravel().tolist()), (1, ring.ravel().tolist()), (2, None)], "id int, v array<double>")
+    got = {r["id"]: r["b"] and tuple(r["b"]) for r in df.select("id", pg.trim_uniform(F.col("v"), 12, 9, least=2).alias("b")).collect()}
+    assert got[1] == (3, 0, 10, 9)
+    assert got[2] is None and got[0][2] - got[0][0] == 2 and got[0][3] - got[0][1] == 2
