@@ -1,7 +1,7 @@
 """Motion signals: smoothing, levels, thresholds and stable segments, as DataFrame transformations.
 
-A signal has rows (g, i, t, x): series, sample number from 0, seconds, motion. All
-windows are keyed by the series; whole-table statistics are aggregates by series.
+A signal has rows (g, i, t, x): series, sample number from 0 without gaps, seconds, motion.
+Smoothing goes by blocks of a series, what lies inside segments by segment; statistics are aggregates by series.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import blocks
 from framelake.tables import materialise
 
 
@@ -29,6 +30,10 @@ class SegmentParams:
 NOISE_FLOOR, MIN_THRESHOLD, BLANK_DETAIL, SPLIT_MIN, MAX_SPLITS, DETAIL_KEEP = 0.02, 0.15, 1.5, 0.08, 4, 0.7
 
 
+#: Samples of a block, and the most series whose levels are broadcast.
+BLOCK, FEW = 1024, 1 << 14
+
+
 def series():
     return Window.partitionBy("g").orderBy("i")
 
@@ -91,11 +96,45 @@ def running_mean(signal: DataFrame, k: int, value: str = "x", out: str = "m", w=
     return signal.withColumn(out, total / k)
 
 
+def window(p: SegmentParams) -> int:
+    """Samples over which motion is smoothed."""
+    return max(3, round(p.smooth * p.rate) | 1)
+
+
+def halo(p: SegmentParams) -> int:
+    """Samples beside a block that its own ones and their neighbours are smoothed from."""
+    return window(p) // 2 + 1
+
+
+def _block(c: str | Column) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / BLOCK)
+
+
+def dealt(signal: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """Samples with their block ``_k``, sorted inside tasks; those near a block's edge are in the next block too."""
+    at = F.array_distinct(F.array(_block(F.greatest(F.col("i") - halo(p), F.lit(0))), _block("i"), _block(F.col("i") + halo(p))))
+    return signal.withColumn("_k", F.explode(at)).repartition("g", "_k").sortWithinPartitions("g", "_k", "i")
+
+
+def smoothed_blocks(rows: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """``smoothed`` of samples that are in blocks already, as ``dealt`` gives them. Nothing is shuffled."""
+    out = rows.drop("_k").withColumns({c: F.lit(None).cast("double") for c in ("s", "_l", "_r")}).schema
+    return rows.withColumns({"i": F.col("i").cast("long"), "_k": F.col("_k").cast("long")}).mapInArrow(blocks.smoother(window(p), BLOCK), out)
+
+
 def smoothed(signal: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
-    """Running median of the motion; the first sample takes the second one's value."""
-    k = max(3, round(p.smooth * p.rate) | 1)
-    s = running_median(signal, k)
-    return s.withColumn("s", F.when(F.col("i") == 0, F.coalesce(F.lead("s").over(series()), F.lit(0.0))).otherwise(F.col("s")))
+    """Running median ``s`` of the motion, and that of the samples before and after (``_l``, ``_r``); the first sample takes the second one's value."""
+    return smoothed_blocks(dealt(signal.withColumn("i", F.col("i").cast("long")), p), p)
+
+
+def _beside(s: DataFrame, value: str = "s") -> DataFrame:
+    """``s`` with the values before and after each sample."""
+    return s if "_l" in s.columns and value == "s" else s.withColumn("_l", F.lag(value).over(series())).withColumn("_r", F.lead(value).over(series()))
+
+
+def _by_series(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined with a written table of a row a series, which is broadcast if there are few."""
+    return rows.join(F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, "g")
 
 
 def local_peaks(signal: DataFrame, distance: int, height: str = "h", value: str = "s") -> DataFrame:
@@ -105,12 +144,19 @@ def local_peaks(signal: DataFrame, distance: int, height: str = "h", value: str
     Candidates further apart than ``distance`` say nothing of each other: a series is cut
     there, and each stretch is folded in height order by itself.
     """
-    w = series()
-    c = signal.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w))
-    here = F.col(value)
-    c = c.where((F.col("_l").isNotNull() | F.col("_r").isNotNull()) & F.coalesce(here >= F.col("_l"), F.lit(True)) & F.coalesce(here > F.col("_r"), F.lit(True)) & (here >= F.col(height)))
     n = signal.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select("g")
-    c = c.select("g", "i", value).join(n, "g", "left_semi")
+    return _highest(_local_maxima(_beside(signal, value), height, value).join(n, "g", "left_semi"), distance, value)
+
+
+def _local_maxima(signal: DataFrame, height: str, value: str = "s") -> DataFrame:
+    here = F.col(value)
+    top = (F.col("_l").isNotNull() | F.col("_r").isNotNull()) & F.coalesce(here >= F.col("_l"), F.lit(True)) & F.coalesce(here > F.col("_r"), F.lit(True))
+    return signal.where(top & (here >= F.col(height))).select("g", "i", value)
+
+
+def _highest(c: DataFrame, distance: int, value: str = "s") -> DataFrame:
+    """Local maxima (g, i, value), the highest first, without those within ``distance`` of a kept one."""
+    w, here = series(), F.col(value)
     apart = F.coalesce(F.col("i") - F.lag("i").over(w) > distance, F.lit(True)).cast("int")
     c = c.withColumn("_far", apart).withColumn("_stretch", F.sum("_far").over(w))
     ranked = c.groupBy("g", "_stretch").agg(F.array_sort(F.collect_list(F.struct((-here).alias("h"), F.col("i").alias("i")))).alias("c"))
@@ -120,11 +166,12 @@ def local_peaks(signal: DataFrame, distance: int, height: str = "h", value: str
 
 def levels(s: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, base, top, peak): still level and typical transition height of smoothed signals."""
-    base = F.greatest(F.expr("percentile(s, 0.5)"), F.lit(NOISE_FLOOR))
-    lv = s.groupBy("g").agg(base.alias("base"), F.expr("percentile(s, 0.995)").alias("_top"))
-    lv = lv.withColumn("top", F.greatest("_top", F.col("base") * 4)).drop("_top")
-    high = s.join(lv.select("g", F.sqrt(F.col("base") * F.col("top")).alias("h")), "g")
-    peaks = local_peaks(high, max(1, round(0.5 * p.rate))).groupBy("g").agg(F.expr("percentile(s, 0.5)").alias("_med"), F.count(F.lit(1)).alias("_n"))
+    lv = s.groupBy("g").agg(F.expr("percentile(s, array(0.5, 0.995))").alias("_q"), F.count(F.lit(1)).alias("_count"))
+    lv = lv.select("g", F.greatest(F.get("_q", F.lit(0)), F.lit(NOISE_FLOOR)).alias("base"), F.get("_q", F.lit(1)).alias("_top"), "_count")
+    lv = materialise(lv.select("g", "base", F.greatest("_top", F.col("base") * 4).alias("top"), "_count"), "signal-levels")
+    # series of fewer than three samples have no peaks
+    high = _by_series(_beside(s), lv.select("g", F.when(F.col("_count") >= 3, F.sqrt(F.col("base") * F.col("top"))).alias("h")))
+    peaks = _highest(_local_maxima(high, "h"), max(1, round(0.5 * p.rate))).groupBy("g").agg(F.expr("percentile(s, 0.5)").alias("_med"), F.count(F.lit(1)).alias("_n"))
     return lv.join(peaks, "g", "left").select("g", "base", "top", F.greatest(F.when(F.col("_n") >= 2, F.col("_med")).otherwise(F.col("top")), F.col("base") * 4).alias("peak"))
 
 
@@ -147,31 +194,48 @@ def islands(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
     return rows.withColumn("island", F.col("i") - F.row_number().over(w)).where(flag)
 
 
-def segments(s: DataFrame, thresholds: DataFrame, p: SegmentParams = SegmentParams(), keys: list[str] | None = None) -> DataFrame:
-    """(keys, a, b, t_start, t_end): runs of samples at or below the threshold that last long enough."""
-    keys = keys or ["g"]
-    q = s.join(thresholds, "g").withColumn("still", F.col("s") <= F.col("thr"))
-    runs = islands(q, keys, "still").groupBy(*keys, "island").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.min("t").alias("t_start"), F.max("t").alias("_t"))
-    return runs.withColumn("t_end", F.col("_t") + F.lit(1.0 / p.rate)).where(F.col("_t") + F.lit(1.0 / p.rate) - F.col("t_start") >= p.min_duration).select(*keys, "a", "b", "t_start", "t_end")
+def _runs(s: DataFrame, lists: DataFrame, p: SegmentParams) -> DataFrame:
+    """(g, step, a, b, t_start, t_end): runs of samples at or below each of a series' thresholds ``_ts`` (step, thr) that last long enough.
+
+    A sample gives a row only for the thresholds that the signal crosses beside it, where a run begins or ends.
+    """
+    still = lambda x: F.col("s") <= x["thr"]
+    edge = lambda other, kind: F.transform(F.filter("_ts", lambda x: still(x) & F.coalesce(F.col(other) > x["thr"], F.lit(True))), lambda x: F.struct(x["step"].alias("step"), F.lit(kind).alias("k")))
+    thr = F.transform("_ts", lambda x: x["thr"])
+    beside = _by_series(_beside(s).select("g", "i", "t", "s", "_l", "_r"), lists.withColumn("_lo", F.array_min(thr)).withColumn("_hi", F.array_max(thr)))
+    crossed = lambda other: F.coalesce(F.col(other) > F.greatest("s", "_lo"), F.lit(True))
+    events = beside.where((F.col("s") <= F.col("_hi")) & (crossed("_l") | crossed("_r"))).select("g", "i", "t", F.inline(F.concat(edge("_l", 0), edge("_r", 1))))
+    run = Window.partitionBy("g", "step").orderBy("i", "k")
+    ends = events.withColumn("b", F.lead("i").over(run)).withColumn("_t", F.lead("t").over(run)).where("k = 0")
+    until = F.col("_t") + F.lit(1.0 / p.rate)
+    return ends.where(until - F.col("t") >= p.min_duration).select("g", "step", F.col("i").alias("a"), "b", F.col("t").alias("t_start"), until.alias("t_end"))
+
+
+def segments(s: DataFrame, thresholds: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """(g, a, b, t_start, t_end): runs of samples at or below the threshold (g, thr), a written table, that last long enough."""
+    return _runs(s, thresholds.select("g", F.array(F.struct(F.lit(0).alias("step"), "thr")).alias("_ts")), p).drop("step")
 
 
-def detect(signal: DataFrame, p: SegmentParams = SegmentParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Smoothed signal, thresholds per series and stable segments.
+def detected(s: DataFrame, p: SegmentParams = SegmentParams()) -> tuple[DataFrame, DataFrame]:
+    """Thresholds per series and stable segments of a smoothed signal, which is read for levels, peaks and runs in turn."""
+    thr = materialise(levels(s, p).withColumn("thr", threshold(F.col("base"), F.col("peak"), F.lit(p.sensitivity), p.threshold)), "detect-thresholds")
+    return thr, segments(s, thr, p)
 
-    The smoothed signal is a written table, as its levels, peaks and runs are read from it in turn.
-    """
+
+def detect(signal: DataFrame, p: SegmentParams = SegmentParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Smoothed signal as a written table, thresholds per series and stable segments."""
     s = materialise(smoothed(signal, p), "detect-signal")
-    thr = levels(s, p).withColumn("thr", threshold(F.col("base"), F.col("peak"), F.lit(p.sensitivity), p.threshold))
-    return s, thr, segments(s, thr.select("g", "thr"), p)
+    return s, *detected(s, p)
 
 
 def in_segments(s: DataFrame, segs: DataFrame) -> DataFrame:
-    """Samples of each segment: the last segment begun at or before a sample, if it lasts. One sort of both sides; no pairs."""
+    """Samples of each segment: the last segment begun at or before a sample, if it lasts. One sort of both sides by blocks; no pairs."""
     bounds = ["a", "b", "t_start", "t_end"]
-    begun = segs.select("g", F.col("a").alias("i"), F.struct(*bounds).alias("_q"), F.lit(0).alias("_k"))
-    both = s.withColumn("_k", F.lit(1)).unionByName(begun, allowMissingColumns=True)
-    held = F.last("_q", ignorenulls=True).over(Window.partitionBy("g").orderBy("i", "_k").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_q", held).where("_k = 1 and i <= _q.b").select(*s.columns, *[F.col(f"_q.{c}").alias(c) for c in bounds])
+    held = segs.select("g", F.struct(*bounds).alias("_q"), F.explode(F.sequence(_block("a"), _block("b"))).alias("_k"))
+    begun = held.select("g", "_k", F.greatest(F.col("_q.a"), F.col("_k") * BLOCK).alias("i"), "_q", F.lit(0).alias("_n"))
+    both = s.withColumn("_k", _block("i")).withColumn("_n", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    last = F.last("_q", ignorenulls=True).over(Window.partitionBy("g", "_k").orderBy("i", "_n").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_q", last).where("_n = 1 and i <= _q.b").select(*s.columns, *[F.col(f"_q.{c}").alias(c) for c in bounds])
 
 
 def flags(s: DataFrame, segs: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
@@ -183,16 +247,19 @@ def flags(s: DataFrame, segs: DataFrame, p: SegmentParams = SegmentParams()) ->
     return d.join(ref, "g").select("g", "a", "b", F.array_compact(F.array(short, blank)).alias("flags"))
 
 
+def _scored(x: DataFrame, keys: list[str], p: SegmentParams) -> DataFrame:
+    """Samples (keys, a, b, i, s, detail) of segments with their running mean ``ma``, ``sharp``, and ``score``, lowest for the calmest sharp sample."""
+    m = running_mean(x, max(1, round(0.2 * p.rate)), "s", "ma", Window.partitionBy(*keys).orderBy("i"))
+    m = m.withColumn("sharp", F.col("detail") >= F.lit(DETAIL_KEEP) * F.expr("percentile(detail, 0.95)").over(Window.partitionBy(*keys)))
+    n = F.col("b") - F.col("a") + 1
+    return m.withColumn("score", F.round(F.col("ma") + F.lit(1e-3) * F.abs(F.col("i") - F.col("a") - (n - 1) / F.lit(2.0)) / n + F.when(F.col("sharp"), 0.0).otherwise(1e6), 9))
+
+
 def calm_core(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, a, b, core_a, core_b, calm, motion): the calmest sharp sample and the calm run around it."""
-    w = Window.partitionBy("g", "a").orderBy("i")
-    m = running_mean(in_segments(s, segs), max(1, round(0.2 * p.rate)), "s", "ma", w)
-    p95 = m.groupBy("g", "a").agg(F.expr("percentile(detail, 0.95)").alias("p95"))
-    m = m.join(p95, ["g", "a"]).join(thr.select("g", "thr", "base"), "g")
-    n = F.col("b") - F.col("a") + 1
-    m = m.withColumn("sharp", F.col("detail") >= F.lit(DETAIL_KEEP) * F.col("p95"))
-    score = F.round(F.col("ma") + F.lit(1e-3) * F.abs(F.col("i") - F.col("a") - (n - 1) / F.lit(2.0)) / n + F.when(F.col("sharp"), 0.0).otherwise(1e6), 9)
-    best = m.groupBy("g", "a").agg(F.min_by(F.struct(F.col("i").alias("calm"), F.col("ma").alias("cma")), F.struct(score, "i")).alias("c"))
+    m = _scored(in_segments(s, segs), ["g", "a"], p)
+    m = _by_series(m, thr.select("g", "thr", "base"))
+    best = m.groupBy("g", "a").agg(F.min_by(F.struct(F.col("i").alias("calm"), F.col("ma").alias("cma")), F.struct("score", "i")).alias("c"))
     m = m.join(best.select("g", "a", "c.calm", "c.cma"), ["g", "a"])
     bad = ~((F.round("ma", 9) <= F.round(F.greatest(F.lit(3.0) * F.col("cma"), F.lit(0.12) * F.col("thr"), F.col("base")), 9)) & F.col("sharp"))
     lim = m.groupBy("g", "a", "b", "calm").agg(
@@ -204,39 +271,43 @@ def calm_core(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentParams =
 
 def split_candidates(s: DataFrame, segs: DataFrame, thr: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, a, i0, i1, height): at most four bumps inside a segment that may hide a transition."""
-    x = in_segments(s, segs).join(thr.select("g", "thr"), "g")
-    lvl = x.groupBy("g", "a").agg(F.expr("percentile(s, 0.5)").alias("lvl"))
-    x = x.join(lvl, ["g", "a"]).withColumn("up", F.col("s") > F.greatest(F.lit(6.0) * F.col("lvl"), F.lit(0.06) * F.col("thr"), F.lit(SPLIT_MIN)))
+    x = _by_series(in_segments(s, segs), thr.select("g", "thr"))
+    return _bumps(x, p).select("g", "a", "i0", "i1", "height", "rank")
+
+
+def _bumps(x: DataFrame, p: SegmentParams) -> DataFrame:
+    """(g, a, b, i0, i1, height, rank) from the samples (g, a, b, i, s, thr) of segments."""
+    lvl = F.expr("percentile(s, 0.5)").over(Window.partitionBy("g", "a"))
+    x = x.withColumn("up", F.col("s") > F.greatest(F.lit(6.0) * lvl, F.lit(0.06) * F.col("thr"), F.lit(SPLIT_MIN)))
     need = max(1, round(p.min_duration * p.rate))
     runs = islands(x, ["g", "a"], "up").groupBy("g", "a", "b", "island").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("s").alias("height"))
     runs = runs.where((F.col("i0") - F.col("a") >= need) & (F.col("b") - F.col("i1") >= need))
     top = Window.partitionBy("g", "a").orderBy(F.desc("height"), F.desc("i0"), F.desc("i1"))
-    return runs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= MAX_SPLITS).select("g", "a", "i0", "i1", "height", "rank")
+    return runs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= MAX_SPLITS).select("g", "a", "b", "i0", "i1", "height", "rank")
 
 
 def sweep(signal: DataFrame, steps: int = 41, p: SegmentParams = SegmentParams()) -> DataFrame:
     """(g, step, sensitivity, segments): segment counts for every sensitivity, in one job.
 
-    A sample gives a row only for the thresholds that the signal crosses beside it, where a still
-    run of that threshold begins or ends; samples are not repeated for every threshold. Thresholds
-    reach the samples as one array per series.
+    Samples are not repeated for every threshold; thresholds reach them as one array per series.
     """
     s = materialise(smoothed(signal, p), "sweep-signal")
+    return _swept(s, materialise(levels(s, p), "sweep-levels"), steps, p)
+
+
+def _swept(s: DataFrame, lv: DataFrame, steps: int, p: SegmentParams) -> DataFrame:
     at = F.col("step") / F.lit(float(steps - 1))
-    lv = levels(s, p).select("g", "base", "peak", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    lv = lv.select("g", "base", "peak", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     thr = lv.select("g", "step", at.alias("sensitivity"), threshold(F.col("base"), F.col("peak"), at).alias("thr"))
-    lists = thr.groupBy("g").agg(F.collect_list(F.struct("step", "thr")).alias("_ts"))
-    w = series()
-    beside = s.select("g", "i", "t", "s", F.lag("s").over(w).alias("_l"), F.lead("s").over(w).alias("_r"))
-    still = lambda x: F.col("s") <= x["thr"]
-    edge = lambda other, kind: F.transform(F.filter("_ts", lambda x: still(x) & F.coalesce(F.col(other) > x["thr"], F.lit(True))), lambda x: F.struct(x["step"].alias("step"), F.lit(kind).alias("k")))
-    events = beside.join(lists, "g").select("g", "i", "t", F.inline(F.concat(edge("_l", 0), edge("_r", 1))))
-    run = Window.partitionBy("g", "step").orderBy("i", "k")
-    runs = events.withColumn("_t", F.lead("t").over(run)).where("k = 0")
-    n = runs.where(F.col("_t") + F.lit(1.0 / p.rate) - F.col("t") >= p.min_duration).groupBy("g", "step").agg(F.count(F.lit(1)).alias("segments"))
+    n = _runs(s, _listed(thr), p).groupBy("g", "step").agg(F.count(F.lit(1)).alias("segments"))
     return thr.select("g", "step", "sensitivity").join(n, ["g", "step"], "left").withColumn("segments", F.coalesce("segments", F.lit(0)).cast("long"))
 
 
+def _listed(thr: DataFrame) -> DataFrame:
+    """(g, _ts): thresholds (g, step, thr) as one array per series."""
+    return thr.groupBy("g").agg(F.collect_list(F.struct("step", "thr")).alias("_ts"))
+
+
 def suggest(counts: DataFrame, target: int, current: float = 0.5) -> DataFrame:
     """The sensitivity whose count is nearest the target; ties go towards the current one, then up the steps."""
     key = F.struct(F.abs(F.col("segments") - target), F.round(F.abs(F.col("sensitivity") - current), 9), "step")
@@ -260,18 +331,20 @@ def verified_suggestion(signal: DataFrame, expected: DataFrame, differs, current
     first; these are detected and refined anew, all series and sensitivities in one set of jobs. In the order of
     trial the first that gives the expected pages is taken, else the nearest. ``differs``: see ``refine``; its ``g`` is (g, step).
     """
-    counts = nearest_by_count(sweep(signal, p=p), current)
+    s = materialise(smoothed(signal, p).select("g", "i", "t", "s", "_l", "_r", "detail"), "verify-signal")
+    lv = materialise(levels(s, p), "verify-levels")
+    counts = nearest_by_count(_swept(s, lv, 41, p), current)
     want = F.col("expected") - F.col("manual") + F.col("hidden")
     away = F.round(F.abs(F.col("sensitivity") - current), 9)
     order = Window.partitionBy("g").orderBy(F.abs(F.col("segments") - want), away, "step")
     tried = counts.join(expected, "g").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= checks)
     tried = materialise(tried.select("g", "step", "sensitivity", "expected", "hidden", "manual", away.alias("away"), "_n"), "verify-tried")
-    s = materialise(smoothed(signal, p).select("g", "i", "t", "s", "detail"), "verify-signal")
-    lv = levels(s, p).join(tried.select("g", "step", "sensitivity"), "g")
-    key = F.struct("g", "step")
-    thr = materialise(lv.select(key.alias("g"), "base", threshold(F.col("base"), F.col("peak"), F.col("sensitivity"), p.threshold).alias("thr")), "verify-thresholds")
-    each = materialise(s.join(tried.select("g", "step"), "g").select(key.alias("g"), "i", "t", "s", "detail"), "verify-series")
-    n = refine(each, segments(each, thr.select("g", "thr"), p), thr, differs, p).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g.g", "g.step", "n")
+    thr = threshold(F.col("base"), F.col("peak"), F.col("sensitivity"), p.threshold)
+    lists = materialise(_listed(lv.join(tried.select("g", "step", "sensitivity"), "g").select("g", "step", thr.alias("thr"))), "verify-thresholds")
+    key = F.struct("g", "step").alias("g")
+    segs = materialise(_runs(s, lists, p).select(key, "a", "b", "t_start", "t_end"), "verify-segments")
+    each = _by_series(s.select("g", "i", "t", "s", "detail"), lists).select("g", "i", "t", "s", "detail", F.inline("_ts")).select(key, "i", "t", "s", "detail", "thr")
+    n = _divided(in_segments(each, segs), segs, differs, p).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g.g", "g.step", "n")
     pages = F.coalesce("n", F.lit(0)) - F.col("hidden") + F.col("manual")
     checked = tried.join(n, ["g", "step"], "left").withColumn("pages", pages)
     off = F.abs(F.col("pages") - F.col("expected"))
@@ -304,11 +377,15 @@ def split_segment(segs: DataFrame, bumps: DataFrame, s: DataFrame, p: SegmentPar
 
     ``bumps`` are rows (g, a, i0, i1) as ``split_candidates`` gives them. A bump of which either part is too short gives neither.
     """
-    x = bumps.select("g", "a", "i0", "i1").join(segs.select("g", "a", "b"), ["g", "a"])
+    return _parts(bumps.select("g", "a", "i0", "i1").join(segs.select("g", "a", "b"), ["g", "a"]), p).select("g", "a", "b", "i0", "i1", "half", "ha", "hb", "duration")
+
+
+def _parts(x: DataFrame, p: SegmentParams) -> DataFrame:
+    """Rows (g, a, b, i0, i1) once for each part of their segment, with its ``half``, ``ha``, ``hb`` and ``duration``."""
     seconds = lambda lo, hi: (hi - lo + 1) / F.lit(p.rate)
     fits = (seconds(F.col("a"), F.col("i0") - 1) >= p.min_duration) & (seconds(F.col("i1") + 1, F.col("b")) >= p.min_duration)
     halves = F.array(F.struct(F.lit(0).alias("half"), F.col("a").alias("ha"), (F.col("i0") - 1).alias("hb")), F.struct(F.lit(1).alias("half"), (F.col("i1") + 1).alias("ha"), F.col("b").alias("hb")))
-    return x.where(fits).select("g", "a", "b", "i0", "i1", F.inline(halves)).withColumn("duration", seconds(F.col("ha"), F.col("hb")))
+    return x.where(fits).select("*", F.inline(halves)).withColumn("duration", seconds(F.col("ha"), F.col("hb")))
 
 
 #: Segments are divided so often at most.
@@ -322,28 +399,32 @@ def refine(s: DataFrame, segs: DataFrame, thr: DataFrame, differs, p: SegmentPar
     those that show different content. Each round divides all segments at once, ``MAX_DEPTH`` rounds at most;
     only segments divided in the round before are looked at again.
     """
+    x = in_segments(s.select("g", "i", "t", "s", "detail"), segs)
+    return _divided(_by_series(x, materialise(thr.select("g", "thr"), "refine-levels")), segs, differs, p)
+
+
+def _divided(x: DataFrame, segs: DataFrame, differs, p: SegmentParams) -> DataFrame:
+    """``segs`` divided, by their samples x (g, a, b, i, t, s, detail, thr). A round leaves only the samples of segments that it divides."""
     bounds = ["g", "a", "b", "t_start", "t_end"]
-    s, thr = materialise(s.select("g", "i", "t", "s", "detail"), "refine-signal"), materialise(thr.select("g", "thr", "base"), "refine-levels")
-    times = s.select("g", "i", "t")
-    open_, done = materialise(segs.select(*bounds), "refine-open"), []
+    columns = ["g", "a", "b", "i", "t", "s", "detail", "thr"]
+    x, open_, done = materialise(x.select(*columns), "refine-samples"), materialise(segs.select(*bounds), "refine-open"), []
     for _ in range(MAX_DEPTH + 1):
-        bumps = materialise(split_candidates(s, open_, thr, p), "refine-bumps")
+        bumps = materialise(_bumps(x, p), "refine-bumps")
         if bumps.isEmpty():
             break
-        parts = split_segment(open_, bumps, s, p).join(bumps.select("g", "a", "i0", "i1", "rank"), ["g", "a", "i0", "i1"])
-        parts = parts.join(times.select("g", F.col("i").alias("ha"), F.col("t").alias("t_start")), ["g", "ha"]).join(times.select("g", F.col("i").alias("hb"), (F.col("t") + F.lit(1.0 / p.rate)).alias("t_end")), ["g", "hb"])
-        parts = materialise(parts, "refine-parts")
         # halves of different bumps overlap: each half is a series of its own
-        half = F.when(F.col("i") < F.col("i0"), 0).when(F.col("i") > F.col("i1"), 1)
-        mine = F.struct("g", "a", "rank", "half")
-        inside = in_segments(s, open_).join(bumps, ["g", "a"]).withColumn("half", half).where("half is not null").select(mine.alias("g"), "i", "t", "s", "detail")
-        own = parts.select(mine.alias("g"), F.col("ha").alias("a"), F.col("hb").alias("b"), "t_start", "t_end")
-        inside = materialise(inside, "refine-halves")
-        calm = calm_core(inside, own, parts.join(thr, "g").select(mine.alias("g"), "thr", "base"), p).select("g.g", "g.a", "g.rank", "g.half", "calm")
+        keys = ["g", "a", "rank", "half"]
+        parts = _parts(bumps, p).select(*keys, "ha", "hb")
+        inside = x.drop("b").join(parts, ["g", "a"]).where("i between ha and hb")
+        own = _scored(inside.withColumns({"_a": F.col("a"), "a": F.col("ha"), "b": F.col("hb")}), ["g", "_a", "rank", "half"], p)
+        calm = own.groupBy("g", "_a", "rank", "half").agg(F.min_by("i", F.struct("score", "i")).alias("calm"), F.min("a").alias("ha"), F.min("b").alias("hb"), F.min_by("t", "i").alias("t_start"), (F.max_by("t", "i") + F.lit(1.0 / p.rate)).alias("t_end"))
+        calm = materialise(calm.withColumnRenamed("_a", "a"), "refine-calm")
         both = calm.groupBy("g", "a", "rank").agg(F.max(F.when(F.col("half") == 0, F.col("calm"))).alias("left"), F.max(F.when(F.col("half") == 1, F.col("calm"))).alias("right"))
-        first = materialise(differs(materialise(both, "refine-calm")).groupBy("g", "a").agg(F.min("rank").alias("rank")), "refine-first")
+        first = materialise(differs(both).groupBy("g", "a").agg(F.min("rank").alias("rank")), "refine-first")
         done.append(open_.join(first, ["g", "a"], "left_anti").select(*bounds))
-        open_ = materialise(parts.join(first, ["g", "a", "rank"]).select("g", F.col("ha").alias("a"), F.col("hb").alias("b"), "t_start", "t_end"), "refine-open")
+        halves = calm.join(first, ["g", "a", "rank"])
+        open_ = materialise(halves.select("g", F.col("ha").alias("a"), F.col("hb").alias("b"), "t_start", "t_end"), "refine-open")
+        x = materialise(x.drop("b").join(halves.select("g", "a", "ha", "hb"), ["g", "a"]).where("i between ha and hb").drop("a").withColumnsRenamed({"ha": "a", "hb": "b"}).select(*columns), "refine-samples")
     return reduce(DataFrame.unionByName, [*done, open_])
 
 
