@@ -122,6 +122,21 @@ def smoothed_blocks(rows: DataFrame, p: SegmentParams = SegmentParams()) -> Data
     return rows.withColumns({"i": F.col("i").cast("long"), "_k": F.col("_k").cast("long")}).mapInArrow(blocks.smoother(window(p), BLOCK), out)
 
 
+def smoothed_parts(parts: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """(g, i, s, _l, _r) a row a block: smoothed samples from ``i`` on and those beside the block.
+
+    ``parts`` are rows (g, _k, i, x) with the samples from ``i`` on as an array, sorted inside tasks by (g, _k, i), all of a block in one task.
+    """
+    return parts.select("g", F.col("_k").cast("long").alias("_k"), F.col("i").cast("long").alias("i"), "x").mapInArrow(blocks.smoother(window(p), BLOCK, blocks.smooth_parts), "g string, i long, s array<double>, _l double, _r double")
+
+
+def samples(rows: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
+    """(g, i, t, s, _l, _r): a row a sample of ``smoothed_parts``."""
+    n = F.size("s") - 1
+    zipped = F.arrays_zip(F.sequence("i", F.col("i") + n).alias("i"), F.col("s").alias("s"), F.concat(F.array("_l"), F.slice("s", F.lit(1), n)).alias("_l"), F.concat(F.slice("s", F.lit(2), n), F.array("_r")).alias("_r"))
+    return rows.select("g", F.inline(zipped)).toDF("g", "i", "s", "_l", "_r").withColumn("t", F.col("i") / F.lit(p.rate))
+
+
 def smoothed(signal: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """Running median ``s`` of the motion, and that of the samples before and after (``_l``, ``_r``); the first sample takes the second one's value."""
     return smoothed_blocks(dealt(signal.withColumn("i", F.col("i").cast("long")), p), p)

@@ -36,3 +36,18 @@ def test_misses_are_counted(spark):
     assert (got["truth"], got["detected"], got["matched"]) == (3, 4, 2)
     none = ge.met(seg((0, 50)), seg((0, 1)).limit(0)).first()
     assert (none["truth"], none["detected"], none["matched"]) == (1, 0, 0)
+
+
+def test_samples_of_a_recording_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sg, "BLOCK", 64)
+    rows = [(g, k, float(h), ("slide", "fade")[k % 2], 0.02) for g, holds in (("v", [1.0, 0.5, 2.0, 9.0, 0.03]), ("w", [0.03]), ("u", [5.3])) for k, h in enumerate(holds)]
+    p = ge.schedule(spark.createDataFrame(rows, "g string, k int, hold double, kind string, level double"))
+    made = sg.smoothed_parts(ge.recorded_parts(ge.in_blocks(p, 64, sg.halo(sg.SegmentParams())), noise=0.1))
+    names = ["g", "i", "t", "s", "_l", "_r"]
+    want = sg.smoothed(ge.recorded(p, noise=0.1)).select(*names)
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, sg.samples(made).select(*names).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    # between the samples, made where parts are dealt, and their smoothing no rows move
+    steps = [line.strip(" +-:*()0123456789") for line in made._jdf.queryExecution().executedPlan().toString().splitlines()]
+    at = next(k for k, line in enumerate(steps) if line.startswith("MapInArrow"))
+    assert "transform(sequence(" in " ".join(steps[at : next(k for k, line in enumerate(steps) if line.startswith("Exchange"))])
